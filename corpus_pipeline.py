@@ -1,8 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, PII, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; between stages the documents are written as Parquet and read again.  All
+stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from measurelake.llm import decontaminate, langid, packing, pii, simhash
+from measurelake.llm.common import stage_table, with_rows
+from measurelake.llm.queries import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is recognised with some confidence."""
+    judged = langid.identify(docs, langid.train(docs))
+    kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.REJECT)
+    return judged.filter(kept).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group: the first in order of id."""
+    rows = with_rows(docs)
+    best = simhash.representatives(rows, "doc_id", "row")
+    return rows.join(best, "row", "left_semi").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = with_rows(docs)
+    found = decontaminate.contamination(rows, benchmark, id_col="row").filter("contaminated")
+    return rows.join(found.select(F.col("doc_id").alias("row")), "row", "left_anti").select(docs.columns)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and the terms that disclose it by their kinds."""
+    rows = with_rows(docs)
+    found = pii.find_spans(rows, id_col="row").select(F.col("doc_id").alias("row"), "spans").filter("size(spans) > 0")
+    joined = rows.join(found, "row", "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.generalise(F.col("text"), F.col("spans")))
+    clean = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents into training sequences."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", sanitise),
+    ("packing", pack),
+]
+
+#: SQL cannot express the stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = stage_table(docs, f"pipeline-{number}")
+    return docs

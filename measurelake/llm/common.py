@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -54,3 +55,19 @@ def ascii_lower(col: Column) -> Column:
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
+
+
+_STEADY = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "RelationV2"}
+
+
+def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a number for each row that is the same in every use of the result.
+
+    Numbers follow from partition and place, which a scan repeats exactly; what
+    does more than scan, filter and project is written out first.
+    """
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = {m[1] for line in tree.splitlines() if (m := re.match(r"\W*(\w+)", line))}
+    if not steps <= _STEADY:
+        df = stage_table(df, "rows")
+    return df.withColumn(name, F.monotonically_increasing_id())

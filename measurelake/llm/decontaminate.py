@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, stage_table
+from .common import ascii_lower, stage_table, with_rows
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows of ten short words take some hundred bytes each; this many stay below 100 MB.
@@ -112,11 +112,8 @@ def contamination(
     shingle_width: int = 3,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids) and contaminated of every row of ``docs``."""
-    base = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("doc_id"),
-        words_of(F.col(text_col)).alias("words"),
-    )
+    numbered = with_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    base = numbered.select("row", "doc_id", words_of(F.col("text")).alias("words"))
     windows = stage_table(item_windows(benchmark, item_id_col, item_text_col, window), "decontaminate-windows")
     sizes = windows.agg(F.count("*"), F.count(F.when(F.col("n") < shingle_width, 1))).first()
     parts = [(windows.filter(F.col("n") >= shingle_width), shingle_width, sizes[0] - sizes[1])]

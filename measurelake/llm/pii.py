@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stage_table
+from .common import stage_table, with_rows
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: (kind, pattern); \G lets a match start right where the one before ended.
@@ -171,11 +171,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id and text (null: empty) of every row."""
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return with_rows(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))).select("row", "doc_id", "text")
 
 
 def listed(spans: Column) -> Column:

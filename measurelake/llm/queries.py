@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_extract, langid, packing, pii, simhash, voronoi_knn
+from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pii, quality_cnn, simhash, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.scores_of(_table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_of(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
@@ -67,10 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
+        "op6_brown_lm": op6_brown_lm,
+        "op7_license_scan": op7_license_scan,
+        "op8_quality": op8_quality,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_scan": licenses.oracle_sql()}

@@ -74,7 +74,7 @@ def simhash(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fingerprint (the unsigned value's bits as a long) of every row."""
+    """doc_id (of the id column's type) and fp, the unsigned fingerprint's bits as a long, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +82,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             column = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def segment_popcounts(fps: np.ndarray) -> np.ndarray:
@@ -284,3 +285,10 @@ def near_duplicates(
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = labelled.join(lowest, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(rows: DataFrame, id_col: str, row_col: str, text_col: str = "text") -> DataFrame:
+    """The row number (column ``row_col``) of the first row, by id, of every component."""
+    keyed = rows.select(F.struct(id_col, row_col).alias("key"), text_col)
+    found = near_duplicates(keyed, "key", text_col)
+    return found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id")[row_col].alias(row_col))
