@@ -56,12 +56,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, _ in pii.KINDS
-    ]
+
+    def number(kind: str):
+        # A lambda with two arguments would be given the index as the second one.
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[number(kind) for kind, _ in pii.KINDS],
         F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
     )
