@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import model_queries, relational_queries, statistics_queries, survival_queries
+
+_MODULES = (relational_queries, statistics_queries, survival_queries, model_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["paired_contrast_planned"](spark, sf_dir)
+    """Planned paired contrasts: scan, replicate collapse, pairing, planned rows, fixed-family BH."""
+    return statistics_queries.paired_contrast_planned(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql is not None}
