@@ -13,35 +13,39 @@ from measurelake.llm import decontaminate, langid, packing, pii, simhash
 from measurelake.llm.common import stage_table, with_rows
 from measurelake.llm.queries import tokenizer_path
 
+#: Working column: numbers the rows of a stage's input, whatever their ids.
+ROW = "__row"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is recognised with some confidence."""
-    judged = langid.identify(docs, langid.train(docs))
-    kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.REJECT)
+    judged = langid.identify(docs, langid.train(docs), out=("__lang", "__score"))
+    kept = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= langid.REJECT)
     return judged.filter(kept).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the first in order of id."""
-    rows = with_rows(docs)
-    best = simhash.representatives(rows, "doc_id", "row")
-    return rows.join(best, "row", "left_semi").select(docs.columns)
+    rows = with_rows(docs, ROW)
+    best = simhash.representatives(rows, "doc_id", ROW)
+    return rows.join(best, ROW, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = with_rows(docs)
-    found = decontaminate.contamination(rows, benchmark, id_col="row").filter("contaminated")
-    return rows.join(found.select(F.col("doc_id").alias("row")), "row", "left_anti").select(docs.columns)
+    rows = with_rows(docs, ROW)
+    found = decontaminate.contamination(rows, benchmark, id_col=ROW).filter("contaminated")
+    return rows.join(found.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(docs.columns)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and the terms that disclose it by their kinds."""
-    rows = with_rows(docs)
-    found = pii.find_spans(rows, id_col="row").select(F.col("doc_id").alias("row"), "spans").filter("size(spans) > 0")
-    joined = rows.join(found, "row", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.generalise(F.col("text"), F.col("spans")))
+    rows = with_rows(docs, ROW)
+    found = pii.find_spans(rows, id_col=ROW).filter("size(spans) > 0")
+    joined = rows.join(found.select(F.col("doc_id").alias(ROW), F.col("spans").alias("__spans")), ROW, "left")
+    spans = F.col("__spans")
+    text = F.when(spans.isNull(), F.col("text")).otherwise(pii.generalise(F.col("text"), spans))
     clean = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(docs.columns)
 

@@ -311,11 +311,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return identifier
 
 
-def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with columns lang_pred and score added."""
+def identify(
+    docs: DataFrame, identifier: Identifier, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the columns ``out`` added; columns of these names that it has already are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
+    docs = docs.drop(*out)
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema += f", `{out[0]}` string, `{out[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -327,7 +331,7 @@ def identify(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
                 langs, scores = own.predict(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    [*names, "lang_pred", "score"],
+                    [*names, *out],
                 )
 
     return docs.mapInArrow(run, schema)

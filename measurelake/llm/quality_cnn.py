@@ -176,9 +176,9 @@ def train(
 def quality_scores(
     docs: DataFrame, network: ByteCNN, threshold: float = THRESHOLD, text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with column ``text_col`` replaced by score and predicted."""
+    """``docs`` with column ``text_col`` replaced by score and predicted (columns of these names go)."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    names = [n for n in docs.columns if n != text_col]
+    names = [n for n in docs.columns if n not in (text_col, "score", "predicted")]
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     schema += ", score double, predicted int"
     frame = docs.select(*names, text_col)

@@ -21,7 +21,8 @@ So a cell that holds a third of all rows is many tasks, and nothing is dropped.
 Defined cases: vectors that are null or hold null, NaN or infinite components
 take no part, as data or query; vectors of different lengths are compared over
 the components that both have; ties go to the smaller id; equal ids on several
-rows are one candidate each, and a query never meets rows with its own id;
+rows are one candidate each, answer as one query, and never meet each other;
+rows without an id take no part;
 scores beyond the range of a long are clipped to it; empty tables give no rows.
 """
 
