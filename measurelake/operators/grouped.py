@@ -28,7 +28,8 @@ def _apply(df: DataFrame, by: list[str], columns: list[str], rest: str, solve) -
             rows.insert(0, column, value)
         return rows
 
-    return df.select(*by, *[c for c in columns if c not in by]).groupBy(*by).applyInPandas(run, _schema(df, by, rest))
+    used = list(dict.fromkeys([*by, *columns]))
+    return df.select(*used).groupBy(*by).applyInPandas(run, _schema(df, by, rest))
 
 
 def regression(df: DataFrame, by: list[str], y: str, exposure: str, covariates: list[str] = (), cluster: str | None = None, min_df: int = 10, z_score: bool = False) -> DataFrame:
@@ -255,3 +256,64 @@ def cox_model(counts: DataFrame, by: list[str], covariates: list[str], time: str
         ]
 
     return _apply(counts, by, [time, event, n, *covariates], "covariate string, beta double, hazard_ratio double, se double, p double, n_events long", solve)
+
+
+def spearman_bootstrap(df: DataFrame, by: list[str], unit: str, x: str, y: str, draws: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """Percentile interval of Spearman's rho; every resample is ranked anew."""
+
+    def solve(frame: pd.DataFrame) -> dict:
+        used = frame.dropna().sort_values(unit, kind="stable")
+        a, b = used[x].to_numpy(float), used[y].to_numpy(float)
+        if len(used) < 3:
+            return {"n": len(used)}
+        rng = np.random.default_rng(seed)
+        found = np.array([numeric.spearman(a[at], b[at])[0] for at in rng.integers(0, len(a), (draws, len(a)))])
+        low, high = np.nanquantile(found, [(1 - level) / 2, (1 + level) / 2]) if np.isfinite(found).any() else (np.nan, np.nan)
+        return {"n": len(used), "rho": numeric.spearman(a, b)[0], "low": low, "high": high, "n_valid": int(np.isfinite(found).sum())}
+
+    return _apply(df, by, [unit, x, y], "n long, rho double, low double, high double, n_valid double", solve)
+
+
+def calibration(df: DataFrame, by: list[str], y: str, score: str, weight: str | None = None) -> DataFrame:
+    """Slope and intercept of a logistic recalibration of the score, optionally with (censoring) weights."""
+
+    def solve(frame: pd.DataFrame) -> dict:
+        used = frame.dropna()
+        labels, s = used[y].to_numpy(float), used[score].to_numpy(float)
+        if len(np.unique(labels)) < 2 or np.ptp(s) == 0:
+            return {"status": "not_estimable"}
+        w = used[weight].to_numpy(float) if weight else None
+        # A very large c makes the penalty vanish.
+        slope, intercept = numeric.ridge_logistic(s[:, None], labels, 1e8, w)
+        return {"status": "estimated", "slope": slope, "intercept": intercept}
+
+    return _apply(df, by, [y, score, *([weight] if weight else [])], "status string, slope double, intercept double", solve)
+
+
+def model_comparison(rows: DataFrame, folds: DataFrame, unit: str, y: str, features: list[str]) -> DataFrame:
+    """Out-of-fold AUC of ridge, elastic-net, Gaussian-kernel SVM and the best single feature: a task per fold and model."""
+    models = ["ridge", "elastic_net", "rbf_svm", "best_single"]
+    jobs = folds.select("repeat", "fold").distinct().withColumnRenamed("fold", "held")
+    jobs = jobs.withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    every = rows.select(unit, y, *features).join(folds, unit).join(F.broadcast(jobs), "repeat")
+
+    def solve(frame: pd.DataFrame) -> dict:
+        frame = frame.sort_values(unit, kind="stable")
+        test = (frame["fold"] == frame["held"]).to_numpy()
+        x, labels, kind = frame[features].to_numpy(float), frame[y].to_numpy(int), frame["model"].iloc[0]
+        mean, sd = _standard(x[~test])
+        z = (x - mean) / sd
+        if kind == "ridge":
+            score = _fit(x[~test], labels[~test], 1.0)(x[test])
+        elif kind == "elastic_net":
+            beta = numeric.elastic_net_logistic(z[~test], labels[~test], 0.1)
+            score = z[test] @ beta[:-1] + beta[-1]
+        elif kind == "rbf_svm":
+            score = numeric.rbf_svm(z[~test], labels[~test])(z[test])
+        else:
+            single = [numeric.fast_auc(labels[~test], z[~test][:, i]) for i in range(len(features))]
+            best = int(np.argmax(np.abs(np.array(single) - 0.5)))
+            score = z[test][:, best] * (1 if single[best] >= 0.5 else -1)
+        return {"n": int(test.sum()), "auc": numeric.fast_auc(labels[test], score)}
+
+    return _apply(every, ["repeat", "held", "model"], ["fold", unit, y, *features], "n long, auc double", solve)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model_queries, relational_queries, statistics_queries, survival_queries
+from . import further_queries, model_queries, relational_queries, statistics_queries, survival_queries
 
-_MODULES = (relational_queries, statistics_queries, survival_queries, model_queries)
+_MODULES = (relational_queries, statistics_queries, survival_queries, model_queries, further_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
