@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stage_table
 
@@ -277,8 +277,7 @@ def knn_join(
         return pa.table(columns, names=["query_id", "vec_id", "score"])
 
     found = blocks.groupBy("cell", "s", "p").applyInArrow(solve, _FOUND)
-    best = found.groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score").cast("decimal(20,0)")).alias("o"), "vec_id", "score"))), 1, k).alias("top")
-    )
-    top = best.select("query_id", F.posexplode("top").alias("at", "x"))
-    return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    # Top k by row number: Spark cuts each partition to k rows per query before it shuffles them.
+    own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
