@@ -89,5 +89,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{decontaminate.WORD}')"
+
+#: Every pair of a query and a candidate; sums of products of whole numbers are exact in doubles.
+OP2 = """WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+#: Every run of words of every document against every window.
+OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT item_id, least(len(w), 10) AS n, unnest(list_transform(range(0, greatest(len(w) - 10, 0) + 1), lambda s: array_to_string(w[s + 1:s + 10], ' '))) AS ws FROM i WHERE len(w) > 0),
+l AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, unnest(list_transform(range(0, len(w) - n + 1), lambda s: {{'s': s, 'ws': array_to_string(w[s + 1:s + n], ' ')}})) AS x FROM d, l WHERE len(w) >= n),
+h AS (SELECT DISTINCT doc_id, dw.x.s AS s, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.x.ws = iw.ws),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.oracle_sql()}
+    """For the queries that SQL can express; the others are tested against brute force."""
+    return {"op2_voronoi_knn": OP2, "op3_decontamination": OP3, "op7_license_scan": licenses.oracle_sql()}
