@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,7 +44,7 @@ DROPPED = frozenset(
 )
 #: Words in class, id or role that mark boilerplate.
 MARKS = frozenset(
-    "ad ads adslot advert advertisement adverts banner breadcrumb breadcrumbs byline complementary comment "
+    "ad ads adslot advert advertisement adverts banner breadcrumb breadcrumbs complementary comment "
     "commentlist comments consent contentinfo cookie cookies dialog disqus footer form gdpr header hidden login "
     "masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo "
     "promoted promotion recommended related reply replies respond responses search share sharing sidebar "
@@ -55,6 +56,18 @@ KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div article section main body blockquote td th".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Beginnings of class names that describe a page's layout and not the element.
+_LAYOUT = ("has-", "with-", "no-", "without-", "is-", "overflow-")
+
+
+@lru_cache(maxsize=4096)
+def marks_of(value: str) -> frozenset[str]:
+    """The boilerplate words among the names of a class, id or role attribute."""
+    names = [n for n in value.split() if not n.lower().startswith(_LAYOUT)]
+    found = {w.lower() for n in names for w in _WORDS.findall(n)} & MARKS
+    if "hidden" in found and "hidden" not in names:  # only as a name of its own
+        found.discard("hidden")
+    return frozenset(found)
 
 SIGMA = 1.5
 REGION_SHARE = 0.75
@@ -111,7 +124,8 @@ class _Page(HTMLParser):
         at = self.open[-1]
         self.names.append(tag)
         self.parent.append(at)
-        self.dropped.append(self.dropped[at] or self._unwanted(tag, attrs))
+        # The main element counts even inside a wrapper whose class looks like boilerplate.
+        self.dropped.append(tag != "main" and (self.dropped[at] or self._unwanted(tag, attrs)))
         self.open.append(len(self.names) - 1)
 
     def _unwanted(self, tag, attrs) -> bool:
@@ -127,7 +141,9 @@ class _Page(HTMLParser):
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if value and name in ("class", "id", "role"):
-                if any(w.lower() in MARKS for w in _WORDS.findall(value)):
+                marks = marks_of(value)
+                # A header inside the article is its heading.
+                if marks and (marks != {"header"} or not self._find({"article", "main"})):
                     return True
             if value and name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True

@@ -50,6 +50,7 @@ LONG = "Some long paragraph with many words that goes on for quite a while, as a
         (f"<main><h1>T</h1><p>{LONG}</p><aside>{LONG}</aside><form>{LONG}</form></main><footer>f</footer>", f"T\n\n{LONG}"),
         (f"<body class=has-sidebar><header>{LONG}</header><div id=c><h2>T</h2><p>{LONG}</p><p>x&nbsp; y</p><p>{LONG}</p></div><div id=sidebar>{LONG}</div>", f"T\n\n{LONG}\n\nx y\n\n{LONG}"),
         (f"<article><p>{LONG}</p><div class='ad-banner'>buy</div><ul><li>a<li>b</ul></article>", f"{LONG}\n\na\n\nb"),
+        (f"<div class='page has-header overflow-hidden'><article><div class=article-header><h1>T</h1></div><p>{LONG}</p></article></div>", f"T\n\n{LONG}"),
         (f"<![foo x<article><p>{LONG}</article>", LONG),
         ("<div>" * 3000 + "deep", "deep"),
     ],
