@@ -44,7 +44,7 @@ TRAIN_CHARS = 2_000_000
 MAX_GRAMS = 1_500_000
 REJECT = 0.05
 UNKNOWN = "und"
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 _BITS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
