@@ -33,8 +33,8 @@ SCHEMA = (
 )
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
-BLOCK_CHARS = 4_000_000
-CACHE_WORDS = 700_000
+BLOCK_CHARS = 2_000_000
+CACHE_WORDS = 500_000
 #: Local sequence numbers take the low bits of a sequence id, the worker the high ones.
 WORKER_SHIFT = 40
 
