@@ -68,7 +68,7 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.datediff("l_shipdate", "o_orderdate")
     frame = lines.join(orders, "l_orderkey").withColumn("d", days).filter("d > 0")
     return frame.groupBy(
-        (F.col("l_linenumber") % 4).cast("long").alias("fold"),
+        (F.col("l_linenumber") % 4).alias("fold"),
         F.ceil(F.col("d") / 30.0).cast("int").alias("t"),
         (F.col("l_returnflag") == "R").cast("int").alias("event"),
         F.floor(F.col("l_quantity") / 5).cast("int").alias("score"),

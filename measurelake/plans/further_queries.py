@@ -66,7 +66,7 @@ u AS (SELECT cohort, patient, row_number() OVER (PARTITION BY cohort ORDER BY pa
 k AS (SELECT cohort, dr AS draw, CAST('0x' || substr(md5('19|' || dr || '|' || cohort || '|' || i), 1, 8) AS BIGINT) % n AS j FROM u CROSS JOIN range(50) r(dr)),
 w AS (SELECT k.cohort, draw, u.patient FROM k JOIN u ON u.cohort = k.cohort AND u.i = k.j),
 r AS (SELECT w.cohort, draw, tissue, rank() OVER (PARTITION BY w.cohort, draw ORDER BY b) + (count(*) OVER (PARTITION BY w.cohort, draw, b) - 1) / 2.0 AS r FROM w JOIN s USING (cohort, patient))
-SELECT cohort, draw, round((sum(r) FILTER (tissue = 'T') - count(*) FILTER (tissue = 'T') * (count(*) FILTER (tissue = 'T') + 1) / 2.0) / (count(*) FILTER (tissue = 'T') * count(*) FILTER (tissue = 'N')), 6) + 0.0 AS auc FROM r GROUP BY 1, 2"""
+SELECT cohort, CAST(draw AS INTEGER) AS draw, round((sum(r) FILTER (tissue = 'T') - count(*) FILTER (tissue = 'T') * (count(*) FILTER (tissue = 'T') + 1) / 2.0) / (count(*) FILTER (tissue = 'T') * count(*) FILTER (tissue = 'N')), 6) + 0.0 AS auc FROM r GROUP BY 1, 2"""
 
 
 def draw_aligned_deltas(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def draw_aligned_deltas(spark: SparkSession, d: str) -> DataFrame:
 ALIGNED = f"""WITH {SPEC}, {DELTA}, s AS (SELECT * FROM delta WHERE probe IN (0, 1)), u AS (SELECT patient, row_number() OVER (ORDER BY patient) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT patient FROM s)),
 k AS (SELECT dr AS draw, CAST('0x' || substr(md5('37|' || dr || '|0|' || i), 1, 8) AS BIGINT) % n AS j FROM u CROSS JOIN range(100) r(dr)),
 m AS (SELECT draw, probe, avg(delta) AS m FROM k JOIN u ON u.i = k.j JOIN s USING (patient) GROUP BY 1, 2)
-SELECT a.draw, round(a.m - b.m, 6) + 0.0 AS difference FROM m a JOIN m b ON a.draw = b.draw AND a.probe = 0 AND b.probe = 1"""
+SELECT CAST(a.draw AS INTEGER) AS draw, round(a.m - b.m, 6) + 0.0 AS difference FROM m a JOIN m b ON a.draw = b.draw AND a.probe = 0 AND b.probe = 1"""
 
 
 def mean_policies(spark: SparkSession, d: str) -> DataFrame:

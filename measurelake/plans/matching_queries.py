@@ -69,7 +69,7 @@ def frozen_sets(spark: SparkSession, d: str) -> DataFrame:
     return _sets(spark, d).select("set_id", "slot", "p_partkey")
 
 
-FROZEN = f"WITH {_SETS} SELECT set_id, slot, p_partkey FROM f"
+FROZEN = f"WITH {_SETS} SELECT CAST(set_id AS INTEGER) AS set_id, slot, p_partkey FROM f"
 
 
 def set_balance(spark: SparkSession, d: str) -> DataFrame:

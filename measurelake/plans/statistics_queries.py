@@ -139,7 +139,7 @@ def topk_controls(spark: SparkSession, d: str) -> DataFrame:
 
 TOPK = """WITH c AS (SELECT p_type, avg(p_size) AS a, stddev_pop(p_size) AS sa, avg(p_retailprice) AS b, stddev_pop(p_retailprice) AS sb FROM part GROUP BY 1),
 s AS (SELECT p.p_type, p_partkey, p_brand, round(sqrt((pow((p_size - a) / sa, 2) + pow((p_retailprice - b) / sb, 2)) / 2), 9) AS distance FROM part p JOIN c USING (p_type))
-SELECT p_type, rank, p_partkey, round(distance, 6) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY distance, p_brand, p_partkey) AS rank FROM s) WHERE rank <= 20"""
+SELECT p_type, CAST(rank AS INTEGER) AS rank, p_partkey, round(distance, 6) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY distance, p_brand, p_partkey) AS rank FROM s) WHERE rank <= 20"""
 
 
 def welch_contrast(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +275,7 @@ RATIO = f"""WITH {SPEC}, {DELTA}, w AS (SELECT cohort, patient, max(CASE WHEN pr
 u AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY patient) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM w WHERE x IS NOT NULL AND y IS NOT NULL),
 k AS (SELECT cohort, dr AS draw, CAST('0x' || substr(md5('5|' || dr || '|' || cohort || '|' || i), 1, 8) AS BIGINT) % n AS j, count(*) AS wt FROM u CROSS JOIN range(20) r(dr) GROUP BY 1, 2, 3),
 z AS (SELECT k.cohort, draw, wt, u.* EXCLUDE (cohort) FROM k JOIN u ON u.cohort = k.cohort AND u.i = k.j)
-SELECT a.cohort, a.draw, round(sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.wt * b.wt ELSE 0 END) / sum(a.wt * b.wt), 6) + 0.0 AS ratio
+SELECT a.cohort, CAST(a.draw AS INTEGER) AS draw, round(sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.wt * b.wt ELSE 0 END) / sum(a.wt * b.wt), 6) + 0.0 AS ratio
 FROM z a JOIN z b ON a.cohort = b.cohort AND a.draw = b.draw AND a.patient < b.patient GROUP BY 1, 2"""
 
 

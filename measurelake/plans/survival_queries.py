@@ -61,7 +61,7 @@ def _c(ipcw: bool):
 
 
 def _c_sql(ipcw: bool) -> str:
-    w = "n / (surv_before * surv_before)" if ipcw else "n * 1.0"
+    w = "n / (surv_before * surv_before)" if ipcw else "CAST(n AS DOUBLE)"
     bad = "max(CAST(surv_before <= 0.1 AS INTEGER))" if ipcw else "0"
     limit = f"AND t < {HORIZON}" if ipcw else ""
     return f"""WITH {SURV}, {_km_sql(0)}, e AS (SELECT s.fold, s.t, s.score, {w} AS w, surv_before FROM surv s JOIN km USING (fold, t) WHERE event = 1 {limit.replace('t <', 's.t <')}),
@@ -114,7 +114,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "label", F.posexplode(F.slice("embedding", 1, 16)).alias("probe", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
-_LONG = """m AS (SELECT unit, probe, v FROM (SELECT vec_id AS unit, unnest(range(0, 16)) AS probe, unnest(embedding[1:16]) AS raw FROM embeddings), LATERAL (SELECT round(CAST(raw AS DOUBLE), 6) AS v))"""
+_LONG = """m AS (SELECT unit, probe, v FROM (SELECT vec_id AS unit, CAST(unnest(range(0, 16)) AS INTEGER) AS probe, unnest(embedding[1:16]) AS raw FROM embeddings), LATERAL (SELECT round(CAST(raw AS DOUBLE), 6) AS v))"""
 _UNIT = f"""{_LONG}, k AS (SELECT unit, probe, rank() OVER (PARTITION BY probe ORDER BY v) + (count(*) OVER (PARTITION BY probe, v) - 1) / 2.0 AS r FROM m),
 c AS (SELECT unit, probe, r - avg(r) OVER (PARTITION BY probe) AS r FROM k), u AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM c)"""
 
