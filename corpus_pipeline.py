@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from measurelake.llm import decontaminate, langid, packing, pii, simhash
+from measurelake.llm import decontaminate, langid, packing, pii, shingles
 from measurelake.llm.common import stage_table, with_rows
 from measurelake.llm.queries import tokenizer_path
 
@@ -25,9 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: the first in order of id."""
+    """Keep one document of each group at shingle similarity 0.8 or more: the first in order of id."""
     rows = with_rows(docs, ROW)
-    best = simhash.representatives(rows, "doc_id", ROW)
+    best = shingles.representatives(rows, "doc_id", ROW)
     return rows.join(best, ROW, "left_semi").select(docs.columns)
 
 
@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("PII", sanitise),
     ("packing", pack),

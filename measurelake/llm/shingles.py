@@ -1,0 +1,172 @@
+"""Near-duplicates by the shared shingles of two texts: MinHash candidates, exact Jaccard check.
+
+Words are split at ASCII white space after lower-casing A-Z; a text's set are
+the XXH64 hashes of its ``WIDTH``-word shingles (a shorter text is one shingle).
+Two texts link if the Jaccard similarity of their sets is ``SIMILARITY`` or more.
+
+Texts of equal sets are one node.  Each node has ``BANDS`` bands of ``BAND_ROWS``
+minima; nodes that share a band are a bucket and only they are compared.  A pair
+at similarity s shares no band with probability (1 - s^5)^40: 1e-7 at 0.8.
+Buckets with the same members are compared once.  Shingle sets are made only for
+nodes with company, and each bucket contributes a spanning forest of its links,
+so no list of pairs is emitted; buckets over ``BUCKET_NODES`` are cut into chunks,
+every two of which are compared.
+
+Defined cases: null text is text without words; all texts without words are
+equal; empty tables give no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from .common import stage_table
+from .simhash import _shingle_hashes, components
+
+WIDTH = 5
+#: Least Jaccard similarity of a link, as a fraction of whole numbers.
+SIMILARITY = (4, 5)
+BANDS = 40
+BAND_ROWS = 5
+BUCKET_NODES = 2048
+_BLOCK = 512
+_rng = np.random.default_rng(42)
+_MASKS = _rng.integers(0, 2**64, (BANDS * BAND_ROWS, 1), dtype=np.uint64)
+_FACTORS = _rng.integers(0, 2**64, (BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.uint64(1)
+_EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(_shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), WIDTH))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed 64-bit key per band; no band for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_MASKS), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), _BLOCK):
+        np.minimum(least, ((hashes[at : at + _BLOCK] ^ _MASKS) * _FACTORS).min(1), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def _links(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest of the links within one bucket, breadth first."""
+    over, under = SIMILARITY
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(codes, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(values), bool)
+    edges: list[tuple[int, int]] = []
+    rest = np.arange(len(nodes))
+    flat, starts = codes, np.cumsum(sizes) - sizes
+    queue: list[int] = []
+    left = np.ones(len(nodes), bool)
+
+    def take(gone: np.ndarray) -> None:
+        nonlocal rest, flat, starts
+        keep = ~np.isin(rest, gone)
+        flat = flat[np.repeat(keep, sizes[rest])]
+        rest = rest[keep]
+        left[gone] = False
+        starts = np.cumsum(sizes[rest]) - sizes[rest]
+
+    for seed in range(len(nodes)):
+        if not left[seed]:
+            continue
+        take(np.array([seed]))
+        queue.append(seed)
+        while queue and len(rest):
+            p = queue.pop()
+            mark[parts[p]] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[parts[p]] = False
+            hit = rest[under * shared >= over * (sizes[p] + sizes[rest] - shared)]
+            if len(hit):
+                edges += [(int(nodes[p]), int(nodes[q])) for q in hit]
+                queue += hit.tolist()
+                take(hit)
+        queue.clear()
+    return edges
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every bucket; rows are (bucket, c1, c2, node, hashes) in order of bucket and chunks."""
+
+    def solve(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.array(_links(np.array(nodes, np.int64), sets) or np.zeros((0, 2)), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], schema=_EDGES)
+
+    at, nodes, sets = None, [], []
+    for batch in batches:
+        for *key, node, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at:
+                if len(nodes) > 1:
+                    yield solve(nodes, sets)
+                at, nodes, sets = key, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(data, np.uint64))
+    if len(nodes) > 1:
+        yield solve(nodes, sets)
+
+
+def near_links(rows: DataFrame, nodes: DataFrame, row_col: str, text_col: str, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
+    """Links (u < v) that connect what all links connect; ``nodes`` has node and bands, texts are in ``rows``."""
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    shared = shared.filter("n > 1").groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
+    chunks = F.ceil(F.col("n") / F.lit(bucket_nodes)).cast("int")
+    inside = stage_table(banded.join(shared.select("bucket", chunks.alias("n")), "bucket"), "shingles-buckets")
+    texts = rows.select(F.col(row_col).alias("node"), text_col)
+    texts = texts.join(stage_table(inside.select("node").distinct(), "shingles-nodes"), "node", "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "hashes"])
+
+    sets = stage_table(texts.mapInArrow(hashed, "node long, hashes binary"), "shingles-sets")
+    # A bucket of n chunks is compared as every two of them; one chunk alone with itself.
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    parts = inside.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    parts = parts.filter("n = 1 OR mine <> other").select(
+        "bucket", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), "node"
+    )
+    dealt = parts.join(sets, "node").select("bucket", "c1", "c2", "node", "hashes")
+    dealt = dealt.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2", "node")
+    return dealt.mapInArrow(_compare, "u long, v long").distinct()
+
+
+def representatives(rows: DataFrame, id_col: str, row_col: str, text_col: str = "text") -> DataFrame:
+    """The row number (column ``row_col``) of the first row, by id, of every component."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, bands = [], []
+            for text in batch.column(2):
+                hashes = shingle_set(text.as_py())
+                digests.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+                bands.append(band_keys(hashes))
+            columns = [batch.column(0), batch.column(1), pa.array(digests), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "digest", "bands"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    given = rows.select(F.col(id_col).alias("id"), F.col(row_col).alias("row"), text_col)
+    sketched = stage_table(given.mapInArrow(sketch, f"id {kind}, row long, digest string, bands array<bigint>"), "shingles")
+    firsts = sketched.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"))
+    firsts = stage_table(firsts.select("first", F.col("first.row").alias("node")), "shingles-firsts")
+    nodes = sketched.select(F.col("row").alias("node"), "bands").join(firsts.select("node"), "node", "left_semi")
+    rooted = components(near_links(rows, nodes, row_col, text_col))
+    labelled = firsts.join(rooted, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    lowest = labelled.groupBy("root").agg(F.min("first").alias("first"))
+    return lowest.select(F.col("first.row").alias(row_col))

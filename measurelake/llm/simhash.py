@@ -285,10 +285,3 @@ def near_duplicates(
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = labelled.join(lowest, "root").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(rows: DataFrame, id_col: str, row_col: str, text_col: str = "text") -> DataFrame:
-    """The row number (column ``row_col``) of the first row, by id, of every component."""
-    keyed = rows.select(F.struct(id_col, row_col).alias("key"), text_col)
-    found = near_duplicates(keyed, "key", text_col)
-    return found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id")[row_col].alias(row_col))
