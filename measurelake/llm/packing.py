@@ -42,6 +42,8 @@ WORKER_SHIFT = 40
 #: Texts with other characters than these go the slower way: beyond them lower-casing,
 #: composition or white space may differ between libraries, or a special token may stand.
 _UNSAFE = "[^\\x00-\\x{24f}\\x{2010}-\\x{2027}]|[\\x1c-\\x1f\\x{85}\\x{a0}\\x{130}]|<\\|"
+#: White space of plain texts besides the space; the tokenizer's normaliser makes it spaces.
+_SPACES = "\n\t\x0b\x0c\r"
 #: The vocabulary's own split pattern, a fixed value.
 _SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
 
@@ -166,7 +168,9 @@ class WordTokenizer:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(given)
         for rows, split_words in ((np.flatnonzero(~unsafe), True), (np.flatnonzero(unsafe), False)):
             if len(rows):
-                part = pc.replace_substring(given.take(pa.array(rows)), "\n", " ")
+                part = given.take(pa.array(rows))
+                for space in _SPACES if split_words else "\n":
+                    part = pc.replace_substring(part, space, " ")
                 part = pc.utf8_lower(part) if split_words else part
                 store = self._words if split_words else self._chunks
                 for row, ids in zip(rows, self._assemble(part, store, split_words)):
