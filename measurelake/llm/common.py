@@ -6,6 +6,7 @@ import atexit
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -15,14 +16,18 @@ _LOCAL_FALLBACK = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is
-    used only where the cluster names none (local tests).
+    ``spark.checkpoint.dir`` is read from the session, or the folder that the
+    program has set.  Where there is neither, a local master (tests) gets a
+    folder of our own; a cluster raises, for its executors would write to their
+    own disks.  The session's settings stay as they are.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or _LOCAL_FALLBACK)
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or _LOCAL_FALLBACK).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -57,17 +62,33 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-_STEADY = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "RelationV2"}
+def _scans_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of files, filtered and projected at most."""
+    kinds = []
+    node = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        kinds.append(node.nodeName())
+        below = node.children()
+        if below.size() != 1:
+            break
+        node = below.head()
+    return bool(re.match("Relation|LogicalRelation|HadoopFsRelation", kinds[-1])) and set(kinds[:-1]) <= {"Project", "Filter"}
 
 
 def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
-    """``df`` with a number for each row that is the same in every use of the result.
+    """``df`` with a key for each row that is the same in every use of the result.
 
-    Numbers follow from partition and place, which a scan repeats exactly; what
-    does more than scan, filter and project is written out first.
+    A scan of files keys its rows by their file (two hashes of its path, 96 bits
+    in all) and their place in it, which no packing of files into partitions
+    changes; anything else is numbered and written out once.
     """
-    tree = df._jdf.queryExecution().optimizedPlan().toString()
-    steps = {m[1] for line in tree.splitlines() if (m := re.match(r"\W*(\w+)", line))}
-    if not steps <= _STEADY:
-        df = stage_table(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if _scans_files(df):
+        try:
+            path = F.col("_metadata.file_path")
+            key = F.struct(F.xxhash64(path).alias("f"), F.hash(path).alias("g"), F.col("_metadata.row_index").alias("i"))
+            keyed = df.withColumn(name, key)
+            keyed.schema
+            return keyed
+        except AnalysisException:  # a column called _metadata, or a source without row indexes
+            pass
+    return stage_table(df.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -5,9 +5,10 @@ import pytest
 from measurelake.llm import decontaminate
 
 
-@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_KEYS, 0])
 def test_null_item_ids(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     docs = spark.createDataFrame([(1, "x one two three four y"), (2, "foo bar one two three four"), (3, "none")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "one two three four"), (None, None), (7, "foo bar")], "item_id long, text string")
     got = decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "n_items", "items", "contaminated").collect()

@@ -113,9 +113,10 @@ DOCS = [(1, "a b c d e f g h i j k a b c d e f g h i j"), (2, None), (3, ""), (1
 ITEMS = [(1, "a b c d e f g h i j k"), (2, "foo bar"), (2, "foo bar"), (3, None), (4, "a b c d e f g h i j k l"), (5, "x " * 12), (6, "é"), (6, "É"), (8, "")]
 
 
-@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_KEYS, 0])
 def test_contamination_cases(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     docs = clash(spark.createDataFrame(DOCS, "doc_id long, text string"), "row", "words", "n", "start", "shingle")
     bench = clash(spark.createDataFrame(ITEMS, "item_id long, text string"), "words", "row")
     assert contamination(docs, bench) == brute_contamination(DOCS, ITEMS)
