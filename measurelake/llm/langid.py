@@ -14,15 +14,19 @@ when the cross-entropy is far above what texts of that length in that language
 have.  ``score < REJECT`` or language "und" is a rejection.
 
 Models are learned from a bounded sample of labelled rows, in expectation
-``TRAIN_CHARS`` characters per language chosen by a hash of the id (labels and
-ids choose rows; they are never inputs of a prediction); an eighth of it is set
-aside for calibration.  What reaches the driver is the counts of the sample's
-distinct 4-grams, at most ``MAX_GRAMS`` of the most frequent.
+``TRAIN_CHARS`` characters per language and ``TOTAL_CHARS`` over all, chosen by
+a hash of the id (labels and ids choose rows; they are never inputs of a
+prediction); an eighth of it is set aside for calibration.  What reaches the
+driver is the counts of all distinct 4-grams of the sample, no more than its
+characters.
 
 Defined cases: text that is null or has no letter is "und" with score 0;
 rows with null lang are predicted but not learned from; with nothing to learn
-from every row is "und"; repeated rows repeat; letters beyond the basic plane
-share one symbol; texts of any length are scored whole.
+from every row is "und"; a text's result depends on the text alone, so repeated
+rows repeat; of languages with equal cross-entropy the first by name is taken;
+letters beyond the basic plane share one symbol; texts of any length are scored
+whole, in portions of ``BLOCK_CHARS`` characters that carry the n-gram context
+on; input columns named like the two results are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from .common import crc_mod
 
 ORDER = 4
 TRAIN_CHARS = 2_000_000
-MAX_GRAMS = 1_500_000
+TOTAL_CHARS = 8_000_000
 REJECT = 0.05
 UNKNOWN = "und"
 BLOCK_CHARS = 500_000
@@ -65,27 +69,68 @@ def _letters() -> np.ndarray:
 
 
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts (at least one), parted by spaces, and the number of symbols of each."""
+    """Symbols of all texts - words, each followed by one space - and the number of symbols of each."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    points = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.concatenate([[_SPACE], _letters()[points], [_SPACE]]).astype(np.uint64)
-    # Each text owns its characters and the separator after them; the first one also the space before.
-    owner = np.concatenate([[0], np.repeat(np.arange(len(texts)), lengths + 1)])
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != _SPACE) | (symbols[:-1] != _SPACE)
-    symbols, owner = symbols[keep], owner[keep]
-    return symbols, np.bincount(owner, minlength=len(texts))
-
-
-def grams(symbols: np.ndarray, order: int) -> np.ndarray:
-    """Packed n-grams that end at each symbol; before the first symbol stand spaces."""
-    padded = np.concatenate([np.full(order - 1, _SPACE, np.uint64), symbols])
+    points = np.frombuffer("".join(f"{t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    symbols = _letters()[points]
+    keep = symbols != _SPACE
+    keep[1:] |= keep[:-1] & ~keep[1:]  # of a run of spaces the first, if a letter stands before it
+    owner = np.repeat(np.arange(len(texts)), lengths + 1)[keep]
+    return symbols[keep].astype(np.uint64), np.bincount(owner, minlength=len(texts))
+
+
+def grams(symbols: np.ndarray, counts: np.ndarray, leads: np.ndarray | None = None, order: int = ORDER) -> np.ndarray:
+    """Packed n-grams that end at each symbol.
+
+    ``counts`` are the symbols of each text.  Before a text's first symbol stand
+    spaces, or its row of ``leads``: no n-gram reaches into another text.
+    """
+    gap = order - 1
+    place = np.arange(len(symbols)) + gap * (1 + np.repeat(np.arange(len(counts)), counts))
+    padded = np.full(len(symbols) + gap * len(counts), _SPACE, np.uint64)
+    padded[place] = symbols
+    if leads is not None:
+        starts = np.cumsum(counts) - counts + gap * np.arange(len(counts))
+        padded[starts[:, None] + np.arange(gap)] = leads
     packed = np.zeros(len(symbols), np.uint64)
-    for at in range(order):
-        packed = (packed << np.uint64(_BITS)) | padded[at : at + len(symbols)]
+    for back in range(gap, -1, -1):
+        packed = (packed << np.uint64(_BITS)) | padded[place - back]
     return packed
 
 
+def units(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (their positions), symbols, counts and leads, in portions of about ``BLOCK_CHARS`` characters.
+
+    Only a text beyond that is cut, at fixed places of its own, and goes on with
+    the symbols before the cut: its n-grams are those of the whole text.
+    """
+    held: list[int] = []
+    chars = 0
+
+    def portion(at: list[int]):
+        symbols, counts = normalise([texts[i] for i in at])
+        return at, symbols, counts, np.full((len(at), ORDER - 1), _SPACE, np.uint64)
+
+    for i, text in enumerate(texts):
+        if len(text) <= BLOCK_CHARS:
+            held.append(i)
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield portion(held)
+                held, chars = [], 0
+            continue
+        lead = np.full(ORDER - 1, _SPACE, np.uint64)
+        for cut in range(0, len(text), BLOCK_CHARS):
+            symbols, counts = normalise([text[cut : cut + BLOCK_CHARS]])
+            after = text[cut + BLOCK_CHARS : cut + BLOCK_CHARS + 1]
+            if after and after.isalpha() and text[cut + BLOCK_CHARS - 1].isalpha():
+                symbols, counts = symbols[:-1], counts - 1  # the word goes on
+            yield [i], symbols, counts, lead[None]
+            lead = np.concatenate([lead, symbols])[-(ORDER - 1) :]
+    if held:
+        yield portion(held)
+
+
 @dataclass
 class _Level:
     """One order's sorted hash array; a value of -inf in ``logp`` cannot occur."""
@@ -171,19 +216,21 @@ class KneserNey:
         return out
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats per symbol of each text under each language, and the number of symbols."""
-        symbols, counts = normalise(texts)
-        code, unique = pd.factorize(grams(symbols, self.order))
-        logp = self._backed_off(np.asarray(unique, np.uint64), self.order)
-        ends = np.cumsum(counts)
-        sums = np.zeros((len(texts) + 1, len(self.languages)))
-        for lang in range(len(self.languages)):
-            run = np.concatenate([[0.0], np.cumsum(logp[:, lang][code])])
-            sums[1:, lang] = run[ends]
-        letters = np.concatenate([[0], np.cumsum(symbols != _SPACE)])[ends]
-        letters = np.diff(letters, prepend=0)
-        n = np.where(letters > 0, counts, 0)
-        return -np.diff(sums, axis=0) / np.maximum(counts, 1)[:, None], n
+        """Nats per symbol of each text under each language, and the number of symbols.
+
+        A text's sums are made of its own symbols in order: they do not depend on
+        what else is in ``texts``.
+        """
+        sums = np.zeros((len(texts), len(self.languages)))
+        n = np.zeros(len(texts), np.int64)
+        for at, symbols, counts, leads in units(texts):
+            code, unique = pd.factorize(grams(symbols, counts, leads))
+            logp = self._backed_off(np.asarray(unique, np.uint64), self.order)
+            owner = np.repeat(np.arange(len(at)), counts)
+            for lang in range(len(self.languages)):
+                sums[at, lang] += np.bincount(owner, logp[:, lang][code], len(at))
+            n[at] += counts
+        return -sums / np.maximum(n, 1)[:, None], n
 
 
 @dataclass
@@ -262,14 +309,18 @@ def _blocks(column: pa.Array) -> Iterator[list[str]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, gram, n of the batch rows (lang, text)."""
     for batch in batches:
-        frame = pd.DataFrame({"lang": batch.column(0).to_pylist(), "text": batch.column(1).to_pylist()})
-        for lang, rows in frame.groupby("lang"):
-            symbols, _ = normalise(rows["text"].tolist())
-            unique, n = np.unique(grams(symbols, ORDER), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(unique), pa.string()), pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64))],
-                ["lang", "gram", "n"],
-            )
+        langs = np.array(batch.column(0).to_pylist(), object)
+        done = 0
+        for block in _blocks(batch.column(1)):
+            own = langs[done : done + len(block)]
+            done += len(block)
+            for at, symbols, counts, leads in units(block):
+                code, names = pd.factorize(own[at])
+                packed, of = grams(symbols, counts, leads), np.repeat(code, counts)
+                for i, name in enumerate(names):
+                    unique, n = np.unique(packed[of == i], return_counts=True)
+                    columns = [pa.array([name] * len(unique), pa.string()), pa.array(unique.view(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
@@ -281,14 +332,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Identifier(None)
     parts = 1 << 20
     share = F.lit(0.0)
+    most = min(TRAIN_CHARS, TOTAL_CHARS / len(sizes))
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, TRAIN_CHARS / max(n, 1)) * parts)).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / max(n, 1)) * parts)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(parts))
     sample = labelled.filter(draw < share)
     aside = F.pmod(F.xxhash64(F.lit("aside"), "id"), F.lit(8)) == 0
     counts = sample.filter(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS)
-    rows = counts.toArrow().to_pandas()
+    rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if not len(rows):
         return Identifier(None)
     identifier = Identifier(KneserNey(rows))
@@ -296,16 +347,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = {lang: i for i, lang in enumerate(identifier.model.languages)}
         for batch in batches:
-            best, margin, low, n = identifier.evidence([t or "" for t in batch.column(1).to_pylist()])
             truth = np.array([code.get(x, -1) for x in batch.column(0).to_pylist()])
-            columns = [truth, best, margin, low, n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(c, np.float64)) for c in columns], ["truth", "best", "margin", "low", "n"]
-            )
+            done = 0
+            for texts in _blocks(batch.column(1)):
+                columns = [truth[done : done + len(texts)], *identifier.evidence(texts)]
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.asarray(c, np.float64)) for c in columns], ["truth", "best", "margin", "low", "n"]
+                )
 
     held = sample.filter(aside).select("lang", "text")
     judged = held.mapInArrow(judge, "truth double, best double, margin double, low double, n double")
-    judged = judged.toArrow().to_pandas()
+    # In one order, so that the fit does not depend on which task ends first.
+    judged = judged.toArrow().to_pandas().sort_values(["truth", "best", "margin", "low", "n"])
     if len(judged):
         identifier.calibrate(*(judged[c].to_numpy() for c in ("truth", "best", "margin", "low", "n")))
     return identifier

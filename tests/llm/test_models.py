@@ -27,7 +27,7 @@ def test_language_accuracy(spark):
 
 def test_language_cases(spark):
     schema = "doc_id long, text string, lang string, lang_pred string, score string"
-    rows = [(1, None, "en", "x", "y"), (2, "", "de", "x", "y"), (3, "123 ...", "en", "x", "y"), (4, "the and of", None, "x", "y"), (None, "der die das", "de", "x", "y"), (5, "the cat " * 200_000, "en", "x", "y"), (5, "the cat", "en", "x", "y")]
+    rows = [(1, None, "en", "x", "y"), (2, "", "de", "x", "y"), (3, "123 ...", "en", "x", "y"), (4, "the and of", None, "x", "y"), (None, "der die das", "de", "x", "y"), (5, "the cat " * 200_000, "en", "x", "y"), (5, "the cat", "en", "x", "y"), (6, "the cat sat", "en", "x", "y")]
     df = spark.createDataFrame(rows, schema)
     got = {(r.doc_id, r.lang_pred) for r in langid.languages_of(df).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (None, "de"), (5, "en")} <= got
@@ -43,8 +43,8 @@ def test_kneser_ney_sums_to_one():
     import pandas as pd
 
     texts = ["abracadabra", "banana bandana"]
-    symbols, _ = langid.normalise(texts)
-    unique, n = np.unique(langid.grams(symbols, langid.ORDER), return_counts=True)
+    symbols, counts = langid.normalise(texts)
+    unique, n = np.unique(langid.grams(symbols, counts), return_counts=True)
     model = langid.KneserNey(pd.DataFrame({"lang": "x", "gram": unique.view(np.int64), "n": n}))
     known = np.unique(symbols)
     for context in ("abr", "ana", "zzz", " ba"):
@@ -55,6 +55,80 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model._backed_off(packed, 4)).sum() == pytest.approx(1.0, abs=1e-5)
 
 
+def brute_entropy(train, text):
+    """Interpolated Kneser-Ney 4-grams from the definition: nats per symbol of ``text`` after ``train``."""
+    line = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    tokens = lambda t: "".join(w + " " for w in line(t))
+    counts = [collections.Counter() for _ in range(5)]
+    for t in train:
+        s = "   " + tokens(t)
+        counts[4].update(s[i - 3 : i + 1] for i in range(3, len(s)))
+    for size in (3, 2, 1):
+        counts[size].update(g[1:] for g in counts[size + 1])
+    floor = 1 / (len(counts[1]) + 1)
+
+    def p(gram):
+        if not gram:
+            return floor
+        table = counts[len(gram)]
+        once, twice = (sum(n == k for n in table.values()) for k in (1, 2))
+        d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+        after = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return p(gram[1:])
+        return max(table[gram] - d, 0) / total + d * len(after) / total * p(gram[1:])
+
+    s = "   " + tokens(text)
+    return -sum(math.log(p(s[i - 3 : i + 1])) for i in range(3, len(s))) / max(len(s) - 3, 1)
+
+
+def small_model(train):
+    import pandas as pd
+
+    parts = []
+    for lang, texts in train.items():
+        symbols, counts = langid.normalise(texts)
+        unique, n = np.unique(langid.grams(symbols, counts), return_counts=True)
+        parts.append(pd.DataFrame({"lang": lang, "gram": unique.view(np.int64), "n": n}))
+    return langid.KneserNey(pd.concat(parts))
+
+
+TRAIN = {"x": ["Abracadabra, abra!", "cad 12 dab", ""], "y": ["banana bandana", "nab a band"]}
+ASKED = ["abra", "Nana band", "", "q", " cadab-ra 7", "ban  dan", "x y z", "abracadabra " * 40]
+
+
+def test_kneser_ney_brute_force():
+    entropy, n = small_model({"x": TRAIN["x"]}).cross_entropy(ASKED)
+    for text, e, k in zip(ASKED, entropy[:, 0], n):
+        if k:
+            assert e == pytest.approx(brute_entropy(TRAIN["x"], text), rel=1e-5)
+
+
+def test_texts_are_scored_alone(monkeypatch):
+    """The result of a text is the same, bit for bit, in any block, and when it is dealt with in portions."""
+    model = small_model(TRAIN)
+    alone = np.concatenate([model.cross_entropy([t])[0] for t in ASKED])
+    assert (model.cross_entropy(ASKED)[0] == alone).all()
+    assert (model.cross_entropy(ASKED[::-1])[0][::-1] == alone).all()
+    for block in (1, 2, 5, 13):
+        monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+        entropy, n = model.cross_entropy(ASKED)
+        assert entropy == pytest.approx(alone, rel=1e-12)
+
+
+def test_language_ties():
+    """Equal models: the first language by name."""
+    model = small_model({"b": TRAIN["x"], "a": TRAIN["x"]})
+    assert langid.Identifier(model).predict(["abra", ""])[0] == ["a", "und"]
+
+
+def test_languages_at_any_partitioning(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = [{(r.doc_id, r.lang_pred, r.score) for r in langid.languages_of(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert found[0] == found[1]
+
+
 def brute_base(rows):
     tokens = {i: (t or "").encode().lower().split() + [b"\n"] for i, (_, t) in enumerate(rows)}
     counts = collections.Counter(w for i, (d, _) in enumerate(rows) if crc(d, 10) for w in tokens[i])
