@@ -370,25 +370,27 @@ def identify(
 ) -> DataFrame:
     """``docs`` with the columns ``out`` added; columns of these names that it has already are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(identifier)
-    docs = docs.drop(*out)
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    schema += f", `{out[0]}` string, `{out[1]}` double"
+    # Numbered names inside: names with dots or back-quotes cannot be passed through as they are.
+    given = [n for n in docs.columns if n not in out]
+    names = [f"c{i}" for i in range(len(given))]
+    text_at = given.index(text_col)
+    docs = docs.select([F.col(f"`{n.replace('`', '``')}`").alias(c) for n, c in zip(given, names)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", found string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             at = 0
-            for texts in _blocks(batch.column(names.index(text_col))):
+            for texts in _blocks(batch.column(text_at)):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 langs, scores = own.predict(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    [*names, *out],
+                    [*names, "found", "score"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*given, *out)
 
 
 def languages_of(docs: DataFrame, held_out: tuple[int, int] = (4, 2)) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from measurelake.llm import shingles
+from measurelake.llm import simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -63,8 +63,38 @@ def test_stage_on_the_table(spark):
     assert got == brute_kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("bucket_nodes", [shingles.BUCKET_NODES, 7])
+@pytest.mark.parametrize("bucket_nodes", [simhash.BUCKET_NODES, 7])
 def test_dense_group_in_chunks(spark, monkeypatch, bucket_nodes):
-    monkeypatch.setattr(shingles.near_links, "__defaults__", (bucket_nodes,))
+    monkeypatch.setattr(simhash, "BUCKET_NODES", bucket_nodes)
     rows = [(p, changed(0, [p])) for p in range(200)] + [(500, None), (501, " "), (502, "A b"), (503, "a  B")]
     assert stage(spark, rows) == {0, 500, 502} == brute_kept(rows)
+
+
+def test_recall_of_parts():
+    """Sets at similarity 0.8 share a part, whatever their size and on whichever side the difference lies."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    missed = asked = 0
+    for n in (4, 5, 9, 10, 20, 33, 64, 127, 128, 200, 511, 1000, 4000):
+        for grow in (0.0, 0.5, 1.0):
+            for _ in range(60):
+                # c common hashes, a only in one set, b only in the other: c / (a + b + c) >= 0.8.
+                apart = n // 5
+                a = int(apart * grow)
+                pool = rng.integers(0, 2**64, n, dtype=np.uint64)
+                common, left, right = pool[apart:], pool[:a], pool[a:apart]
+                one, two = (np.unique(np.concatenate([common, x])) for x in (left, right))
+                if len(common) and 5 * len(common) >= 4 * n:
+                    asked += 1
+                    missed += not set(simhash.part_cells(one).tolist()) & set(simhash.part_cells(two).tolist())
+    assert asked > 2000 and missed <= 0.002 * asked
+
+
+def test_unrelated_sets_share_no_part():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(300)]
+    cells = [c for s in sets for c in set(simhash.part_cells(s).tolist())]
+    assert len(cells) == len(set(cells))
