@@ -4,23 +4,29 @@ Base spans come from four patterns (e-mail, IP address, card, phone), each
 found leftmost and without overlap; matches that fail their test are dropped
 and not retried.  Those values are the protected entities.
 
-The sanitisation asks how much a term near an entity tells about it.  Every
-mention has a context: the ``CONTEXT_WORDS`` words on either side.  With N
-corpus windows of that size, n_e distinct contexts of entity e, n_et of them
-with term t and count(t) occurrences of t in the whole corpus, the pointwise
-mutual information is PMI = log2(n_et * N / (n_e * count(t))) and the entity's
-information content is IC = log2(N / n_e), the largest value PMI can take.  A
-term that stands in at least ``MIN_CONTEXTS`` different contexts of e and
-reaches PMI >= ``DISCLOSURE`` * IC discloses e; its occurrences in documents
-that mention e become spans of kind "term", to be generalised with the rest.
-Equal contexts count once, so copies of a text are no evidence.
+The sanitisation asks how much a term (a run of two or more letters and digits)
+near an entity tells about it.  Every mention has a context: the terms that
+stand whole within ``CONTEXT_CHARS`` characters on either side, whatever else is
+mentioned there.  Equal contexts of an entity count once, so copies of a text are
+no evidence.  With N corpus windows of that size, n_e contexts of entity e, n_et
+of them with term t and n_t occurrences of t in the whole corpus, the pointwise
+mutual information is PMI = log2(n_et * N / (n_e * n_t)) and the entity's
+information content is IC = log2(N / n_e), the largest value PMI can take.
+Small counts are discounted (Pantel and Lin) by n_et / (n_et + 1) times
+m / (m + 1), m the smaller of n_e and n_t.  A term whose discounted PMI reaches
+``DISCLOSURE`` * IC discloses e; its occurrences in documents that mention e
+become spans of kind "term", to be generalised with the rest.  In a single
+context every word that occurs nowhere else would reach IC, so pairs are tested
+from two different contexts on.
 
 Patterns are written so that the regular-expression engine neither recurses
 per character nor rescans a run from each of its characters.
 
 Defined cases: null text is empty text and has no spans; repeated rows are
 judged row by row; positions are code points, ends exclusive; a term inside a
-base span is not listed again; empty tables give no rows.
+base span is not listed again; of spans with one start the kinds come in the
+order of ``KINDS``, terms last; long texts are searched whole; other columns of
+the input, whatever their names, do not matter; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,14 +44,13 @@ KINDS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 TERM = "term"
-CONTEXT_WORDS = 4
-CONTEXT_CHARS = 160
-WINDOW_CHARS = 48
-MIN_CONTEXTS = 3
-DISCLOSURE = 0.6
+CONTEXT_CHARS = 100
+DISCLOSURE = 0.4
 #: Candidate terms are broadcast up to this many (some tens of bytes each).
 BROADCAST_TERMS = 200_000
-_TERM_WORD = r"\p{L}{3,}+"
+_TERM_WORD = r"[\p{L}\p{N}]{2,}+"
+#: What a context's edge cuts: the rest of a word, or the one character beyond the edge.
+_CUT = r"(?:[\p{L}\p{N}]++|[^\p{L}\p{N}])"
 
 
 def _luhn(digits: Column) -> Column:
@@ -71,32 +76,31 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
+_MATCH = "struct<kind:string,i:int,gap:int,value:string>"
+
+
 def _found(text: Column, kind: str, pattern: str) -> Column:
-    """Matches of one kind in order: kind, i, gap (characters since the match before), value, context."""
+    """Matches of one kind in order: kind, i, gap (characters since the match before) and value."""
     gaps = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.transform(
-        F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("h")),
-        lambda x, i: F.struct(
-            F.lit(kind).alias("kind"),
-            i.alias("i"),
-            F.length(x["g"]).alias("gap"),
-            x["m"].alias("value"),
-            F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("left"),
-            F.left(x["h"], F.lit(CONTEXT_CHARS)).alias("right"),
-        ),
+        F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("g")),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["g"]).alias("gap"), x["m"].alias("value")),
     )
 
 
+def _may_hold(text: Column) -> dict[str, Column]:
+    """Cheap conditions without which a text has no match of the kind."""
+    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
+
+
 def _mentions(docs: DataFrame) -> DataFrame:
-    """One row per valid match, and one with null kind per row: row, doc_id, n_chars, kind, start, end, ..."""
+    """One row per valid match, and one with null kind per row: row, doc_id, n_chars, kind, value, start, end."""
     text = F.col("text")
-    none = F.lit(None).cast("array<struct<kind:string,i:int,gap:int,value:string,left:string,right:string>>")
-    may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]"), "phone": text.contains("+")}
-    columns = [F.when(may[kind], _found(text, kind, pattern)).otherwise(none).alias(kind) for kind, pattern in KINDS]
+    may = _may_hold(text)
+    columns = [F.when(may[kind], _found(text, kind, pattern)).alias(kind) for kind, pattern in KINDS]
     wide = docs.select("row", "doc_id", F.length("text").alias("n_chars"), *columns)
-    row = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("i", "int"), ("gap", "int"), ("value", "string"), ("left", "string"), ("right", "string"))])
-    parts = F.concat(F.array(row), *[F.coalesce(k, F.array().cast("array<struct<kind:string,i:int,gap:int,value:string,left:string,right:string>>")) for k, _ in KINDS])
+    parts = F.concat(F.array(F.lit(None).cast(_MATCH)), *[F.coalesce(k, F.array().cast(f"array<{_MATCH}>")) for k, _ in KINDS])
     long = wide.select("row", "doc_id", "n_chars", F.explode(parts).alias("x")).select("row", "doc_id", "n_chars", "x.*")
     own = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("value")).over(own).cast("long")
@@ -104,32 +108,48 @@ def _mentions(docs: DataFrame) -> DataFrame:
     return placed.filter(F.col("kind").isNull() | _valid(F.col("kind"), F.col("value"))).drop("i", "gap")
 
 
+def _contexts(mentions: DataFrame, docs: DataFrame) -> DataFrame:
+    """entity, row and near (the distinct terms around it, sorted) of every mention."""
+    may = _may_hold(F.col("text"))
+    texts = docs.filter(may["email"] | may["card"] | may["phone"]).select("row", "text")
+    own = mentions.filter("kind is not null").select("row", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "start", "end")
+    both = own.join(texts, "row")
+    start, end, reach = F.col("start").cast("int"), F.col("end").cast("int"), F.lit(CONTEXT_CHARS)
+    text = F.col("text")
+    # One character more than the context tells whether its edge cuts a word.
+    left = F.substring(text, F.greatest(start - reach, F.lit(1)), F.least(start, reach + 1))
+    left = F.when(start > reach, F.regexp_replace(left, f"^{_CUT}", "")).otherwise(left)
+    right = F.substring(text, end + 1, reach + 1)
+    right = F.when(F.length(right) > reach, F.regexp_replace(right, f"{_CUT}$", "")).otherwise(right)
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_TERM_WORD), F.lit(0))
+    return both.select("entity", "row", F.array_sort(F.array_distinct(F.concat(words(left), words(right)))).alias("near"))
+
+
 def _disclosing(mentions: DataFrame, docs: DataFrame, n_chars: int) -> DataFrame | None:
     """(row, term): which terms are to go in which rows; None if no term comes into question."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_TERM_WORD), F.lit(0))
-    left, right = words(F.col("left")), words(F.col("right"))
-    near = F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS), F.slice(right, 1, CONTEXT_WORDS))
-    named = mentions.filter("kind is not null").select(
-        F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "row", near.alias("near")
-    )
+    named = stage_table(_contexts(mentions, docs), "pii-contexts")
     contexts = named.groupBy("entity", F.xxhash64("near").alias("context")).agg(F.first("near").alias("near"))
-    pairs = contexts.select("entity", "context", F.explode(F.array_distinct("near")).alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= MIN_CONTEXTS)
-    joint = joint.join(contexts.groupBy("entity").agg(F.count("*").alias("n_e")), "entity")
-    joint = stage_table(joint, "pii-joint")
+    sizes = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter("n_e > 1")
+    pairs = contexts.select("entity", F.explode("near").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter("n_et > 1")
+    joint = stage_table(joint.join(sizes, "entity"), "pii-joint")
     terms = joint.select("term").distinct()
     size = terms.count()
     if not size:
         return None
     hint = F.broadcast if size <= BROADCAST_TERMS else (lambda frame: frame)
-    every = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TERM_WORD), F.lit(0))).alias("term"))
     counts = every.join(hint(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    windows = max(2.0, n_chars / WINDOW_CHARS)
-    n_e, n_et = F.col("n_e").cast("double"), F.col("n_et").cast("double")
-    pmi = F.log2(n_et * windows / (n_e * F.greatest(F.col("n_t"), F.col("n_et"))))
+    windows = max(2.0, n_chars / (2 * CONTEXT_CHARS))
+    n_e, n_et, n_t = (F.col(c).cast("double") for c in ("n_e", "n_et", "n_t"))
+    low = F.least(n_e, n_t)
+    pmi = F.log2(n_et * windows / (n_e * F.greatest(n_t, n_et))) * n_et / (n_et + 1) * low / (low + 1)
     content = F.log2(F.lit(windows) / n_e)
     told = joint.join(counts, "term").filter((content > 0) & (pmi >= content * DISCLOSURE)).select("entity", "term")
-    return named.select("entity", "row").distinct().join(told, "entity").select("row", "term").distinct()
+    told = stage_table(told, "pii-terms")
+    few = told.count() <= BROADCAST_TERMS
+    # An entity on every page is a hot key of this join: it is broadcast or left to adaptive skew handling.
+    return named.select("entity", "row").distinct().join(F.broadcast(told) if few else told, "entity").select("row", "term").distinct()
 
 
 def _term_spans(docs: DataFrame, told: DataFrame) -> DataFrame:

@@ -230,3 +230,70 @@ def test_disclosing_terms(spark):
     joined = pii.numbered(df).join(found.select("row", "spans"), "row")
     clean = {r.doc_id: r.t for r in joined.select("doc_id", pii.generalise(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert clean[0] == "the alpha [TERM] wrote alpha from [EMAIL] and the alpha letter" and clean[100] == rows[6][1]
+
+
+def brute_terms(rows):
+    """The disclosing terms of every row, from the definition."""
+    from math import log2
+
+    word = re.compile(r"[^\W_]{2,}")
+    reach, entities, near = pii.CONTEXT_CHARS, {}, {}
+    total = sum(len(t or "") for _, t in rows)
+    for n, (_, text) in enumerate(rows):
+        for kind, p in PATTERNS:
+            for m in re.finditer(p, text or ""):
+                if valid(kind, m.group()):
+                    a, b = m.span()
+                    inside = lambda x: a - reach <= x.start() and x.end() <= a or b <= x.start() and x.end() <= b + reach
+                    # A word may touch the mention: it ends or begins there.
+                    parts = [x for piece in (re.finditer(word, text[:a]), word.finditer(text, b)) for x in piece]
+                    entity = f"{kind}:{m.group().lower()}"
+                    entities.setdefault(entity, set()).add(n)
+                    near.setdefault(entity, set()).add(frozenset(x.group().lower() for x in parts if inside(x)))
+    counts = {}
+    for _, text in rows:
+        for x in word.findall((text or "").lower()):
+            counts[x] = counts.get(x, 0) + 1
+    windows = max(2.0, total / (2 * reach))
+    out = [set() for _ in rows]
+    for entity, contexts in near.items():
+        n_e = len(contexts)
+        for term in set().union(*contexts):
+            n_et, n_t = sum(term in c for c in contexts), counts.get(term, 0)
+            low = min(n_e, n_t)
+            if n_et < 2 or not n_t or n_e >= windows:
+                continue
+            score = log2(n_et * windows / (n_e * max(n_t, n_et))) * n_et / (n_et + 1) * low / (low + 1)
+            if score >= pii.DISCLOSURE * log2(windows / n_e):
+                for n in entities[entity]:
+                    out[n].add(term)
+    return out
+
+
+def check_terms(df):
+    rows = [(r.doc_id, r.text) for r in pii.numbered(df).orderBy("row").collect()]
+    want = brute_terms(rows)
+    found = pii.find_spans(df).orderBy("row").select("spans").collect()
+    number = 0
+    for (_, text), terms, (spans,) in zip(rows, want, found):
+        text = text or ""
+        base = [(s.start, s.end) for s in spans if s.kind != pii.TERM]
+        free = lambda m: not any(a < m.end() and m.start() < b for a, b in base)
+        got = [(s.start, s.end) for s in spans if s.kind == pii.TERM]
+        assert got == [m.span() for m in re.finditer(r"[^\W_]{2,}", text) if m.group().lower() in terms and free(m)]
+        number += len(got)
+    return number
+
+
+def test_terms_against_brute_force(spark):
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
+    rows = [(i, f"{w} " * (3 * i) + f"Ann7 of {w} mailed zed@corp.example, ip 10.0.0.1 or 10.0.0.1x Zorblatt9 {w} " + f"{w} " * 30 + "end") for i, w in enumerate(words)]
+    rows += [(50, rows[0][1]), (51, None), (52, ""), (53, "twice Qux met 10.0.0.1 here"), (54, "then Qux saw 10.0.0.1 there"), (55, "once Lone met 10.0.0.2")]
+    rows += [(100 + i, f"the {w} cat mailed the dog " * 40) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert check_terms(df) > 10
+    assert "qux" in brute_terms(rows)[9] and "lone" not in brute_terms(rows)[11]
+
+
+def test_terms_of_the_table(spark):
+    check_terms(spark.read.parquet(f"{SF}/documents.parquet"))
