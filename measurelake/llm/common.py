@@ -5,7 +5,11 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -92,3 +96,13 @@ def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
         except AnalysisException:  # a column called _metadata, or a source without row indexes
             pass
     return stage_table(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with some ``most`` bytes in a string column (one row may have more)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(sizes + 64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -1,20 +1,26 @@
 """Main-text extraction from HTML by text-to-tag ratios.
 
 The standard library's parser streams events; block elements split the page
-into lines.  Every line has a text-to-tag ratio (characters over the tags since
-the line before), the ratios are smoothed with a Gaussian kernel, and a
-two-cluster threshold on the smoothed values marks content lines.  The content
-lines vote for the region: the article elements that hold them, else the main
-element, else the smallest container with most of their text.  All lines of the
-region are kept, short ones too, except those within boilerplate elements
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
-scripts, styles, hidden parts).  Where no semantic element names the region,
-lines outside the first and last content line are not part of it.
+into lines.  Every line has a text-to-tag ratio (characters outside links over
+the tags since the line before), the ratios are smoothed with a Gaussian kernel,
+and a two-cluster threshold on the smoothed values marks content lines.  The
+content lines choose the region: from the page down, the child that holds most of
+their text, as long as one holds ``REGION_SHARE`` of it.
+
+Names are priors on that.  Elements that are never article text (menus, footers,
+forms, scripts ...) and those whose class, id or role is a boilerplate name as a
+whole cannot hold content.  A boilerplate word within a longer name removes a
+block only if the ratios agree: most of its text is in links, or its own ratio is
+below the threshold.  A region within an article or main element extends to all of it,
+and its short lines stay.  Without such an element the region's lines from the
+first to the last content line count, with the headings before, and without the
+blocks that are mostly links below the threshold.
 
 Defined cases: null or empty html gives an empty text; so does a page with
-nothing but boilerplate; malformed markup is read as the parser reads it;
-repeated rows give repeated results; texts are never cut; other columns of the
-input do not matter.
+nothing but boilerplate; malformed markup is read as the parser reads it; of two
+children with equal content the first is taken; repeated rows give repeated
+results; texts are never cut, long pages are parsed whole, one at a time; other
+columns of the input, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,7 +50,7 @@ DROPPED = frozenset(
     "aside button canvas dialog fieldset footer form head iframe input menu nav noscript object option "
     "script select style svg template textarea title".split()
 )
-#: Words in class, id or role that mark boilerplate.
+#: Words in class, id or role that mark boilerplate.  Fixed values.
 MARKS = frozenset(
     "ad ads adslot advert advertisement adverts banner breadcrumb breadcrumbs complementary comment "
     "commentlist comments consent contentinfo cookie cookies dialog disqus footer form gdpr header hidden login "
@@ -50,6 +58,13 @@ MARKS = frozenset(
     "promoted promotion recommended related reply replies respond responses search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words that say where or what kind of box an element is and nothing of its text.  Fixed values.
+BOXES = frozenset(
+    "area articles bar body bottom box button buttons col column container content cta entry footer global group "
+    "holder icons inner item items js left level links list main menu outer page pages panel posts primary right row "
+    "secondary section site slot stories text thread top topics unit user wrap wrapper".split()
+)
+_UNSEEN = frozenset("head iframe script select style svg template textarea title".split())
 #: Elements that a mark never removes.
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Start tags that close an open element of the first kind.
@@ -61,17 +76,31 @@ _LAYOUT = ("has-", "with-", "no-", "without-", "is-", "overflow-")
 
 
 @lru_cache(maxsize=4096)
-def marks_of(value: str) -> frozenset[str]:
-    """The boilerplate words among the names of a class, id or role attribute."""
-    names = [n for n in value.split() if not n.lower().startswith(_LAYOUT)]
-    found = {w.lower() for n in names for w in _WORDS.findall(n)} & MARKS
-    if "hidden" in found and "hidden" not in names:  # only as a name of its own
-        found.discard("hidden")
-    return frozenset(found)
+def marks_of(value: str) -> tuple[frozenset[str], bool]:
+    """The boilerplate words among the names of a class, id or role attribute, and whether a whole name is made of them.
+
+    A name is a boilerplate name as a whole if all its words are marks or boxes
+    ("comment-list"); "related-work" only has a mark in it.
+    """
+    found: set[str] = set()
+    whole = False
+    for name in value.split():
+        if name.lower().startswith(_LAYOUT):
+            continue
+        words = [w.lower() for w in _WORDS.findall(name)]
+        marks = MARKS.intersection(words)
+        if "hidden" in marks and len(words) > 1:  # only as a name of its own
+            marks = marks - {"hidden"}
+        found |= marks
+        whole |= bool(marks) and all(w in MARKS or w in BOXES or w.isdigit() for w in words)
+    return frozenset(found), whole
+
 
 SIGMA = 1.5
 REGION_SHARE = 0.75
-ARTICLE_SHARE = 0.2
+#: The share of a block's text in links from which it is a menu.
+MOSTLY = 0.5
+BATCH_BYTES = 16_000_000
 
 
 class _Page(HTMLParser):
@@ -82,9 +111,12 @@ class _Page(HTMLParser):
         self.names: list[str] = ["#page"]  # every element seen
         self.parent: list[int] = [-1]
         self.dropped: list[bool] = [False]
+        self.doubtful: list[bool] = [False]  # a boilerplate word within a longer name
+        self.unseen: list[bool] = [False]
         self.open: list[int] = [0]
-        self.lines: list[tuple[str, int, int]] = []  # text, innermost element, tags
+        self.lines: list[tuple[str, int, int, int]] = []  # text, innermost element, tags, characters in links
         self.buffer: list[str] = []
+        self.linked = 0
         self.tags = 0
 
     def flush(self) -> None:
@@ -92,8 +124,9 @@ class _Page(HTMLParser):
             text = " ".join("".join(self.buffer).split())
             self.buffer = []
             if text:
-                self.lines.append((text, self.open[-1], self.tags))
+                self.lines.append((text, self.open[-1], self.tags, min(self.linked, len(text))))
                 self.tags = 0
+        self.linked = 0
 
     def _pop_to(self, depth: int) -> None:
         del self.open[depth:]
@@ -122,32 +155,39 @@ class _Page(HTMLParser):
             if tag in CLOSES and (at := self._find(CLOSES[tag], {"ul", "ol", "dl", "table"})):
                 self._pop_to(at)
         at = self.open[-1]
+        drop, doubt = self._judged(tag, attrs)
         self.names.append(tag)
         self.parent.append(at)
         # The main element counts even inside a wrapper whose class looks like boilerplate.
-        self.dropped.append(tag != "main" and (self.dropped[at] or self._unwanted(tag, attrs)))
+        self.dropped.append(tag != "main" and (self.dropped[at] or drop))
+        self.doubtful.append(doubt)
+        self.unseen.append(self.unseen[at] or tag in _UNSEEN)
         self.open.append(len(self.names) - 1)
 
-    def _unwanted(self, tag, attrs) -> bool:
+    def _judged(self, tag, attrs) -> tuple[bool, bool]:
+        """Whether an element is boilerplate by its name and attributes, and whether that is for the ratios to say."""
         if tag in DROPPED:
-            return True
+            return True, False
         if tag == "header":
-            return not self._find({"article", "main"})
+            return not self._find({"article", "main"}), False
         if tag in KEPT:
             # An article inside an article is a reader's comment if it is marked so.
             if tag != "article" or not self._find({"article"}):
-                return False
+                return False, False
+        doubt = False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return True, False
             if value and name in ("class", "id", "role"):
-                marks = marks_of(value)
+                marks, whole = marks_of(value)
                 # A header inside the article is its heading.
                 if marks and (marks != {"header"} or not self._find({"article", "main"})):
-                    return True
+                    if whole:
+                        return True, False
+                    doubt = True
             if value and name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return True, False
+        return False, doubt
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -162,8 +202,14 @@ class _Page(HTMLParser):
             self._pop_to(at)
 
     def handle_data(self, data) -> None:
-        if not self.dropped[self.open[-1]] or self.names[self.open[-1]] not in ("script", "style"):
+        if not self.unseen[self.open[-1]]:
             self.buffer.append(data)
+            if self._find({"a"}, BLOCK):
+                self.linked += len(data.strip())
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LEAVES = frozenset("p li dt dd span a b i em strong blockquote pre h1 h2 h3 h4 h5 h6".split())
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -175,19 +221,19 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return top / np.convolve(np.ones(len(values)), kernel)[radius : radius + len(values)]
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines belong to the upper of two clusters of the smoothed ratios."""
+def content_lines(ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which lines belong to the upper of two clusters of the smoothed ratios, and the ratio that parts them."""
     x = np.log1p(smooth(ratios))
     low, high = x.min(), x.max()
     if high - low < 0.7:  # less than a factor of two: one cluster
-        return np.ones(len(x), bool)
+        return np.ones(len(x), bool), 0.0
     for _ in range(50):
         upper = x > (low + high) / 2
         new = x[~upper].mean(), x[upper].mean()
         if new == (low, high):
             break
         low, high = new
-    return x > (low + high) / 2
+    return x > (low + high) / 2, float(np.expm1((low + high) / 2))
 
 
 def extract_main_text(html: str | None) -> str:
@@ -201,46 +247,62 @@ def extract_main_text(html: str | None) -> str:
         page.feed(html.replace("<![", "&lt;!["))
         page.close()
     page.flush()
-    lines = [(text, at, text and len(text) / (1 + tags)) for text, at, tags in page.lines]
+    lines = page.lines
     if not lines:
         return ""
-    chosen = content_lines(np.array([ratio for _, _, ratio in lines], float))
-    kept = [not page.dropped[at] for _, at, _ in lines]
-    if not any(kept):
+    chosen, least = content_lines(np.array([(len(text) - links) / (1 + tags) for text, _, tags, links in lines]))
+    sizes = np.array([len(text) for text, *_ in lines], float)
+    places = np.array([at for _, at, _, _ in lines])
+    in_links = np.array([links for *_, links in lines], float)
+    parents = page.parent
+
+    def under(values: np.ndarray) -> np.ndarray:
+        """Sums under every element; children come after their parents."""
+        total = np.bincount(places, values, len(parents))
+        for at in range(len(total) - 1, 0, -1):
+            total[parents[at]] += total[at]
+        return total
+
+    size = np.maximum(under(sizes), 1)
+    tags = np.array([tags for _, _, tags, _ in lines], float)
+    # Unsmoothed, for a block is judged by itself.
+    low = (under(sizes - in_links) / (1 + under(tags)) < least) | (under(in_links) > MOSTLY * size)
+    gone = list(page.dropped)
+    for at in range(1, len(gone)):
+        gone[at] = gone[at] or page.names[at] != "main" and (gone[parents[at]] or page.doubtful[at] and bool(low[at]))
+    kept = ~np.array(gone)[places]
+    if not kept.any():
         return ""
-    if not any(k and c for k, c in zip(kept, chosen)):
-        chosen = np.array(kept)
-    # Text of content lines under every element; children come after their parents.
-    weight = np.zeros(len(page.names))
-    for (text, at, _), k, c in zip(lines, kept, chosen):
-        weight[at] += len(text) * (k and c)
-    for at in range(len(weight) - 1, 0, -1):
-        weight[page.parent[at]] += weight[at]
-    roots = {at for at in range(len(weight)) if page.names[at] == "article" and not page.dropped[at] and weight[at]}
-    best = max((weight[at] for at in roots), default=0)
-    roots = {at for at in roots if weight[at] >= ARTICLE_SHARE * best}
-    if not roots:
-        mains = [at for at in range(len(weight)) if page.names[at] == "main" and not page.dropped[at] and weight[at]]
-        roots = {max(mains, key=lambda at: weight[at])} if mains else set()
-    semantic = bool(roots)
-    if not semantic:
-        children: dict[int, list[int]] = {}
-        for at in range(1, len(weight)):
-            children.setdefault(page.parent[at], []).append(at)
-        at = 0
-        while best := max(children.get(at, ()), key=lambda c: weight[c], default=0):
-            if weight[best] < REGION_SHARE * weight[at] or page.names[best] in ("p", "li", "tr", "td", "span"):
-                break
-            at = best
-        roots = {at}
-    inside = [False] * len(weight)
-    for at in range(len(weight)):
-        inside[at] = at in roots or at > 0 and inside[page.parent[at]]
-    rows = [n for n, (_, at, _) in enumerate(lines) if kept[n] and inside[at]]
-    if not semantic:
-        content = [n for n in rows if chosen[n]]
-        rows = [n for n in rows if content and content[0] <= n <= content[-1]]
-    return "\n\n".join(lines[n][0] for n in rows)
+    content = kept & chosen if (kept & chosen).any() else kept
+    weight = under(sizes * content)
+    children: dict[int, list[int]] = {}
+    for at in range(1, len(weight)):
+        children.setdefault(parents[at], []).append(at)
+    region = 0
+    while best := max(children.get(region, ()), key=lambda c: weight[c], default=0):
+        if weight[best] < REGION_SHARE * weight[region] or not weight[best] or page.names[best] in _LEAVES:
+            break
+        region = best
+    # The element that names the article, if the region is in one: the outermost article, else the main element.
+    above, at = [], region
+    while at >= 0:
+        above.append(at)
+        at = parents[at]
+    named = [at for at in above if page.names[at] == "article"] or [at for at in above if page.names[at] == "main"]
+    inside = np.zeros(len(weight), bool)
+    inside[named[-1] if named else region] = True
+    for at in range(1, len(weight)):
+        inside[at] |= inside[parents[at]]
+    rows = kept & inside[places]
+    if not named:
+        first, last = np.flatnonzero(rows & content)[[0, -1]]
+        while first and page.names[places[first - 1]] in _HEADINGS and kept[first - 1]:
+            first -= 1
+            rows[first] = True
+        # A block of links below the threshold is a menu, whatever its name.
+        menus = (under(in_links) > MOSTLY * size) & (under(sizes * chosen) == 0)
+        rows &= (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last) & ~menus[places]
+    return "\n\n".join(lines[n][0] for n in np.flatnonzero(rows))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -248,8 +310,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 2, BATCH_BYTES):
                 texts = [extract_main_text(h.as_py()) for h in part.column(2)]
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -59,6 +59,40 @@ def test_extraction_cases(page, want):
     assert html_extract.extract_main_text(page).split("[foo x\n\n")[-1] == want
 
 
+MENU = "".join(f"<td><a href=/{w}>{w}</a></td>" for w in ("Home", "News", "Sport", "About"))
+CELLS = f"<table><tr>{MENU}</tr></table><table><tr><td><a href=x>Home</a><br><a href=y>Archive</a></td><td><h2>Title</h2><p>{LONG}</p><p>Short one.</p><p>{LONG} {LONG}</p></td></tr></table><p>Imprint</p>"
+FARM = "<div><div>" + "".join(f"<p><a href=/{i}>Linked words number {i}</a></p>" for i in range(40)) + f"</div><div><h1>Head</h1><p>{LONG}</p><p>No.</p><p>{LONG}</p></div></div>"
+WIDE = f"<div><span>12 May</span> | <span>3 min</span> | <span>Log in</span></div><div><div><h1>Head</h1><p>{LONG}</p><p>No.</p><p>{LONG}</p></div><div><a href=a>{LONG[:30]}</a> <a href=b>{LONG[:25]}</a></div></div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (CELLS, f"Title\n\n{LONG}\n\nShort one.\n\n{LONG} {LONG}"),
+        (FARM, f"Head\n\n{LONG}\n\nNo.\n\n{LONG}"),
+        (WIDE, f"Head\n\n{LONG}\n\nNo.\n\n{LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><section class='search-results'><p>{LONG}</p></section><p class='related-work'>{LONG}</p><div class='share-prices'>{LONG}</div></article>", "\n\n".join(["T", *[LONG] * 4])),
+        (f"<div class=content><p>{LONG}</p><div class='reply-to-critics'><p>{LONG}</p></div><p>{LONG}</p></div>", "\n\n".join([LONG] * 3)),
+        (f"<article><p>{LONG}</p><div class='related-reading'><a href=1>One thing</a> <a href=2>Other</a></div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='comment-list'><p>{LONG}</p></div></article>", LONG),
+    ],
+)
+def test_regions_by_ratio(page, want):
+    assert html_extract.extract_main_text(page) == want
+
+
+def test_clustering_decides(monkeypatch):
+    """Without the clusters pages without semantic elements come out differently."""
+    import numpy as np
+
+    menu = "<nav>" + "<li><a href=x>y</a></li>" * 8 + "</nav>"
+    doubtful = f"{menu}<article><p>{LONG}</p><p>{LONG}</p><div class='share-tools'><b>Tell</b> <i>us</i></div></article>"
+    pages = [FARM, doubtful]
+    right = [html_extract.extract_main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "content_lines", lambda ratios: (np.ones(len(ratios), bool), 0.0))
+    assert all(html_extract.extract_main_text(p) != r for p, r in zip(pages, right))
+
+
 def test_extraction_frames(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, None, None), (1, None, None), (None, "u", "<p>" + "word " * 100_000)]
