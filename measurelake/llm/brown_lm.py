@@ -1,27 +1,40 @@
 """Language-model scores by Brown's class-based n-grams.
 
-Tokens are white-space words with A-Z lower-cased, then one end per text.
-The ``ITEMS`` most frequent words are items of their own; every other word,
-known or not, belongs to the item of its ending (a hash of its last
-characters).  Exchange clustering moves items between ``CLASSES`` classes while
-that raises the likelihood of the class bigrams.  A text's probability is
+Tokens are white-space words with A-Z lower-cased, then one end per text.  Every
+word of the training texts is assigned a class by exchange: by the gain in the
+likelihood of the class bigrams that its neighbours' classes give.
+
+1. The ``ITEMS`` most frequent words, the endings of all others (a hash of their
+   last characters) and the end are clustered into ``CLASSES`` classes by moving
+   one after the other, on the driver: their bigrams are a table of fixed size.
+2. The other words of the ``RESIDENT`` most frequent ones choose their classes in
+   parallel, by counts of their neighbours' classes over all texts, against the
+   classes of step 1 (a batch of the exchange, as in distributed clustering).
+3. All further words, an unbounded table keyed by word, do the same against the
+   classes of step 2.  None of them is frequent, so no key is hot.
+
+A text's probability is
 
     product of P(class | class before) * P(word | class)
 
 with transitions smoothed towards the class frequencies and emissions
 (c + 0.1) / (N_class + 0.1 * (V_class + 1)); the end is a class of its own and
-also stands before the first word.  The base score is the unigram model of the
-same counts.
+also stands before the first word.  As the condition ("class before") a word
+beyond the resident ones counts with the class of its ending, in training as in
+scoring: its own class is known only after a join.  A word that the training
+texts do not have is of its ending's class.  The base score is the unigram
+model of the same counts.
 
-All training texts are counted, and every text is scored whole.  Item bigrams
-are a bounded table (items squared) and go to the driver, where the clustering
-runs.  Word counts are not bounded: the ``RESIDENT`` most frequent words go to
-the workers with the model, the others' occurrences are joined with the count
-table by word - after the frequent words have left, no key of that join is hot.
+All training texts are counted, and every text is scored whole.  Words beyond
+the resident ones are joined with their table by word; words of more than
+``MAX_WORD_BYTES`` bytes are represented by a 128-bit digest.
 
 Defined cases: null text is empty text (one token, the end); with no training
 text every count is zero and scores are those of the smoothed empty model;
-rows with equal or null ids are scored row by row; empty tables give no rows.
+rows with equal or null ids are scored row by row; classes with equal gain: the
+first; equally frequent words are resident by the order of the words; long texts
+are scored whole; input columns named like a result are replaced, others kept;
+empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +46,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, stage_table
+from .common import crc_mod, slices, stage_table
 
 END = "\n"
 ALPHA = 0.1
@@ -47,29 +61,28 @@ PRIOR = 5.0
 RESIDENT = 150_000
 MAX_WORD_BYTES = 64
 BLOCK_CHARS = 4_000_000
+#: No word holds a line feed: names of digests and of transition counts begin with one.
+_DIGEST, _MOVE = "\n#", "\n@"
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Batches in slices of bounded size, with the texts lower-cased and nulls empty."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes) // BLOCK_CHARS
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b > a:
-                part = batch.slice(a, b - a)
-                yield part, pc.ascii_lower(pc.fill_null(part.column(column), ""))
+        for part in slices(batch, column, BLOCK_CHARS):
+            yield part, pc.ascii_lower(pc.fill_null(part.column(column), ""))
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """The text and the distinct word of every token, and the distinct words."""
+    """The text and the distinct word of every token, and the distinct words (long ones by digest)."""
     lists = pc.ascii_split_whitespace(texts)
     flat = lists.flatten()
     owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     real = pc.not_equal(flat, "")
     coded = flat.filter(real).dictionary_encode()
-    words = coded.dictionary
-    return owner[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), words.to_pylist()
+    words = coded.dictionary.to_pylist()
+    for i in np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy() > MAX_WORD_BYTES):
+        words[i] = _DIGEST + xxhash.xxh3_128_hexdigest(words[i].encode())
+    return owner[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), words
 
 
 def ending(word: str) -> int:
@@ -179,17 +192,183 @@ def exchange_clusters(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -
     return of
 
 
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int, table: np.ndarray) -> np.ndarray:
+    """The class of greatest gain for each of ``words`` words.
+
+    Entries (word, code, n), sorted by word: n neighbours of class code before it
+    (code < classes) or code - classes after it.  ``table`` holds the counts of
+    class bigrams; its last class, the end, takes no word.
+    """
+
+    def f(x):
+        return x * np.log(np.maximum(x, 1))
+
+    classes = len(table)
+    free = classes - 1
+    sides = np.concatenate([table[:, :free], table.T[:, :free]])  # by code: counts with each class
+    old = f(sides)
+    one = f(sides + 1) - old
+    gain = np.zeros((words, free))
+    for a in range(0, len(word), 100_000):
+        w, c, k = word[a : a + 100_000], code[a : a + 100_000], n[a : a + 100_000]
+        part = one[c]
+        many = np.flatnonzero(k > 1)
+        part[many] = f(sides[c[many]] + k[many, None]) - old[c[many]]
+        starts = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[starts]] += np.add.reduceat(part, starts, axis=0)
+    before, after = (np.bincount(word[side], n[side], words)[:, None] for side in (code < classes, code >= classes))
+    for total, own in ((table.sum(0)[:free], before), (table.sum(1)[:free], after)):
+        gain -= f(total + own) - f(total)
+    return gain.argmax(1)
+
+
 @dataclass
 class BrownModel:
-    """Everything a worker needs to score texts, but for the counts of rare words."""
+    """Everything a worker needs to score texts, but for what is known of words beyond the resident ones."""
 
     items: Items
-    classes: np.ndarray  # of each item
-    transition: np.ndarray  # log10 P(class | class before)
-    denominator: np.ndarray  # log10 of each class's emission denominator
-    base_denominator: float
-    resident: dict[str, int]  # counts of the most frequent words
-    train_tokens: int
+    item_classes: np.ndarray  # of each item
+    of: dict[str, int]  # resident words to their places
+    counts: np.ndarray  # of the resident words
+    classes: np.ndarray  # of the resident words
+    ends: int
+    transition: np.ndarray | None = None  # log10 P(class | class before)
+    denominator: np.ndarray | None = None  # log10 of each class's emission denominator
+    base_denominator: float = 0.0
+    train_tokens: int = 0
+
+    @property
+    def end_class(self) -> int:
+        return int(self.item_classes[self.items.end])
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place (-1: not resident), class as a condition and class of the ending of each word."""
+        place = np.fromiter((self.of.get(w, -1) for w in words), np.int64, len(words))
+        first = len(self.items.words)
+        endings = np.fromiter((first + ending(w) for w in words), np.int64, len(words))
+        endings = self.item_classes[endings] if words else endings
+        known = np.append(self.classes, 0)[place]
+        return place, np.where(place >= 0, known, endings), endings
+
+    def line(self, owner: np.ndarray, classes: np.ndarray, texts: int) -> np.ndarray:
+        """Classes of all texts one after the other, an end before the first and after each."""
+        out = np.full(len(classes) + texts + 1, self.end_class, np.int64)
+        out[np.arange(len(classes)) + owner + 1] = classes
+        return out
+
+
+def _chunks(columns: dict[str, np.ndarray], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    size = len(next(iter(columns.values())))
+    for a in range(0, size, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + most]) for c in columns.values()], list(columns))
+
+
+def place_resident(docs: DataFrame, text_col: str, model: BrownModel, table: np.ndarray) -> np.ndarray:
+    """The classes of the resident words: those of the items as they are, of the others by their neighbours."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    classes, first = len(table), len(model.items.words)
+    width = 2 * classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros(len(own.counts) * width, np.int32)
+        for part, texts in _texts(batches, 0):
+            owner, at, words = _tokens(texts)
+            place, condition, _ = own.look_up(words)
+            line = own.line(owner, condition[at], part.num_rows)
+            spot = np.arange(len(at)) + owner + 1
+            asked = np.flatnonzero(place[at] >= first)
+            base = place[at[asked]] * width
+            codes = np.concatenate([base + line[spot[asked] - 1], base + classes + line[spot[asked] + 1]])
+            unique, n = np.unique(codes, return_counts=True)
+            total[unique] += n.astype(np.int32)
+        used = np.flatnonzero(total)
+        yield from _chunks({"pair": used, "n": total[used].astype(np.int64)})
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, code, n = _entries(batch.column(1))
+            best = best_classes(word, code, n, batch.num_rows, table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], ["place", "class"])
+
+    pairs = docs.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    entry = F.struct((F.col("pair") % width).cast("int").alias("code"), "n")
+    words = pairs.groupBy(F.floor(F.col("pair") / width).alias("place")).agg(F.collect_list(entry).alias("near"))
+    found = words.mapInArrow(choose, "place long, class long").toArrow()
+    out = model.classes.copy()
+    out[found["place"].to_numpy()] = found["class"].to_numpy()
+    return out
+
+
+def _entries(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and n of a column of arrays of (code, n)."""
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return row, flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+
+
+def place_others(docs: DataFrame, text_col: str, model: BrownModel, table: np.ndarray) -> DataFrame:
+    """word, n and class of all words that are not resident, written out.
+
+    Rows whose word begins with ``_MOVE`` are transition counts: n moves from the
+    condition named there to class ``class``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    classes = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        moves = np.zeros(classes * classes, np.int64)
+        for part, texts in _texts(batches, 0):
+            owner, at, words = _tokens(texts)
+            place, condition, _ = own.look_up(words)
+            line = own.line(owner, condition[at], part.num_rows)
+            spot = np.arange(len(at)) + owner + 1
+            rare = place[at] < 0
+            told = np.ones(len(line), bool)  # tokens of known class: resident words and ends
+            told[spot[rare]] = False
+            to = np.flatnonzero(told[1:]) + 1
+            moves += np.bincount(line[to - 1] * classes + line[to], minlength=len(moves))
+            spot, at = spot[rare], at[rare]
+            codes = np.concatenate([at * (2 * classes) + line[spot - 1], at * (2 * classes) + classes + line[spot + 1]])
+            unique, n = np.unique(codes, return_counts=True)
+            word, code = np.divmod(unique, 2 * classes)
+            names = pa.array(words, pa.string())
+            for a in range(0, len(word), 500_000):
+                cut = slice(a, a + 500_000)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(word[cut])), pa.array(code[cut].astype(np.int32)), pa.array(n[cut])], ["word", "code", "n"]
+                )
+        used = np.flatnonzero(moves)
+        columns = [pa.array([f"{_MOVE}{u}" for u in used], pa.string()), pa.array(used.astype(np.int32)), pa.array(moves[used])]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "code", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = np.zeros((classes, classes), np.int64)
+        for batch in batches:
+            word, code, n = _entries(batch.column(1))
+            known = pc.starts_with(batch.column(0), _MOVE).to_numpy(zero_copy_only=False)
+            mine = ~known[word]
+            np.add.at(moves, np.divmod(code[~mine], classes), n[~mine])
+            number = np.cumsum(~known) - 1
+            rows, code, n = number[word[mine]], code[mine], n[mine]
+            count = int((~known).sum())
+            best = best_classes(rows, code, n, count, table)
+            before = code < classes
+            np.add.at(moves, (code[before], best[rows[before]]), n[before])
+            total = np.bincount(rows[before], n[before], count).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(~known)), pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"]
+            )
+        at, to = np.nonzero(moves)
+        columns = [pa.array([f"{_MOVE}{a}" for a in at], pa.string()), pa.array(moves[at, to]), pa.array(to.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "n", "class"])
+
+    counted = docs.select(text_col).mapInArrow(run, "word string, code int, n long")
+    # One shuffle, by word; both aggregations follow its partitioning.
+    summed = counted.repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    words = summed.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("near"))
+    return stage_table(words.mapInArrow(choose, "word string, n long, class int"), "brown-others")
 
 
 def _frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
@@ -215,110 +394,114 @@ def _frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[BrownModel, DataFrame]:
-    """The model, and the table (word, n) of all training words."""
+    """The model, and the table (word, n, class) of all training words that are not resident."""
     vocabulary = stage_table(count_words(docs, text_col), "brown-words")
     totals = vocabulary.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
     tokens, distinct, ends = (int(x or 0) for x in totals)
-    short = vocabulary.filter((F.octet_length("word") <= MAX_WORD_BYTES) & (F.col("word") != END))
-    ranked = sorted(_frequent(short, RESIDENT), key=lambda r: (-r[1], r[0]))
-    words, counts = [w for w, _ in ranked], [n for _, n in ranked]
+    ranked = sorted(_frequent(vocabulary.filter(F.col("word") != END), RESIDENT), key=lambda r: (-r[1], r[0]))
+    words, counts = [w for w, _ in ranked], np.array([n for _, n in ranked], np.int64)
     items = Items(words[:ITEMS])
     bigrams = count_bigrams(docs, text_col, items)
-    classes = exchange_clusters(bigrams, CLASSES)
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            of = classes[items.code(batch.column(0).to_pylist())]
-            np.add.at(mass, of, batch.column(1).to_numpy())
-            kinds += np.bincount(of, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(CLASSES)), pa.array(mass), pa.array(kinds)], ["class", "n", "v"]
-        )
-
-    spread = vocabulary.filter(F.col("word") != END).mapInArrow(sizes, "class long, n long, v long")
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in spread.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        mass[row["class"]], kinds[row["class"]] = row["n"], row["v"]
-    hot = np.eye(CLASSES)[classes]
+    of_items = exchange_clusters(bigrams, CLASSES)
+    hot = np.eye(CLASSES)[of_items]
     table = hot.T @ bigrams @ hot
-    prior = (table.sum(0) + 1) / (table.sum() + CLASSES)
-    transition = (table + PRIOR * prior) / (table.sum(1, keepdims=True) + PRIOR)
-    model = BrownModel(
-        items,
-        classes,
-        np.log10(transition),
-        np.log10(mass + ALPHA * (kinds + 1)),
-        float(np.log10(tokens + ALPHA * (distinct + 1))),
-        dict(zip(words, counts)) | {END: ends},
-        tokens,
-    )
-    return model, vocabulary
-
-
-def score(docs: DataFrame, model: BrownModel, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
+    model = BrownModel(items, of_items, {w: i for i, w in enumerate(words)}, counts, of_items[items.code(words)], ends)
+    model.classes = place_resident(docs, text_col, model, table)
+    others = place_others(docs, text_col, model, table)
+    told = others.filter(F.col("word").startswith(_MOVE)).select(F.substring("word", 3, 9).cast("int").alias("a"), "class", "n")
+    moves = np.zeros((CLASSES, CLASSES))
+    for row in told.groupBy("a", "class").agg(F.sum("n").alias("n")).collect():
+        moves[row["a"], row["class"]] = row["n"]
+    others = others.filter(~F.col("word").startswith(_MOVE))
+    mass = np.bincount(model.classes, counts, CLASSES)
+    kinds = np.bincount(model.classes, minlength=CLASSES).astype(float)
+    for row in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        mass[row["class"]] += row["n"]
+        kinds[row["class"]] += row["v"]
+    prior = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
+    model.transition = np.log10((moves + PRIOR * prior) / (moves.sum(1, keepdims=True) + PRIOR))
+    model.denominator = np.log10(mass + ALPHA * (kinds + 1))
+    model.base_denominator = float(np.log10(tokens + ALPHA * (distinct + 1)))
+    model.train_tokens = tokens
+    return model, others
+
+
+def score(docs: DataFrame, model: BrownModel, others: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, plus n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Columns of ``docs`` that have one of these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     given = [n for n in docs.columns if n not in (text_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
     # Numbered names inside, so that no column of the input clashes with a working one.
     keep = [f"kept_{i}" for i in range(len(given))]
     docs = docs.select(*[F.col(f"`{n}`").alias(k) for n, k in zip(given, keep)], F.col(text_col).alias("text"))
-    text_col = "text"
-    numbered = docs.select(*keep, F.monotonically_increasing_id().alias("row"), text_col)
+    numbered = docs.select(*keep, F.monotonically_increasing_id().alias("row"), "text")
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in keep)
-    schema += ", row long, word string, n_tokens long, n_known long, counts double, moves double"
-    names = [*keep, "row", "word", "n_tokens", "n_known", "counts", "moves"]
+    schema += ", row long, word string, n_tokens long, n_known long, counts double, moves double, before int, ending int"
+    names = [*keep, "row", "word", "n_tokens", "n_known", "counts", "moves", "before", "ending"]
+    classes = len(model.denominator)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        end_class = model.classes[model.items.end]
-        end_count = np.log10(model.resident[END] + ALPHA)
+        end_count = np.log10(model.ends + ALPHA)
+        logs = np.log10(np.append(model.counts, 0) + ALPHA)
         for part, texts in _texts(batches, len(keep) + 1):
             n = part.num_rows
             owner, at, words = _tokens(texts)
-            count = np.fromiter((model.resident.get(w, -1) for w in words), np.int64, len(words))
-            of_word = model.classes[model.items.code(words)] if words else np.zeros(0, np.int64)
-            line = np.full(len(at) + n + 1, end_class, np.int64)
-            line[np.arange(len(at)) + owner + 1] = of_word[at]
-            step = model.transition[line[:-1], line[1:]]
-            text_of = np.repeat(np.arange(n), np.bincount(owner, minlength=n) + 1)
-            tokens = np.bincount(text_of, minlength=n)
-            moves = np.bincount(text_of, step, n) - np.bincount(owner, model.denominator[of_word[at]], n)
-            here = count[at] >= 0
-            logs = np.log10(np.maximum(count, 0) + ALPHA)
-            counts = np.bincount(owner[here], logs[at[here]], n) + end_count
-            known = np.bincount(owner[here], minlength=n) + (model.resident[END] > 0)
+            place, condition, endings = model.look_up(words)
+            line = model.line(owner, condition[at], n)
+            spot = np.arange(len(at)) + owner + 1
+            here = place[at] >= 0
+            ends = np.cumsum(np.bincount(owner, minlength=n) + 1)  # the places of the ends
+            tokens = np.bincount(owner, minlength=n) + 1
+            moves = model.transition[line[ends - 1], line[ends]]
+            known, mine = spot[here], owner[here]
+            moves += np.bincount(mine, model.transition[line[known - 1], line[known]] - model.denominator[line[known]], n)
+            counts = np.bincount(mine, logs[place[at[here]]], n) + end_count
+            found = np.bincount(mine, minlength=n) + (model.ends > 0)
+            none = pa.nulls(n, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.nulls(n, pa.string()), *map(pa.array, (tokens, known, counts, moves))], names
+                [*part.columns[:-1], pa.nulls(n, pa.string()), *map(pa.array, (tokens, found, counts, moves)), none, none], names
             )
-            # Words that are not resident: one row for each text and word, n_tokens is how often.
-            pair, often = np.unique(owner[~here] * max(len(words), 1) + at[~here], return_counts=True)
-            if len(pair):
-                row, word = np.divmod(pair, len(words))
-                picked = [pa.nulls(len(pair), c.type) for c in part.columns[: len(keep)]]
+            # Other words: a row for each text, word and class before it; n_tokens is how often.
+            rest = ~here
+            code = (owner[rest] * max(len(words), 1) + at[rest]) * classes + line[spot[rest] - 1]
+            code, often = np.unique(code, return_counts=True)
+            pair, before = np.divmod(code, classes)
+            row, word = np.divmod(pair, max(len(words), 1))
+            distinct = pa.array(words, pa.string())
+            for a in range(0, len(code), 500_000):
+                cut = slice(a, a + 500_000)
+                k = len(code[cut])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *picked,
-                        part.column(len(keep)).take(pa.array(row)),
-                        pa.array(words, pa.string()).take(pa.array(word)),
-                        pa.array(often),
-                        *(pa.nulls(len(pair), t) for t in (pa.int64(), pa.float64(), pa.float64())),
+                        *[pa.nulls(k, c.type) for c in part.columns[: len(keep)]],
+                        part.column(len(keep)).take(pa.array(row[cut])),
+                        distinct.take(pa.array(word[cut])),
+                        pa.array(often[cut]),
+                        *(pa.nulls(k, t) for t in (pa.int64(), pa.float64(), pa.float64())),
+                        pa.array(before[cut].astype(np.int32)),
+                        pa.array(endings[word[cut]].astype(np.int32)),
                     ],
                     names,
                 )
 
     told = stage_table(numbered.mapInArrow(run, schema), "brown-scores")
-    texts = told.filter("word is null").drop("word")
-    rare = told.filter("word is not null").select("row", "word", F.col("n_tokens").alias("often"))
-    found = rare.join(vocabulary, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    texts = told.filter("word is null").drop("word", "before", "ending")
+    rare = told.filter("word is not null").select("row", "word", F.col("n_tokens").alias("often"), "before", "ending")
+    # Class bigrams and emission denominators: a table of fixed size.
+    steps = [(a, b, float(model.transition[a, b] - model.denominator[b])) for a in range(classes) for b in range(classes)]
+    steps = spark.createDataFrame(steps, "before int, class int, step double")
+    found = rare.join(others, "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("class", F.coalesce("class", "ending"))
+    found = found.join(F.broadcast(steps), ["before", "class"])
     added = found.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("often")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("often") * F.log10(F.col("n") + ALPHA)).alias("counts"),
+        F.sum(F.when(F.col("n") > 0, F.col("often")).otherwise(0)).alias("k"),
+        F.sum(F.col("often") * F.log10(F.col("n") + ALPHA)).alias("c"),
+        F.sum(F.col("often") * F.col("step")).alias("m"),
     )
-    both = texts.join(added.select("row", F.col("n_known").alias("k"), F.col("counts").alias("c")), "row", "left")
+    both = texts.join(added, "row", "left")
     counts = F.col("counts") + F.coalesce("c", F.lit(0.0))
     return both.select(
         *[F.col(k).alias(n) for n, k in zip(given, keep)],
@@ -327,7 +510,7 @@ def score(docs: DataFrame, model: BrownModel, vocabulary: DataFrame, text_col: s
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (counts - F.col("n_tokens") * model.base_denominator).alias("base_score"),
         # The end's own count is no emission: its class holds nothing else.
-        (counts - F.lit(float(np.log10(model.resident[END] + ALPHA))) + F.col("moves")).alias("score"),
+        (counts - F.lit(float(np.log10(model.ends + ALPHA))) + F.col("moves") + F.coalesce("m", F.lit(0.0))).alias("score"),
     )
 
 
@@ -335,5 +518,5 @@ def scores_of(docs: DataFrame, held_out: tuple[int, int] = (10, 0)) -> DataFrame
     """doc_id, held_out and the scores of every row, learned from the rows not held out."""
     modulus, fold = held_out
     outside = crc_mod(F.col("doc_id"), modulus) == fold
-    model, vocabulary = train(docs.filter(~outside))
-    return score(docs.select("doc_id", outside.alias("held_out"), "text"), model, vocabulary)
+    model, others = train(docs.filter(~outside))
+    return score(docs.select("doc_id", outside.alias("held_out"), "text"), model, others)

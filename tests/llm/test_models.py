@@ -156,12 +156,12 @@ def test_language_model_table(spark):
 def test_language_model_cases(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "RESIDENT", 20)
     monkeypatch.setattr(brown_lm, "ITEMS", 10)
-    rows = [(i, " a b" * i + f" c\x0bd É é{i % 5}") for i in range(30)] + [(31, ""), (32, "  "), (33, None), (33, None), (None, "x"), (34, "w" * 100_000), (35, "a b " * 100_000)]
+    rows = [(i, " a b" * i + f" c\x0bd É é{i % 5}") for i in range(30)] + [(31, ""), (32, "  "), (33, None), (33, None), (None, "x"), (34, "w" * 100_000), (36, "w" * 100_000), (35, "a b " * 100_000)]
     df = spark.createDataFrame([(d, t, "q", 1) for d, t in rows], "doc_id long, text string, word string, row int")
     same_base(brown_lm.scores_of(df).collect(), brute_base(rows))
     assert brown_lm.scores_of(df.limit(0)).count() == 0
-    model, vocabulary = brown_lm.train(df)
-    kept = brown_lm.score(df, model, vocabulary)
+    model, others = brown_lm.train(df)
+    kept = brown_lm.score(df, model, others)
     assert kept.columns[:3] == ["doc_id", "word", "row"] and {r.word for r in kept.collect()} == {"q"}
 
 
@@ -174,22 +174,90 @@ def test_exchange_finds_alternation():
     assert len(set(of[:3])) == 1 and len(set(of[3:6])) == 1 and of[0] != of[3] and of[6] == 2
 
 
-def test_class_model_is_a_distribution(spark, monkeypatch):
+def known_words(model, others):
+    """word: (n, class) of all training words."""
+    out = {w: (int(model.counts[i]), int(model.classes[i])) for w, i in model.of.items()}
+    return out | {r.word: (r.n, r["class"]) for r in others.collect()}
+
+
+@pytest.mark.parametrize("resident", [3, 1000])
+def test_class_model_is_a_distribution(spark, monkeypatch, resident):
     """Probabilities of all known words and the end after a context, with one unknown word per class, add to one."""
-    monkeypatch.setattr(brown_lm, "ITEMS", 5)
-    df = spark.createDataFrame([(i, "a b c a d e f b " * 3) for i in range(1, 9)], "doc_id long, text string")
-    model, vocabulary = brown_lm.train(df)
-    words = {r.word: r.n for r in vocabulary.collect() if r.word != brown_lm.END}
-    before = model.classes[model.items.end]
-    emission = np.zeros(brown_lm.CLASSES)
-    kinds = np.zeros(brown_lm.CLASSES)
-    for w, n in words.items():
-        c = model.classes[model.items.code([w])[0]]
+    monkeypatch.setattr(brown_lm, "ITEMS", 2)
+    monkeypatch.setattr(brown_lm, "RESIDENT", resident)
+    df = spark.createDataFrame([(i, "a b c a d e f b " * 3 + f"x{i}") for i in range(1, 9)], "doc_id long, text string")
+    model, others = brown_lm.train(df)
+    emission = np.full(brown_lm.CLASSES, brown_lm.ALPHA)
+    for n, c in known_words(model, others).values():
         emission[c] += n + brown_lm.ALPHA
-        kinds[c] += 1
-    emission = (emission + brown_lm.ALPHA) / 10**model.denominator
-    emission[model.classes[model.items.end]] = 1.0
-    assert (10 ** model.transition[before] * emission).sum() == pytest.approx(1.0)
+    emission = emission / 10**model.denominator
+    emission[model.end_class] = 1.0
+    assert 10**model.transition @ emission == pytest.approx(np.ones(brown_lm.CLASSES))
+
+
+def brute_scores(train, rows, model, known):
+    """Class-bigram scores from the definition, given the classes of the words."""
+    words = lambda t: [w.decode("utf-8", "surrogatepass") for w in (t or "").encode("utf-8", "surrogatepass").lower().split()]
+    ending = lambda w: int(model.item_classes[len(model.items.words) + brown_lm.ending(w)])
+    condition = lambda w: known[w][1] if w in model.of else ending(w)
+    own = lambda w: known[w][1] if w in known else ending(w)
+    size, end = brown_lm.CLASSES, model.end_class
+    moves = np.zeros((size, size))
+    for t in train:
+        before = end
+        for w in words(t):
+            moves[before, own(w)] += 1
+            before = condition(w)
+        moves[before, end] += 1
+    prior = (moves.sum(0) + 1) / (moves.sum() + size)
+    transition = (moves + brown_lm.PRIOR * prior) / (moves.sum(1, keepdims=True) + brown_lm.PRIOR)
+    mass = np.zeros(size)
+    for n, c in known.values():
+        mass[c] += n + brown_lm.ALPHA
+    mass += brown_lm.ALPHA
+    out = []
+    for t in rows:
+        before, total = end, 0.0
+        for w in words(t):
+            total += math.log10(transition[before, own(w)] * (known.get(w, (0,))[0] + brown_lm.ALPHA) / mass[own(w)])
+            before = condition(w)
+        out.append(total + math.log10(transition[before, end]))
+    return out
+
+
+def test_class_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "RESIDENT", 300)
+    monkeypatch.setattr(brown_lm, "ITEMS", 40)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120).collect()
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(9_000_001, None), (9_000_002, "unseen " * 5)], "doc_id long, text string")
+    learn = df.filter("doc_id < 9000000 and doc_id % 3 > 0")
+    model, others = brown_lm.train(learn)
+    known = known_words(model, others)
+    train = [r.text for r in learn.collect()]
+    counts = collections.Counter(w for t in train for w in t.encode().lower().split())
+    assert {w: n for w, (n, _) in known.items()} == {w.decode(): n for w, n in counts.items()}
+    got = brown_lm.score(df, model, others).collect()
+    want = dict(zip([r.doc_id for r in df.collect()], brute_scores(train, [r.text for r in df.collect()], model, known)))
+    assert {r.doc_id: r.score for r in got} == {d: pytest.approx(x, rel=1e-9) for d, x in want.items()}
+
+
+def test_best_classes_by_brute_force():
+    """The class of greatest gain in the log likelihood of the class bigrams."""
+    rng = np.random.default_rng(8)
+    table = rng.integers(0, 40, (5, 5)).astype(float)
+    f = lambda x: float(x * np.log(max(x, 1)))
+    for _ in range(50):
+        code = np.unique(rng.integers(0, 10, 6))
+        n = rng.integers(1, 4, len(code))
+        gains = []
+        for c in range(4):
+            sides = np.zeros(10)
+            sides[code] = n
+            gain = sum(f(table[:, c][j] + sides[j]) - f(table[:, c][j]) + f(table[c][j] + sides[5 + j]) - f(table[c][j]) for j in range(5))
+            gain -= f(table[:, c].sum() + sides[:5].sum()) - f(table[:, c].sum()) + f(table[c].sum() + sides[5:].sum()) - f(table[c].sum())
+            gains.append(gain)
+        best = brown_lm.best_classes(np.zeros(len(code), np.int64), code, n, 1, table)[0]
+        assert gains[best] == pytest.approx(max(gains))
 
 
 def test_quality_held_out(spark):
