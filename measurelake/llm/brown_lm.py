@@ -7,7 +7,7 @@ likelihood of the class bigrams that its neighbours' classes give.
 1. The ``ITEMS`` most frequent words, the endings of all others (a hash of their
    last characters) and the end are clustered into ``CLASSES`` classes by moving
    one after the other, on the driver: their bigrams are a table of fixed size.
-2. The other words of the ``RESIDENT`` most frequent ones choose their classes in
+2. The other words of the ``PLACED`` most frequent ones choose their classes in
    parallel, by counts of their neighbours' classes over all texts, against the
    classes of step 1 (a batch of the exchange, as in distributed clustering).
 3. All further words, an unbounded table keyed by word, do the same against the
@@ -20,13 +20,14 @@ A text's probability is
 with transitions smoothed towards the class frequencies and emissions
 (c + 0.1) / (N_class + 0.1 * (V_class + 1)); the end is a class of its own and
 also stands before the first word.  As the condition ("class before") a word
-beyond the resident ones counts with the class of its ending, in training as in
-scoring: its own class is known only after a join.  A word that the training
+beyond the placed ones counts with the class of its ending, in training as in
+scoring, so that no pass over the texts waits for a join.  A word that the training
 texts do not have is of its ending's class.  The base score is the unigram
 model of the same counts.
 
-All training texts are counted, and every text is scored whole.  Words beyond
-the resident ones are joined with their table by word; words of more than
+All training texts are counted, and every text is scored whole.  The
+``RESIDENT`` most frequent words go to the workers with the model, the others
+are joined with their table by word; words of more than
 ``MAX_WORD_BYTES`` bytes are represented by a 128-bit digest.
 
 Defined cases: null text is empty text (one token, the end); with no training
@@ -58,9 +59,10 @@ ENDINGS = 128
 CLASSES = 48
 SWEEPS = 6
 PRIOR = 5.0
+PLACED = 10_000
 RESIDENT = 150_000
 MAX_WORD_BYTES = 64
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: No word holds a line feed: names of digests and of transition counts begin with one.
 _DIGEST, _MOVE = "\n#", "\n@"
 
@@ -90,6 +92,13 @@ def ending(word: str) -> int:
     return zlib.crc32(word.rstrip(".,;:!?")[-2:].encode()) % ENDINGS
 
 
+def endings(words: list[str]) -> np.ndarray:
+    """``ending`` of many words: computed once for each distinct end."""
+    ends = pc.utf8_slice_codeunits(pc.utf8_rtrim(pa.array(words, pa.string()), ".,;:!?"), -2, None).dictionary_encode()
+    of = np.array([zlib.crc32(e.encode()) % ENDINGS for e in ends.dictionary.to_pylist()], np.int64)
+    return of[ends.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
+
+
 @dataclass
 class Items:
     """Words to items: frequent words first, then endings, then the end."""
@@ -102,10 +111,10 @@ class Items:
         self.count = self.end + 1
 
     def code(self, words: list[str]) -> np.ndarray:
-        first, of = len(self.words), self.of
-        return np.fromiter(
-            (i if (i := of.get(w)) is not None else first + ending(w) for w in words), np.int64, len(words)
-        )
+        place = np.fromiter((self.of.get(w, -1) for w in words), np.int64, len(words))
+        rest = np.flatnonzero(place < 0)
+        place[rest] = len(self.words) + endings([words[i] for i in rest])
+        return place
 
     def sequence(self, owner: np.ndarray, items: np.ndarray, texts: int) -> np.ndarray:
         """Items of all texts one after the other, an end before the first and after each."""
@@ -232,6 +241,7 @@ class BrownModel:
     counts: np.ndarray  # of the resident words
     classes: np.ndarray  # of the resident words
     ends: int
+    placed: int  # so many resident words are conditions by their own class
     transition: np.ndarray | None = None  # log10 P(class | class before)
     denominator: np.ndarray | None = None  # log10 of each class's emission denominator
     base_denominator: float = 0.0
@@ -244,11 +254,9 @@ class BrownModel:
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (-1: not resident), class as a condition and class of the ending of each word."""
         place = np.fromiter((self.of.get(w, -1) for w in words), np.int64, len(words))
-        first = len(self.items.words)
-        endings = np.fromiter((first + ending(w) for w in words), np.int64, len(words))
-        endings = self.item_classes[endings] if words else endings
+        by_end = self.item_classes[len(self.items.words) + endings(words)]
         known = np.append(self.classes, 0)[place]
-        return place, np.where(place >= 0, known, endings), endings
+        return place, np.where((place >= 0) & (place < self.placed), known, by_end), by_end
 
     def line(self, owner: np.ndarray, classes: np.ndarray, texts: int) -> np.ndarray:
         """Classes of all texts one after the other, an end before the first and after each."""
@@ -263,27 +271,27 @@ def _chunks(columns: dict[str, np.ndarray], most: int = 500_000) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(c[a : a + most]) for c in columns.values()], list(columns))
 
 
-def place_resident(docs: DataFrame, text_col: str, model: BrownModel, table: np.ndarray) -> np.ndarray:
-    """The classes of the resident words: those of the items as they are, of the others by their neighbours."""
+def place_frequent(docs: DataFrame, text_col: str, model: BrownModel, table: np.ndarray) -> np.ndarray:
+    """The classes of the resident words: those of the items as they are, of further placed words by their neighbours."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     classes, first = len(table), len(model.items.words)
     width = 2 * classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        total = np.zeros(len(own.counts) * width, np.int32)
+        total = np.zeros(own.placed * width, np.int64)
         for part, texts in _texts(batches, 0):
             owner, at, words = _tokens(texts)
             place, condition, _ = own.look_up(words)
             line = own.line(owner, condition[at], part.num_rows)
             spot = np.arange(len(at)) + owner + 1
-            asked = np.flatnonzero(place[at] >= first)
+            asked = np.flatnonzero((place[at] >= first) & (place[at] < own.placed))
             base = place[at[asked]] * width
             codes = np.concatenate([base + line[spot[asked] - 1], base + classes + line[spot[asked] + 1]])
             unique, n = np.unique(codes, return_counts=True)
-            total[unique] += n.astype(np.int32)
+            total[unique] += n
         used = np.flatnonzero(total)
-        yield from _chunks({"pair": used, "n": total[used].astype(np.int64)})
+        yield from _chunks({"pair": used, "n": total[used]})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +316,7 @@ def _entries(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def place_others(docs: DataFrame, text_col: str, model: BrownModel, table: np.ndarray) -> DataFrame:
-    """word, n and class of all words that are not resident, written out.
+    """word, n and class of all words that are not placed, written out.
 
     Rows whose word begins with ``_MOVE`` are transition counts: n moves from the
     condition named there to class ``class``.
@@ -324,8 +332,8 @@ def place_others(docs: DataFrame, text_col: str, model: BrownModel, table: np.nd
             place, condition, _ = own.look_up(words)
             line = own.line(owner, condition[at], part.num_rows)
             spot = np.arange(len(at)) + owner + 1
-            rare = place[at] < 0
-            told = np.ones(len(line), bool)  # tokens of known class: resident words and ends
+            rare = (place[at] < 0) | (place[at] >= own.placed)
+            told = np.ones(len(line), bool)  # tokens of known class: placed words and ends
             told[spot[rare]] = False
             to = np.flatnonzero(told[1:]) + 1
             moves += np.bincount(line[to - 1] * classes + line[to], minlength=len(moves))
@@ -394,7 +402,7 @@ def _frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[BrownModel, DataFrame]:
-    """The model, and the table (word, n, class) of all training words that are not resident."""
+    """The model, and the table (word, n, class) of all training words that are not placed."""
     vocabulary = stage_table(count_words(docs, text_col), "brown-words")
     totals = vocabulary.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
     tokens, distinct, ends = (int(x or 0) for x in totals)
@@ -405,16 +413,20 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[BrownModel, DataFram
     of_items = exchange_clusters(bigrams, CLASSES)
     hot = np.eye(CLASSES)[of_items]
     table = hot.T @ bigrams @ hot
-    model = BrownModel(items, of_items, {w: i for i, w in enumerate(words)}, counts, of_items[items.code(words)], ends)
-    model.classes = place_resident(docs, text_col, model, table)
+    model = BrownModel(items, of_items, {w: i for i, w in enumerate(words)}, counts, of_items[items.code(words)], ends, min(max(PLACED, ITEMS), len(words)))
+    model.classes = place_frequent(docs, text_col, model, table)
     others = place_others(docs, text_col, model, table)
     told = others.filter(F.col("word").startswith(_MOVE)).select(F.substring("word", 3, 9).cast("int").alias("a"), "class", "n")
     moves = np.zeros((CLASSES, CLASSES))
     for row in told.groupBy("a", "class").agg(F.sum("n").alias("n")).collect():
         moves[row["a"], row["class"]] = row["n"]
     others = others.filter(~F.col("word").startswith(_MOVE))
-    mass = np.bincount(model.classes, counts, CLASSES)
-    kinds = np.bincount(model.classes, minlength=CLASSES).astype(float)
+    # The resident words among them; a count threshold chose those.
+    for row in others.filter(F.col("n") >= int(counts.min() if len(counts) else 1)).select("word", "class").collect():
+        if (place := model.of.get(row["word"])) is not None:
+            model.classes[place] = row["class"]
+    mass = np.bincount(model.classes[: model.placed], counts[: model.placed], CLASSES)
+    kinds = np.bincount(model.classes[: model.placed], minlength=CLASSES).astype(float)
     for row in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         mass[row["class"]] += row["n"]
         kinds[row["class"]] += row["v"]
@@ -450,7 +462,7 @@ def score(docs: DataFrame, model: BrownModel, others: DataFrame, text_col: str =
         for part, texts in _texts(batches, len(keep) + 1):
             n = part.num_rows
             owner, at, words = _tokens(texts)
-            place, condition, endings = model.look_up(words)
+            place, condition, by_end = model.look_up(words)
             line = model.line(owner, condition[at], n)
             spot = np.arange(len(at)) + owner + 1
             here = place[at] >= 0
@@ -458,7 +470,8 @@ def score(docs: DataFrame, model: BrownModel, others: DataFrame, text_col: str =
             tokens = np.bincount(owner, minlength=n) + 1
             moves = model.transition[line[ends - 1], line[ends]]
             known, mine = spot[here], owner[here]
-            moves += np.bincount(mine, model.transition[line[known - 1], line[known]] - model.denominator[line[known]], n)
+            to = model.classes[place[at[here]]]
+            moves += np.bincount(mine, model.transition[line[known - 1], to] - model.denominator[to], n)
             counts = np.bincount(mine, logs[place[at[here]]], n) + end_count
             found = np.bincount(mine, minlength=n) + (model.ends > 0)
             none = pa.nulls(n, pa.int32())
@@ -483,7 +496,7 @@ def score(docs: DataFrame, model: BrownModel, others: DataFrame, text_col: str =
                         pa.array(often[cut]),
                         *(pa.nulls(k, t) for t in (pa.int64(), pa.float64(), pa.float64())),
                         pa.array(before[cut].astype(np.int32)),
-                        pa.array(endings[word[cut]].astype(np.int32)),
+                        pa.array(by_end[word[cut]].astype(np.int32)),
                     ],
                     names,
                 )

@@ -177,7 +177,9 @@ def test_exchange_finds_alternation():
 def known_words(model, others):
     """word: (n, class) of all training words."""
     out = {w: (int(model.counts[i]), int(model.classes[i])) for w, i in model.of.items()}
-    return out | {r.word: (r.n, r["class"]) for r in others.collect()}
+    table = {r.word: (r.n, r["class"]) for r in others.collect()}
+    assert all(out.get(w, x) == x for w, x in table.items())
+    return out | table
 
 
 @pytest.mark.parametrize("resident", [3, 1000])
@@ -199,7 +201,7 @@ def brute_scores(train, rows, model, known):
     """Class-bigram scores from the definition, given the classes of the words."""
     words = lambda t: [w.decode("utf-8", "surrogatepass") for w in (t or "").encode("utf-8", "surrogatepass").lower().split()]
     ending = lambda w: int(model.item_classes[len(model.items.words) + brown_lm.ending(w)])
-    condition = lambda w: known[w][1] if w in model.of else ending(w)
+    condition = lambda w: known[w][1] if model.of.get(w, model.placed) < model.placed else ending(w)
     own = lambda w: known[w][1] if w in known else ending(w)
     size, end = brown_lm.CLASSES, model.end_class
     moves = np.zeros((size, size))
@@ -227,6 +229,7 @@ def brute_scores(train, rows, model, known):
 
 def test_class_scores_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(brown_lm, "RESIDENT", 300)
+    monkeypatch.setattr(brown_lm, "PLACED", 100)
     monkeypatch.setattr(brown_lm, "ITEMS", 40)
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120).collect()
     df = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(9_000_001, None), (9_000_002, "unseen " * 5)], "doc_id long, text string")
@@ -306,3 +309,8 @@ def test_gradient():
         down = loss()
         value[at] = old
         assert grads[name][at] == pytest.approx((up - down) / (2 * h), abs=2e-3)
+
+
+def test_endings():
+    words = ["a", "ab", "abc.", "é!", "...", "x\x0b", "日本語", ""]
+    assert brown_lm.endings(words).tolist() == [brown_lm.ending(w) for w in words] and len(brown_lm.endings([])) == 0
