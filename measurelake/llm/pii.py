@@ -180,7 +180,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     told = _disclosing(mentions, docs, n_chars or 0)
     if told is not None:
         told = stage_table(told, "pii-told")
-        added = _term_spans(docs, told).select("row", F.lit(None).cast("long").alias("doc_id"), "kind", "start", "end")
+        added = _term_spans(docs, told).select("row", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "kind", "start", "end")
         base = base.union(added)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "kind", "end"))
     gathered = base.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans"))

@@ -326,6 +326,8 @@ def test_terms_against_brute_force(spark):
     rows += [(100 + i, f"the {w} cat mailed the dog " * 40) for i, w in enumerate(words)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert check_terms(df) > 10
+    keyed = df.withColumn("doc_id", F.struct("doc_id", F.lit("x").alias("x")))
+    assert pii.find_spans(keyed).filter("doc_id is null").count() == 0
     assert "qux" in brute_terms(rows)[9] and "lone" not in brute_terms(rows)[11]
 
 
