@@ -174,12 +174,36 @@ def test_license_cases(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_windows(spark):
+    """Notices within longer lines and wrapped paragraphs, whole licences with another line around them."""
+    fill = "one two three four five six seven eight nine ten " * 8
+    body = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")
+    wrapped = "\n".join("# " + body[i : i + 60] for i in range(0, len(body), 60))
+    rows = [(1, f"{fill}Released under the MIT License. {fill}"), (2, f"Copyright 2020 somebody or other\n{wrapped}\n{fill}{fill}"), (3, fill), (4, None), (5, f"{fill} Licensed under CC BY 4.0, {fill}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.summary(licenses.scan(df)).collect()}
+    assert "MIT" in got[1].licenses and got[1].n_units == 0 and got[1].n_windows > 0
+    assert "BSD-2-Clause" in got[2].licenses
+    assert got[3].licenses == got[4].licenses == "" and "CC-BY-4.0" in got[5].licenses
+    assert licenses.scan(df, templates=()).filter("n_units + n_windows > 0").count() == 0
+    # Brute force: every window of every template's length.
+    for doc, text in rows:
+        words, found = licenses._plain(text or ""), set()
+        for name, template in licenses.TEMPLATES:
+            want, size = set(licenses.template_bigrams(template)), len(licenses._plain(template))
+            for a in range(max(1, len(words) - size + 1)):
+                own = {f"{x} {y}" for x, y in zip(words[a : a + size], words[a + 1 : a + size])}
+                if want and own and 2 * len(own & want) / (len(own) + len(want)) >= licenses.THRESHOLD:
+                    found.add(name)
+        assert set(filter(None, got[doc].licenses.split(","))) == found
+
+
 def test_prefix_loses_no_match():
     """Any bigram set that reaches the threshold shares a prefix bigram."""
     import random
 
     known = [(n, licenses.template_bigrams(t)) for n, t in licenses.TEMPLATES]
-    prefix = licenses.prefix_bigrams(known, 0.8)
+    prefix = {b for own in licenses.prefix_bigrams(known, 0.8) for b in own}
     rng = random.Random(3)
     for _, bigrams in known:
         for _ in range(200):
