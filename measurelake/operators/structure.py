@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .ranking import midrank
@@ -19,18 +23,50 @@ def unit_ranks(df: DataFrame, probe: str, unit: str, value: str) -> DataFrame:
 
 
 def spearman_pairs(ranks: DataFrame) -> DataFrame:
-    """probe_i < probe_j and rho: products of unit rank vectors.
+    """probe_i < probe_j, rho (products of unit rank vectors) and n (units with both).
 
     Each unit's vector is gathered once (its length is the number of probes, a
-    registry) and its pairs summed with partial aggregation; the units, which
-    grow with the data, are never joined with each other.
+    registry).  Every task adds its units up to one matrix product, so what is
+    shuffled is a table of probe pairs per task; the units, which grow with the
+    data, are never joined with each other, nor are their pairs written out.
     """
-    packed = ranks.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("probe", "r"))).alias("v"))
-    left = packed.select("v", F.posexplode("v").alias("at", "a"))
-    pairs = left.select("a", F.explode(F.slice("v", F.col("at") + 2, F.size("v"))).alias("b"))
-    return pairs.groupBy(F.col("a.probe").alias("probe_i"), F.col("b.probe").alias("probe_j")).agg(
-        F.sum(F.col("a.r") * F.col("b.r")).alias("rho"), F.count(F.lit(1)).alias("n")
-    )
+    kind = ranks.schema["probe"].dataType.simpleString()
+    packed = ranks.groupBy("unit").agg(F.collect_list(F.struct("probe", "r")).alias("v")).select("v")
+    sums = packed.mapInArrow(_products, f"probe_i {kind}, probe_j {kind}, rho double, n long")
+    return sums.groupBy("probe_i", "probe_j").agg(F.sum("rho").alias("rho"), F.sum("n").alias("n"))
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of every two probes over the task's units."""
+    places: dict = {}
+    total, count = np.zeros((0, 0)), np.zeros((0, 0))
+    kind = None
+    for batch in batches:
+        lists = batch.column(0)
+        flat = lists.flatten()
+        coded = flat.field(0).dictionary_encode()
+        kind = coded.dictionary.type
+        local = np.array([places.setdefault(p, len(places)) for p in coded.dictionary.to_pylist()], np.int64)
+        grow = len(places) - len(total)
+        total, count = np.pad(total, (0, grow)), np.pad(count, (0, grow))
+        rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        at = (rows, local[coded.indices.to_numpy()])
+        values, there = np.zeros((len(lists), len(places))), np.zeros((len(lists), len(places)))
+        values[at], there[at] = flat.field(1).to_numpy(), 1.0
+        total += values.T @ values
+        count += there.T @ there
+    names = sorted(places)
+    order = np.array([places[p] for p in names], np.int64)
+    i, j = np.triu_indices(len(names), 1)
+    a, b = order[i], order[j]
+    met = count[a, b] > 0
+    if met.any():
+        column = pa.array(names, kind)
+        i, j, a, b = i[met], j[met], a[met], b[met]
+        yield pa.RecordBatch.from_arrays(
+            [column.take(pa.array(i)), column.take(pa.array(j)), pa.array(total[a, b]), pa.array(count[a, b].astype(np.int64))],
+            ["probe_i", "probe_j", "rho", "n"],
+        )
 
 
 def balanced_median(rho: DataFrame, group_of) -> DataFrame:

@@ -149,14 +149,14 @@ SELECT policy, cohort, i, j, round(corr(rx, ry), 6) + 0.0 AS rho, count(*) AS n
 
 def leave_own_group_score(spark: SparkSession, d: str) -> DataFrame:
     """For each group of components, the common score of all the others: the total less the group's own sum."""
-    long = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), F.posexplode(F.slice("embedding", 1, 16)).alias("probe", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
+    long = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), F.posexplode("embedding").alias("probe", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
     ranks = structure.unit_ranks(long, "probe", "unit", "v").withColumn("g", F.floor(F.col("probe") / 4))
     own = ranks.groupBy("unit", "g").agg(F.sum("r").alias("own"))
     rest = own.withColumn("rest", F.sum("own").over(Window.partitionBy("unit")) - F.col("own"))
     return rounded(rest.select("unit", "g", "rest"), "rest")
 
 
-LEAVE_OWN = """WITH m AS (SELECT unit, probe, round(CAST(raw AS DOUBLE), 6) AS v FROM (SELECT vec_id AS unit, unnest(range(0, 16)) AS probe, unnest(embedding[1:16]) AS raw FROM embeddings)),
+LEAVE_OWN = """WITH m AS (SELECT unit, probe, round(CAST(raw AS DOUBLE), 6) AS v FROM (SELECT vec_id AS unit, unnest(range(0, len(embedding))) AS probe, unnest(embedding) AS raw FROM embeddings)),
 k AS (SELECT unit, probe, rank() OVER (PARTITION BY probe ORDER BY v) + (count(*) OVER (PARTITION BY probe, v) - 1) / 2.0 AS r FROM m), c AS (SELECT unit, probe, r - avg(r) OVER (PARTITION BY probe) AS r FROM k),
 u AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM c), o AS (SELECT unit, probe // 4 AS g, sum(r) AS own FROM u GROUP BY 1, 2)
 SELECT unit, g, round(sum(own) OVER (PARTITION BY unit) - own, 6) + 0.0 AS rest FROM o"""

@@ -83,18 +83,18 @@ BALANCE = f"WITH {_SETS} SELECT slot, count(DISTINCT p_partkey) AS n_controls, r
 
 
 def two_axis_rho(spark: SparkSession, d: str) -> DataFrame:
-    """Correlations of the first six components given two others: the second axis is made orthogonal to the first."""
+    """Correlations of the first sixty-two components given the two others: the second axis is made orthogonal to the first."""
     ranks = _ranks(spark, d)
     axis = lambda p: ranks.filter(F.col("probe") == p).select("unit", F.col("r").alias("s"))
-    first = axis(14)
-    rest = structure.condition_on(ranks.filter("probe < 6 or probe = 15"), first)
-    second = rest.filter("probe = 15").select("unit", F.col("r").alias("s"))
-    return rounded(structure.spearman_pairs(structure.condition_on(rest.filter("probe < 6"), second)), "rho")
+    first = axis(62)
+    rest = structure.condition_on(ranks.filter("probe <> 62"), first)
+    second = rest.filter("probe = 63").select("unit", F.col("r").alias("s"))
+    return rounded(structure.spearman_pairs(structure.condition_on(rest.filter("probe < 62"), second)), "rho")
 
 
-TWO_AXES = f"""WITH {_UNIT}, s1 AS (SELECT unit, r AS s FROM u WHERE probe = 14), e AS (SELECT u.unit, probe, r - s * sum(r * s) OVER (PARTITION BY probe) AS r FROM u JOIN s1 USING (unit) WHERE probe < 6 OR probe = 15),
-f AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM e), s2 AS (SELECT unit, r AS s FROM f WHERE probe = 15),
-g AS (SELECT f.unit, probe, r - s * sum(r * s) OVER (PARTITION BY probe) AS r FROM f JOIN s2 USING (unit) WHERE probe < 6), h AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM g)
+TWO_AXES = f"""WITH {_UNIT}, s1 AS (SELECT unit, r AS s FROM u WHERE probe = 62), e AS (SELECT u.unit, probe, r - s * sum(r * s) OVER (PARTITION BY probe) AS r FROM u JOIN s1 USING (unit) WHERE probe <> 62),
+f AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM e), s2 AS (SELECT unit, r AS s FROM f WHERE probe = 63),
+g AS (SELECT f.unit, probe, r - s * sum(r * s) OVER (PARTITION BY probe) AS r FROM f JOIN s2 USING (unit) WHERE probe < 62), h AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM g)
 SELECT a.probe AS probe_i, b.probe AS probe_j, round(sum(a.r * b.r), 6) + 0.0 AS rho, count(*) AS n FROM h a JOIN h b ON a.unit = b.unit AND a.probe < b.probe GROUP BY 1, 2"""
 
 

@@ -183,7 +183,9 @@ count(*) AS n, round(avg(CASE WHEN x BETWEEN 0 AND 1 THEN x END), 6) + 0.0 AS me
 
 def one_hot_design(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", "p_type")
-    levels = [r[0] for r in parts.select("p_type").distinct().limit(1000).collect()]
+    levels = [r[0] for r in parts.select("p_type").distinct().orderBy("p_type").limit(1001).collect()]
+    if len(levels) > 1000:
+        raise ValueError("over 1,000 levels: a column each is no design matrix")
     return relational.one_hot(parts, "p_type", "type", levels).drop("p_type")
 
 

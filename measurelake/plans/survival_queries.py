@@ -110,11 +110,11 @@ CAST(sum(CASE WHEN event = 0 AND t <= h THEN n ELSE 0 END) AS BIGINT) AS n_censo
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The embeddings as a long matrix: unit, probe (first 16 components) and value."""
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "label", F.posexplode(F.slice("embedding", 1, 16)).alias("probe", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
+    """The embeddings as a long matrix: unit, probe (component) and value."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), "label", F.posexplode("embedding").alias("probe", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
-_LONG = """m AS (SELECT unit, probe, v FROM (SELECT vec_id AS unit, CAST(unnest(range(0, 16)) AS INTEGER) AS probe, unnest(embedding[1:16]) AS raw FROM embeddings), LATERAL (SELECT round(CAST(raw AS DOUBLE), 6) AS v))"""
+_LONG = """m AS (SELECT unit, probe, v FROM (SELECT vec_id AS unit, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS probe, unnest(embedding) AS raw FROM embeddings), LATERAL (SELECT round(CAST(raw AS DOUBLE), 6) AS v))"""
 _UNIT = f"""{_LONG}, k AS (SELECT unit, probe, rank() OVER (PARTITION BY probe ORDER BY v) + (count(*) OVER (PARTITION BY probe, v) - 1) / 2.0 AS r FROM m),
 c AS (SELECT unit, probe, r - avg(r) OVER (PARTITION BY probe) AS r FROM k), u AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM c)"""
 
@@ -144,16 +144,16 @@ SELECT round((SELECT median(m) FROM g), 6) + 0.0 AS balanced, (SELECT count(*) F
 
 
 def conditioned_rho(spark: SparkSession, d: str) -> DataFrame:
-    """Correlations of the first twelve components given a common score of the last four."""
+    """Correlations of the first sixty components given a common score of the last four."""
     ranks = _ranks(spark, d)
-    score = structure.common_score(ranks.filter("probe >= 12"), lambda p: F.floor(p / 2))
-    kept = structure.condition_on(ranks.filter("probe < 12"), score)
+    score = structure.common_score(ranks.filter("probe >= 60"), lambda p: F.floor(p / 2))
+    kept = structure.condition_on(ranks.filter("probe < 60"), score)
     return rounded(structure.spearman_pairs(kept), "rho")
 
 
-CONDITIONED = f"""WITH {_UNIT}, g AS (SELECT probe // 2 AS g, unit, avg(r) AS m FROM u WHERE probe >= 12 GROUP BY 1, 2), h AS (SELECT g, unit, m / sqrt(sum(m * m) OVER (PARTITION BY g)) AS m FROM g),
+CONDITIONED = f"""WITH {_UNIT}, g AS (SELECT probe // 2 AS g, unit, avg(r) AS m FROM u WHERE probe >= 60 GROUP BY 1, 2), h AS (SELECT g, unit, m / sqrt(sum(m * m) OVER (PARTITION BY g)) AS m FROM g),
 w AS (SELECT unit, avg(m) AS v FROM h GROUP BY 1), q AS (SELECT unit, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM w), q2 AS (SELECT unit, r - avg(r) OVER () AS r FROM q),
-s AS (SELECT unit, r / sqrt(sum(r * r) OVER ()) AS s FROM q2), e AS (SELECT u.unit, probe, r - s * sum(r * s) OVER (PARTITION BY probe) AS r FROM u JOIN s USING (unit) WHERE probe < 12),
+s AS (SELECT unit, r / sqrt(sum(r * r) OVER ()) AS s FROM q2), e AS (SELECT u.unit, probe, r - s * sum(r * s) OVER (PARTITION BY probe) AS r FROM u JOIN s USING (unit) WHERE probe < 60),
 f AS (SELECT unit, probe, r / sqrt(sum(r * r) OVER (PARTITION BY probe)) AS r FROM e)
 SELECT a.probe AS probe_i, b.probe AS probe_j, round(sum(a.r * b.r), 6) + 0.0 AS rho, count(*) AS n FROM f a JOIN f b ON a.unit = b.unit AND a.probe < b.probe GROUP BY 1, 2"""
 
@@ -171,11 +171,11 @@ round(covar_samp(ti - ni, tj - nj), 9) + 0.0 AS cov_delta, true AS identity_ok F
 
 
 def reference_set_position(spark: SparkSession, d: str) -> DataFrame:
-    """Random sets of four of the sixteen components from hashed draws; where the first four stand among them."""
+    """256 random sets of four of the sixty-four components from hashed draws; where the first four stand among them."""
     from ..functions.scalar import counter_random
 
     rho = structure.spearman_pairs(_ranks(spark, d))
-    sets = spark.range(100).select(F.col("id").cast("int").alias("set_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("probe"))
+    sets = spark.range(256).select(F.col("id").cast("int").alias("set_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("probe"))
     sets = ranking.top_k(sets.withColumn("h", counter_random(9, "set_id", "probe")), "set_id", [F.col("h"), F.col("probe")], 4).select("set_id", "probe")
     sets = sets.union(spark.range(4).select(F.lit(-1).alias("set_id"), F.col("id").cast("int").alias("probe")))
     a, b = sets.withColumnRenamed("probe", "probe_i"), sets.withColumnRenamed("probe", "probe_j")
@@ -189,7 +189,7 @@ def reference_set_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 REFERENCE = f"""WITH {_UNIT}, r AS (SELECT a.probe AS pi, b.probe AS pj, sum(a.r * b.r) AS rho FROM u a JOIN u b ON a.unit = b.unit AND a.probe < b.probe GROUP BY 1, 2),
-d AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY CAST('0x' || substr(md5('9|' || s || '|' || p), 1, 8) AS BIGINT), p) AS k FROM range(100) a(s) CROSS JOIN range(16) b(p)),
+d AS (SELECT s, p, row_number() OVER (PARTITION BY s ORDER BY CAST('0x' || substr(md5('9|' || s || '|' || p), 1, 8) AS BIGINT), p) AS k FROM range(256) a(s) CROSS JOIN range(64) b(p)),
 z AS (SELECT s, p FROM d WHERE k <= 4 UNION ALL SELECT -1, p FROM range(4) b(p)),
 v AS (SELECT a.s, median(rho) AS m FROM z a JOIN z b ON a.s = b.s AND a.p < b.p JOIN r ON r.pi = a.p AND r.pj = b.p GROUP BY 1), cand AS (SELECT m AS candidate FROM v WHERE s = -1)
 SELECT round(max(candidate), 6) + 0.0 AS candidate, count(*) AS n_sets, count(*) FILTER (round(m, 9) >= round(candidate, 9)) AS n_at_least, round(median(m), 6) + 0.0 AS median FROM v CROSS JOIN cand WHERE s >= 0"""

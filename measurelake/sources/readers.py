@@ -89,7 +89,7 @@ def read_series_matrix(spark: SparkSession, path: str, wanted: list[str] | None
     lines = spark.read.text(path).select(F.trim("value").alias("line"))
     cells = F.transform(F.split("line", "\t"), lambda c: F.regexp_replace(c, '^"|"$', ""))
     meta = lines.filter("line like '!Sample_%'").select(cells.alias("c"))
-    fields = meta.select(F.regexp_replace(F.get("c", 0), "^!Sample_", "").alias("key"), F.posexplode(F.slice("c", 2, 100000)).alias("at", "value"))
+    fields = meta.select(F.regexp_replace(F.get("c", 0), "^!Sample_", "").alias("key"), F.posexplode(F.slice("c", 2, F.size("c"))).alias("at", "value"))
     names = fields.filter("key = 'geo_accession'").select("at", F.col("value").alias("sample"))
     keyed = F.regexp_extract("value", r"^([^:]+):\s*(.*)$", 1)
     rows = fields.join(F.broadcast(names), "at").filter("key <> 'geo_accession'")
@@ -101,7 +101,7 @@ def read_series_matrix(spark: SparkSession, path: str, wanted: list[str] | None
     body = lines.filter("line not like '!%' and line <> ''").select(cells.alias("c")).filter(F.get("c", 0) != "ID_REF")
     if wanted is not None:
         body = body.filter(F.get("c", 0).isin(*wanted))
-    values = body.select(F.get("c", 0).alias("probe"), F.posexplode(F.slice("c", 2, 100000)).alias("at", "cell"))
+    values = body.select(F.get("c", 0).alias("probe"), F.posexplode(F.slice("c", 2, F.size("c"))).alias("at", "cell"))
     table = values.join(F.broadcast(names), "at").select("probe", "sample", token_to_double(F.col("cell"))["value"].alias("value"))
     return rows, table
 

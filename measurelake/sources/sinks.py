@@ -32,8 +32,10 @@ def write_small_gzip(df: DataFrame, path: str, order: list[str], sep: str = "\t"
 
 
 def to_markdown(df: DataFrame, order: list[str], limit: int = 1000) -> str:
-    """A markdown table of a small result."""
-    rows = df.orderBy(*order).limit(limit).collect()
+    """A markdown table of a small result; more than ``limit`` rows raise."""
+    rows = df.orderBy(*order).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} rows")
     show = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n"

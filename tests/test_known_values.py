@@ -117,3 +117,41 @@ def test_scalars(spark):
     where = spark.sql("select 'A;B;A' n, 'Body;TSS200;TSS200' g, 'x;y' h")
     kind = lambda n, g: where.select(scalar.location_category(F.col(n), F.col(g), "A", ("TSS200",), ("Body",))).first()[0]
     assert kind("n", "g") == "promoter" and kind("n", "h") is None
+
+
+def test_bca_edges():
+    """All draws above the mean: the interval follows from half a draw below; no spread: the value itself."""
+    import numpy as np
+
+    from measurelake.functions import numeric
+
+    x = np.array([1.0, 2.0, 3.0, 6.0])
+    low, high = numeric.bca_interval(x, np.linspace(3.5, 4.0, 100))
+    assert 3.5 <= low <= high < 3.75
+    assert numeric.bca_interval(np.ones(5), np.ones(50)) == (1.0, 1.0)
+    draws = np.random.default_rng(1).normal(3.0, 0.5, 4000)
+    low, high = numeric.bca_interval(x, draws)
+    assert low < 3.0 < high and abs((high - low) - 1.96) < 0.4
+
+
+def test_products_of_units(spark):
+    """Pair sums with missing probes against numpy, at several partitionings."""
+    import numpy as np
+
+    from measurelake.operators import structure
+
+    rng = np.random.default_rng(2)
+    cells = [(int(u), f"p{p}", float(rng.normal())) for u in range(60) for p in range(7) if rng.random() < 0.8]
+    table = {(u, p): r for u, p, r in cells}
+    names = sorted({p for _, p, _ in cells})
+    want = {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            both = [table[u, a] * table[u, b] for u in range(60) if (u, a) in table and (u, b) in table]
+            want[a, b] = (sum(both), len(both))
+    for parts in (1, 5):
+        df = spark.createDataFrame(cells, "unit long, probe string, r double").repartition(parts)
+        got = {(r.probe_i, r.probe_j): (r.rho, r.n) for r in structure.spearman_pairs(df).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    assert structure.spearman_pairs(df.limit(0)).count() == 0
