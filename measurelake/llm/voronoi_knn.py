@@ -5,17 +5,19 @@ component sqrt(M - |x|^2) to data vectors (M: the largest squared norm) and 0
 to queries turns the inner-product order into the distance order, which pivots
 can bound.  The plan:
 
-1. a bounded sample of data vectors serves as pivots; every vector belongs to
-   its nearest pivot's cell;
+1. a sample of data vectors serves as pivots, a quarter of the square root of
+   the rows between bounds; every vector belongs to its nearest pivot's cell;
 2. one small summary per cell - rows, smallest and largest distance to the
    pivot, the k + 1 nearest distances - is gathered (its size depends on the
    number of pivots only);
 3. from the summaries each query group gets an upper bound of the distance of
    its k-th neighbour, and by it each query the list of cells that may hold a
    neighbour (triangle and hyperplane bounds); only there it is copied to;
-4. cells are cut into slices of at most ``slice_rows`` data rows and
-   ``slice_queries`` queries, solved locally, and the slices' best k merged.
+4. cells are cut into slices of data rows and panels of queries of ``BLOCK_BYTES``
+   of vector each, solved locally, and the slices' best k merged.
 
+With n rows and m queries in a cell, n * m / panel + n * m / slice vectors are
+shuffled, so both are as large as a task's memory allows, whatever the width.
 So a cell that holds a third of all rows is many tasks, and nothing is dropped.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components
@@ -36,11 +38,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stage_table
 
-PIVOTS = 48
-SLICE_ROWS = 8192
-SLICE_QUERIES = 2048
-#: Whole-number components up to this size keep inner products of a thousand components exact in doubles.
-EXACT = float(1 << 21)
+#: Fewest and most pivots; the driver holds the distances between them.
+PIVOTS = (48, 2048)
+#: Bytes of the vectors of a slice of data rows, or of a panel of queries.
+BLOCK_BYTES = 1 << 23
+#: Distances to pivots, or scores, that are held at a time.
+CELLS_AT_ONCE = 1 << 21
+#: Sums of products below this are exact in doubles, in any order.
+EXACT = float(1 << 53)
 #: Relative slack on every bound, for rounding in the distances.
 SLACK = 1e-9
 
@@ -59,15 +64,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    if max(np.abs(queries).max(initial=0), np.abs(data).max(initial=0)) <= EXACT:
+    """Exact integer inner products, clipped to the range of a long."""
+    largest = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * max(queries.shape[1], 1)
+    if largest < EXACT:
         return (queries @ data.T).astype(np.int64)
-    top = (1 << 63) - 1
-    whole = [[int(x) for x in row] for row in data]
-    return np.array(
-        [[max(-top - 1, min(top, sum(int(a) * b for a, b in zip(q, row)))) for row in whole] for q in queries],
-        np.int64,
-    )
+    whole = np.frompyfunc(int, 1, 1)
+    products = whole(queries).astype(object) @ whole(data).astype(object).T
+    return np.clip(products, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -127,13 +130,14 @@ def knn_join(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: float = 256.0,
-    pivots: int = PIVOTS,
-    slice_rows: int = SLICE_ROWS,
-    slice_queries: int = SLICE_QUERIES,
+    pivots: int | None = None,
+    slice_rows: int | None = None,
+    slice_queries: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the best ``k`` rows for every row where ``is_query`` holds.
 
-    ``is_query`` is an expression over column vec_id.
+    ``is_query`` is an expression over column vec_id.  Pivots and slices follow
+    the rows and the width unless given.
     """
     spark = data.sparkSession
     whole = stage_table(whole_vectors(data, id_col, vector_col, scale), "knn-vectors")
@@ -143,6 +147,9 @@ def knn_join(
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not rows:
         return empty
+    pivots = pivots or int(min(max(rows**0.5 / 4, PIVOTS[0]), PIVOTS[1]))
+    block = max(1024, BLOCK_BYTES // (8 * max(width, 1)))
+    slice_rows, slice_queries = slice_rows or block, slice_queries or block
     # Pivots: a bounded sample, the distinct vectors of the rows whose ids have the smallest hashes.
     chosen = whole.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(pivots).collect()
     chosen = list(dict.fromkeys(tuple(row.v) for row in chosen))
@@ -161,8 +168,14 @@ def knn_join(
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest - (x**2).sum(1), 0))
         return np.concatenate([x, extra[:, None]], 1)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, CELLS_AT_ONCE // len(centre))
         for batch in batches:
+            for a in range(0, batch.num_rows, most):
+                yield batch.slice(a, most)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches):
             d = distances(lifted(_matrix(batch.column(1), width), False))
             cell = d.argmin(1)
             near = d[np.arange(len(d)), cell]
@@ -172,7 +185,7 @@ def knn_join(
             )
 
     def assign_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             d = distances(lifted(_matrix(batch.column(1), width), True))
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +247,7 @@ def knn_join(
     slices = np.maximum(1, -(-count // slice_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             x = _matrix(batch.column(1), width)
             d = distances(lifted(x, True))
             needed = _cells_needed(d.argmin(1), d, gaps, low, high, limit) & (count > 0)
@@ -269,9 +282,10 @@ def knn_join(
         block = block.combine_chunks()
         ids, q = block["vec_id"].to_numpy(), block["q"].to_numpy()
         x = _matrix(block["v"].combine_chunks(), width)
+        at_once = max(1, CELLS_AT_ONCE // max(1, int((~q).sum())))
         found = [
             _best(_scores(x[ask], x[~q]), ids[~q], ids[ask], k)
-            for ask in np.split(np.flatnonzero(q), range(256, int(q.sum()), 256))
+            for ask in np.split(np.flatnonzero(q), range(at_once, int(q.sum()), at_once))
         ]
         columns = [np.concatenate(c) for c in zip(*found)]
         return pa.table(columns, names=["query_id", "vec_id", "score"])

@@ -280,3 +280,12 @@ def test_pipeline_odd_rows(spark):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_knn_sizes():
+    """Products are exact whatever the width: sums past 2^53 go another way."""
+    rng = np.random.default_rng(1)
+    for width, top in ((4096, 2**21), (3000, 2**26), (5, 2**40)):
+        q, x = rng.integers(-top, top, (3, width)).astype(float), rng.integers(top // 2, top, (4, width)).astype(float)
+        want = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(r, c)))) for c in x] for r in q]
+        assert voronoi_knn._scores(q, x).tolist() == want
