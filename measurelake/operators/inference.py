@@ -4,30 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.tails import t_two_sided
 from .ranking import midrank
 
 
-def t_tail(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t for whole degrees of freedom, by the finite trigonometric series."""
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    s, c = F.sin(theta), F.cos(theta)
-    odd = (df % 2) == 1
-    # Terms: odd cos^(2k-1) * prod 2j/(2j+1); even cos^(2k) * prod (2j-1)/(2j).
-    last = F.when(odd, ((df - 1) / 2).cast("int")).otherwise((df / 2 - 1).cast("int"))
-    start = F.struct(F.lit(0.0).alias("total"), F.when(odd, c).otherwise(F.lit(1.0)).alias("term"))
-
-    def step(acc, k):
-        factor = F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k + 1) / (2.0 * k + 2))
-        return F.struct((acc["total"] + acc["term"]).alias("total"), (acc["term"] * c * c * factor).alias("term"))
-
-    none = F.array().cast("array<int>")
-    odd_steps = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(none)
-    even_steps = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(none)
-    total = F.aggregate(F.when(odd, odd_steps).otherwise(even_steps), start, step)["total"]
-    inside = F.when(odd, (theta + s * total) * 2.0 / F.pi()).otherwise(s * total)
-    return F.when(t.isNotNull() & (df >= 1), F.greatest(1 - inside, F.lit(0.0)))
-
-
 def paired_effects(deltas: DataFrame, by: list[str], value: str = "delta", scale: float = 100.0, min_n: int = 3) -> DataFrame:
     """n, mean, sd, se, t, df, p and signs of paired differences; null statistics below ``min_n`` pairs.
 
@@ -41,7 +21,7 @@ def paired_effects(deltas: DataFrame, by: list[str], value: str = "delta", scale
     ok = F.col("n") >= min_n
     se = F.when(ok, F.col("sd") / F.sqrt("n"))
     t = F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("n")))
-    p = F.when(F.col("sd") > 0, t_tail(t, F.col("n") - 1)).when(F.col("mean") == 0, 1.0).otherwise(0.0)
+    p = F.when(F.col("sd") > 0, t_two_sided(t, F.col("n") - 1)).when(F.col("mean") == 0, 1.0).otherwise(0.0)
     return s.select(*by, "n", "mean", "sd", "median", "n_pos", "n_neg", se.alias("se"), F.when(ok, t).alias("t"), F.when(ok, p).alias("p"))
 
 
@@ -152,6 +132,25 @@ def cutoff_rules(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+def cutoff_leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Smallest and largest .95 order statistic and 2.5-fold mean with each single row left out.
+
+    Without a row at or below place r of the others, the statistic is the next
+    value, without a later one it is the r-th itself: two order statistics and
+    the extremes tell all, and no row meets another.
+    """
+    own = Window.partitionBy(*by)
+    placed = df.filter(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(own.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(own))
+    place = F.ceil((F.col("__n") - 2) * F.lit(0.95) - 1e-9) + 1
+    at = lambda r: F.max(F.when(F.col("__r") == r, F.col(value)))
+    s = placed.filter("__n > 1").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_left_out"), at(place).alias("q95_low"), at(place + 1).alias("q95_high"),
+        F.sum(value).alias("__s"), F.min(value).alias("__a"), F.max(value).alias("__b"),
+    )
+    rest = lambda c: 2.5 * (F.col("__s") - F.col(c)) / (F.col("n_left_out") - 1)
+    return s.select(*by, "n_left_out", "q95_low", "q95_high", rest("__b").alias("mean25_low"), rest("__a").alias("mean25_high"))
+
+
 def fixed_effect_meta(effects: DataFrame, by: list[str], effect: str = "mean", se: str = "se", min_k: int = 3) -> DataFrame:
     """Inverse-variance pooled effect with Q and I squared; null below ``min_k`` studies."""
     w = 1 / (F.col(se) * F.col(se))

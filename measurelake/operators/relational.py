@@ -143,3 +143,12 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for more in frames[1:]:
         out = out.unionByName(more, allowMissingColumns=True)
     return out
+
+
+def transpose(matrix: DataFrame, row: str, rows: list, name: str, prefix: str = "") -> DataFrame:
+    """Columns of ``matrix`` but ``row`` as rows, called ``name``; the given values of ``row`` as columns."""
+    values = [c for c in matrix.columns if c != row]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias("__v")) for c in values])).alias("x")
+    long = matrix.select(F.col(row).alias("__row"), cells).select("__row", "x.*")
+    wide = long.groupBy(name).pivot("__row", rows).agg(F.first("__v"))
+    return wide.select(name, *[F.col(f"`{r}`").alias(f"{prefix}{r}") for r in rows])

@@ -6,6 +6,8 @@ unit and never copied per observation drawn.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import counter_random
@@ -35,6 +37,35 @@ def bootstrap_mean(values: DataFrame, by: list[str], unit: str, value: str, draw
     )
 
 
+#: Places of the Poisson(1) distribution function on the scale of a 32-bit hash: a unit counts once for each it reaches.
+POISSON_CUTS = [
+    math.ceil(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)
+]
+
+
+def poisson_mean(values: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Percentile interval of the mean over whole units, each with a Poisson(1) weight per draw.
+
+    A weight depends on the draw and the unit alone, so nothing is numbered or
+    joined: every task adds its rows to ``draws`` sums, and only those are
+    shuffled.  A unit has the same weight in all groups.
+    """
+    blocks = values.select(*by, unit, value, F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("__b"))
+    # One md5 serves four draws: eight hexadecimal digits each.
+    hashed = blocks.withColumn("__m", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), F.col(unit).cast("string")).cast("binary")))
+    parts = hashed.select(*by, value, "__b", "__m", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__k"))
+    h = F.conv(F.substring("__m", F.col("__k") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    parts = parts.select(*by, value, (F.col("__b") * 4 + F.col("__k")).alias("draw"), h.alias("__h")).filter(F.col("draw") < draws)
+    weight = sum((F.when(F.col("__h") >= F.lit(c), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
+    # No filter on the weight: pushed down, it would repeat the hash for every cut.
+    drawn = parts.withColumn("weight", weight)
+    means = drawn.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight")).alias("m"))
+    tail = (1 - level) / 2
+    return means.groupBy(*by).agg(
+        F.count("m").alias("n_draws"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")
+    )
+
+
 def weighted_ratio(weights: DataFrame, kernel: DataFrame, by: list[str]) -> DataFrame:
     """w'Nw / w'Dw per draw from pair kernels (i, j, num, den) and unit weights (draw, unit, weight)."""
     a = weights.select(*by, "draw", F.col("unit").alias("i"), F.col("weight").alias("wi"))

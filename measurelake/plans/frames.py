@@ -17,7 +17,7 @@ SPEC = """spec AS (
   SELECT user_id % 5 AS cohort, user_id AS patient,
          CASE event_type WHEN 'purchase' THEN 'T' WHEN 'view' THEN 'N' WHEN 'signup' THEN 'H' WHEN 'click' THEN 'A' END AS tissue,
          CAST(hour(ts) // 4 AS INTEGER) AS probe,
-         avg(CASE WHEN value / 500.0 BETWEEN 0 AND 1 THEN value / 500.0 END) AS beta,
+         round(avg(CASE WHEN value / 500.0 BETWEEN 0 AND 1 THEN value / 500.0 END), 12) AS beta,
          count(CASE WHEN value / 500.0 BETWEEN 0 AND 1 THEN 1 END) AS n_replicates
   FROM events WHERE event_type IN ('purchase', 'view', 'signup', 'click') GROUP BY ALL)"""
 DELTA = """delta AS (
@@ -50,8 +50,12 @@ def raw_specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replicates collapsed: one row per cohort, patient, tissue and probe."""
-    return relational.collapse_replicates(raw_specimens(spark, sf_dir), ["cohort", "patient", "tissue", "probe"], "beta")
+    """Replicates collapsed: one row per cohort, patient, tissue and probe.
+
+    Means are rounded to 12 digits: equal ones tie in ranks, whatever the order of their sums.
+    """
+    rows = relational.collapse_replicates(raw_specimens(spark, sf_dir), ["cohort", "patient", "tissue", "probe"], "beta")
+    return rows.withColumn("beta", F.round("beta", 12))
 
 
 def deltas(spark: SparkSession, sf_dir: str, high: str = "T", low: str = "N") -> DataFrame:

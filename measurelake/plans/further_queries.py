@@ -165,10 +165,7 @@ SELECT unit, g, round(sum(own) OVER (PARTITION BY unit) - own, 6) + 0.0 AS rest
 def cutoff_stability(spark: SparkSession, d: str) -> DataFrame:
     """Cut-offs of the normal values with each patient left out: smallest and largest, by probe."""
     normal = specimens(spark, d).filter("tissue = 'N' and beta is not null").select("cohort", "patient", "probe", "beta")
-    left_out = normal.select("cohort", "probe", F.col("patient").alias("out")).distinct()
-    rest = left_out.join(normal, ["cohort", "probe"]).filter("out <> patient")
-    rules = inference.cutoff_rules(rest, ["cohort", "probe", "out"], "beta")
-    out = rules.groupBy("cohort", "probe").agg(F.count(F.lit(1)).alias("n_left_out"), F.min("q95").alias("q95_low"), F.max("q95").alias("q95_high"), F.min("mean25").alias("mean25_low"), F.max("mean25").alias("mean25_high"))
+    out = inference.cutoff_leave_one_out(normal, ["cohort", "probe"], "beta")
     return rounded(out, "q95_low", "q95_high", "mean25_low", "mean25_high", digits=10)
 
 
