@@ -296,3 +296,164 @@ def rbf_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float | None =
         return (np.exp(-gamma * np.maximum(distance, 0)) + 1.0) @ weight
 
     return decide
+
+
+def weighted_scale(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample standard deviation of columns with frequency weights; a constant column has 1."""
+    total = weight.sum()
+    mean = weight @ x / total
+    sd = np.sqrt(weight @ (x - mean) ** 2 / max(total - 1, 1))
+    return mean, np.where(sd > 1e-12, sd, 1.0)
+
+
+class _RiskSets:
+    """Counted rows in falling order of time, with the last row of each time's risk set."""
+
+    def __init__(self, time: np.ndarray, event: np.ndarray, weight: np.ndarray):
+        self.order = np.argsort(-time, kind="stable")
+        t, self.weight = time[self.order], weight[self.order]
+        self.ends = np.flatnonzero(np.diff(t, append=-np.inf))
+        self.of = np.searchsorted(self.ends, np.arange(len(t)))
+        dead = self.weight * (event[self.order] == 1)
+        self.dead = dead
+        self.deaths = np.bincount(self.of, dead, len(self.ends))
+        self.times = t[self.ends]
+
+    def moments(self, x: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Sum of risks, mean and mean square of x at each time; the shift of eta."""
+        shift = eta.max()
+        r = self.weight * np.exp(eta - shift)
+        s0 = np.cumsum(r)[self.ends]
+        m1 = np.cumsum(r[:, None] * x, 0)[self.ends] / s0[:, None]
+        m2 = np.cumsum(r[:, None, None] * x[:, :, None] * x[:, None, :], 0)[self.ends] / s0[:, None, None]
+        return s0, m1, m2, shift
+
+
+def cox_path(time: np.ndarray, event: np.ndarray, x: np.ndarray, weight: np.ndarray, penalties: list[float], mix: float) -> np.ndarray:
+    """Cox coefficients (Breslow ties) for each penalty, in the order given.
+
+    Minimises -loglik / total weight + penalty * (mix * |b|_1 + (1 - mix) / 2 * |b|^2):
+    Newton steps whose penalised quadratic is solved by coordinate descent, and
+    a step is halved until the objective falls.
+    """
+    sets = _RiskSets(time, event, weight)
+    x = x[sets.order]
+    total = weight.sum()
+    seen = (sets.dead @ x) / total
+    k = x.shape[1]
+
+    def state(beta):
+        eta = x @ beta
+        s0, m1, m2, shift = sets.moments(x, eta)
+        d = sets.deaths
+        value = (d @ (np.log(s0) + shift) - sets.dead @ eta) / total
+        grad = d @ m1 / total - seen
+        hess = (np.einsum("t,tij->ij", d, m2) - (m1.T * d) @ m1) / total
+        return value, grad, hess
+
+    found, beta = {}, np.zeros(k)
+    for penalty in sorted(set(penalties), reverse=True):
+        one, two = penalty * mix, penalty * (1 - mix)
+
+        def cost(value, b):
+            return value + one * np.abs(b).sum() + two / 2 * b @ b
+
+        value, grad, hess = state(beta)
+        for _ in range(100):
+            new = beta.copy()
+            for _ in range(1000):
+                before = new.copy()
+                for j in range(k):
+                    slope = grad[j] + hess[j] @ (new - beta) - hess[j, j] * new[j]
+                    curve = hess[j, j] + two
+                    new[j] = -np.sign(slope) * max(abs(slope) - one, 0) / curve if curve > 0 else 0.0
+                if np.abs(new - before).max() < 1e-12:
+                    break
+            step, now = 1.0, cost(value, beta)
+            while True:
+                trial = beta + step * (new - beta)
+                told = state(trial)
+                if cost(told[0], trial) <= now + 1e-13 or step < 1e-6:
+                    break
+                step /= 2
+            moved = np.abs(trial - beta).max()
+            beta, (value, grad, hess) = trial, told
+            if moved < 1e-9:
+                break
+        found[penalty] = beta.copy()
+    return np.array([found[p] for p in penalties])
+
+
+def cox_deviance(time: np.ndarray, event: np.ndarray, eta: np.ndarray, weight: np.ndarray) -> float:
+    """Twice the log partial likelihood (Breslow ties) lacking to the saturated model."""
+    sets = _RiskSets(time, event, weight)
+    eta = eta[sets.order]
+    shift = eta.max()
+    s0 = np.cumsum(sets.weight * np.exp(eta - shift))[sets.ends]
+    d = sets.deaths
+    log_likelihood = sets.dead @ eta - d @ (np.log(s0) + shift)
+    saturated = -(d[d > 0] * np.log(d[d > 0])).sum()
+    return float(2 * (saturated - log_likelihood))
+
+
+def one_se(losses: np.ndarray, penalties: list[float]) -> tuple[float, float]:
+    """The penalty of least mean loss over folds (rows) and the strongest within one standard error of it."""
+    order = np.argsort(penalties, kind="stable")
+    table, sizes = losses[:, order], np.asarray(penalties)[order]
+    valid = np.isfinite(table).all(0)
+    if not valid.any():
+        return np.nan, np.nan
+    mean = np.where(valid, table.mean(0), np.inf)
+    best = int(np.argmin(mean))
+    error = table[:, best].std(ddof=1) / np.sqrt(len(table)) if len(table) > 1 else 0.0
+    return float(sizes[best]), float(sizes[np.flatnonzero(mean <= mean[best] + error)[-1]])
+
+
+def schoenfeld_trend(time: np.ndarray, event: np.ndarray, x: np.ndarray, weight: np.ndarray, beta: float, se: float) -> tuple[float, float]:
+    """Correlation of one covariate's Schoenfeld residuals with event time, and the chi-square of their trend (1 df)."""
+    sets = _RiskSets(time, event, weight)
+    x = x[sets.order]
+    _, mean, _, _ = sets.moments(x[:, None], x * beta)
+    residual = x - mean[sets.of, 0]
+    d, g = sets.dead, sets.times[sets.of]
+    total = d.sum()
+    if total < 2:
+        return np.nan, np.nan
+    g = g - d @ g / total
+    spread, own = d @ (g * g), d @ (residual - d @ residual / total) ** 2
+    trend = d @ (g * residual)
+    if spread <= 0 or own <= 0:
+        return np.nan, np.nan
+    # Scaled residuals are total * variance * residual.
+    return float(trend / np.sqrt(spread * own)), float(trend**2 * total * se**2 / spread)
+
+
+def random_table(table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A table with the margins of ``table``, distributed as by permuting its subjects' columns."""
+    left, out = table.sum(0), np.zeros_like(table)
+    for i, size in enumerate(table.sum(1)):
+        out[i] = rng.multivariate_hypergeometric(left, int(size), method="marginals")
+        left = left - out[i]
+    return out
+
+
+def uno_c(table: np.ndarray, time: np.ndarray, event: np.ndarray, horizon: float, floor: float) -> float:
+    """Uno's C of counts by score (rows, rising) and (time, event) (columns); NaN without pairs or support."""
+    times, at = np.unique(time, return_inverse=True)
+    leave = np.bincount(at, table.sum(0), len(times))
+    lost = np.bincount(at, table.sum(0) * (event == 0), len(times))
+    risk = np.cumsum(leave[::-1])[::-1]
+    g = np.cumprod(1 - lost / np.maximum(risk, 1))
+    before = np.concatenate([[1.0], g[:-1]])
+    by_time = np.zeros((len(table), len(times)))
+    dead = np.zeros_like(by_time)
+    for c, place in enumerate(at):
+        by_time[:, place] += table[:, c]
+        dead[:, place] += table[:, c] * (event[c] == 1)
+    later = by_time.sum(1, keepdims=True) - np.cumsum(by_time, 1)  # of each score, after each time
+    lower = np.cumsum(later, 0) - later
+    counted = (times < horizon) & (dead.sum(0) > 0) & (later.sum(0) > 0)
+    if not counted.any() or before[counted].min() <= floor:
+        return np.nan
+    w = np.where(counted, 1 / np.maximum(before, floor) ** 2, 0.0)
+    return float((dead * w * (lower + later / 2)).sum() / (dead * w * later.sum(0)).sum())

@@ -29,7 +29,10 @@ def _apply(df: DataFrame, by: list[str], columns: list[str], rest: str, solve) -
         return rows
 
     used = list(dict.fromkeys([*by, *columns]))
-    return df.select(*used).groupBy(*by).applyInPandas(run, _schema(df, by, rest))
+    # Groups are small and costly: a set number of partitions keeps them apart, where sizes alone would join them in one task.
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.select(*used).repartition(parts, *by).groupBy(*by).applyInPandas(run, _schema(df, by, rest))
 
 
 def regression(df: DataFrame, by: list[str], y: str, exposure: str, covariates: list[str] = (), cluster: str | None = None, min_df: int = 10, z_score: bool = False) -> DataFrame:

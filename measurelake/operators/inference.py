@@ -151,6 +151,16 @@ def cutoff_leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return s.select(*by, "n_left_out", "q95_low", "q95_high", rest("__b").alias("mean25_low"), rest("__a").alias("mean25_high"))
 
 
+def weighted_cutoffs(drawn: DataFrame, by: list[str], value: str, weight: str = "weight") -> DataFrame:
+    """The 95 % order statistic (higher) and 2.5 times the mean of rows that count ``weight`` times."""
+    own = Window.partitionBy(*by)
+    run = F.sum(weight).over(own.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    placed = drawn.filter(F.col(weight) > 0).withColumn("__c", run).withColumn("__n", F.sum(weight).over(own))
+    reached = F.col("__c") >= F.ceil((F.col("__n") - 1) * F.lit(0.95) - 1e-9) + 1
+    mean = F.sum(F.col(weight) * F.col(value)) / F.sum(weight)
+    return placed.groupBy(*by).agg(F.min(F.when(reached, F.col(value))).alias("q95"), (2.5 * mean).alias("mean25"))
+
+
 def fixed_effect_meta(effects: DataFrame, by: list[str], effect: str = "mean", se: str = "se", min_k: int = 3) -> DataFrame:
     """Inverse-variance pooled effect with Q and I squared; null below ``min_k`` studies."""
     w = 1 / (F.col(se) * F.col(se))

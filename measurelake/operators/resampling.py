@@ -43,6 +43,19 @@ POISSON_CUTS = [
 ]
 
 
+def poisson_draws(rows: DataFrame, keep: list[str], unit: str, draws: int, seed: int) -> DataFrame:
+    """``keep``, draw and weight: each row once per draw with its unit's Poisson(1) weight, from a hash of draw and unit."""
+    blocks = rows.select(*keep, F.col(unit).cast("string").alias("__u"), F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("__b"))
+    # One md5 serves four draws: eight hexadecimal digits each.
+    hashed = blocks.withColumn("__m", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), "__u").cast("binary")))
+    parts = hashed.select(*keep, "__b", "__m", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__k"))
+    h = F.conv(F.substring("__m", F.col("__k") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    parts = parts.select(*keep, (F.col("__b") * 4 + F.col("__k")).alias("draw"), h.alias("__h")).filter(F.col("draw") < draws)
+    weight = sum((F.when(F.col("__h") >= F.lit(c), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
+    # No filter on the weight: pushed down, it would repeat the hash for every cut.
+    return parts.select(*keep, "draw", weight.alias("weight"))
+
+
 def poisson_mean(values: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over whole units, each with a Poisson(1) weight per draw.
 
@@ -50,15 +63,7 @@ def poisson_mean(values: DataFrame, by: list[str], unit: str, value: str, draws:
     joined: every task adds its rows to ``draws`` sums, and only those are
     shuffled.  A unit has the same weight in all groups.
     """
-    blocks = values.select(*by, unit, value, F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("__b"))
-    # One md5 serves four draws: eight hexadecimal digits each.
-    hashed = blocks.withColumn("__m", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__b").cast("string"), F.col(unit).cast("string")).cast("binary")))
-    parts = hashed.select(*by, value, "__b", "__m", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("__k"))
-    h = F.conv(F.substring("__m", F.col("__k") * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    parts = parts.select(*by, value, (F.col("__b") * 4 + F.col("__k")).alias("draw"), h.alias("__h")).filter(F.col("draw") < draws)
-    weight = sum((F.when(F.col("__h") >= F.lit(c), 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
-    # No filter on the weight: pushed down, it would repeat the hash for every cut.
-    drawn = parts.withColumn("weight", weight)
+    drawn = poisson_draws(values, [*by, value], unit, draws, seed)
     means = drawn.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("weight") * F.col(value)), F.sum("weight")).alias("m"))
     tail = (1 - level) / 2
     return means.groupBy(*by).agg(

@@ -10,6 +10,8 @@ from .frames import SURV, rounded, survival, table
 from .survival_queries import _UNIT, _km_sql, _ranks
 
 TIERS = (0.1, 0.25, 0.5)
+#: Accepted random sets.
+SETS = 5000
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
@@ -49,20 +51,37 @@ def caliper_tiers(spark: SparkSession, d: str) -> DataFrame:
 CALIPERS = f"WITH {_TIERED} SELECT slot, tier, count(*) AS n, count(DISTINCT p_brand) AS n_brands FROM v GROUP BY 1, 2"
 
 
-def _sets(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
-    """Random sets: one of the twenty nearest controls per slot by hashed draws; sets with a brand twice are rejected."""
+def _sets(spark: SparkSession, d: str, n: int = SETS) -> DataFrame:
+    """The first ``n`` accepted random sets: one of the twenty nearest controls per slot by hashed draws; sets with a brand twice are rejected.
+
+    Candidates are drawn until ``n`` are accepted; which sets these are does not
+    depend on how many were drawn at a time.
+    """
     nearest = ranking.top_k(_tiered(spark, d), "slot", [F.col("distance"), F.col("p_brand"), F.col("p_partkey")], 20)
-    size = nearest.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("slot")))
-    drawn = size.withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = drawn.filter(F.pmod(counter_random(43, "set_id", "slot"), F.col("k")) == F.col("rank") - 1)
+    sizes = nearest.groupBy("slot").agg(F.count(F.lit(1)).alias("k"))
     whole = Window.partitionBy("set_id")
-    checked = drawn.withColumn("brands", F.size(F.collect_set("p_brand").over(whole))).withColumn("members", F.count(F.lit(1)).over(whole))
-    return checked.filter("brands = members").select("set_id", "slot", "p_partkey", "p_brand", "a", "b", "distance")
+    most = n
+    while True:
+        most *= 4
+        # One draw a slot and candidate; the control it names comes by an equality join.
+        drawn = sizes.withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+        drawn = drawn.withColumn("rank", (F.pmod(counter_random(43, "set_id", "slot"), F.col("k")) + 1).cast("int")).join(nearest, ["slot", "rank"])
+        checked = drawn.withColumn("brands", F.size(F.collect_set("p_brand").over(whole))).withColumn("members", F.count(F.lit(1)).over(whole))
+        accepted = checked.filter("brands = members")
+        # The n-th accepted id, or null: one number to the driver.
+        ids = accepted.select("set_id").distinct().orderBy("set_id").limit(n)
+        found = ids.agg(F.count("set_id").alias("n"), F.max("set_id").alias("last")).first()
+        if found["n"] >= n or most >= 256 * n:
+            break
+    if 0 < found["n"] < n:
+        raise ValueError(f"{found['n']} of {most} candidate sets were accepted, {n} are wanted")
+    kept = accepted.filter(F.col("set_id") <= F.lit(found["last"]))
+    return kept.select("set_id", "slot", "p_partkey", "p_brand", "a", "b", "distance")
 
 
 _SETS = f"""{_TIERED}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY distance, p_brand, p_partkey) AS rank FROM v) WHERE rank <= 20), k AS (SELECT *, count(*) OVER (PARTITION BY slot) AS k FROM t),
-g AS (SELECT s AS set_id, k.* FROM k, range(200) r(s) WHERE CAST('0x' || substr(md5('43|' || s || '|' || slot), 1, 8) AS BIGINT) % k = rank - 1),
-f AS (SELECT * FROM g WHERE set_id IN (SELECT set_id FROM g GROUP BY 1 HAVING count(DISTINCT p_brand) = count(*)))"""
+g AS (SELECT s AS set_id, k.* FROM k, range({8 * SETS}) r(s) WHERE CAST('0x' || substr(md5('43|' || s || '|' || slot), 1, 8) AS BIGINT) % k = rank - 1),
+f AS (SELECT * FROM g WHERE set_id IN (SELECT set_id FROM g GROUP BY 1 HAVING count(DISTINCT p_brand) = count(*) ORDER BY set_id LIMIT {SETS}))"""
 
 
 def frozen_sets(spark: SparkSession, d: str) -> DataFrame:

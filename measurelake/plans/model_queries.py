@@ -114,16 +114,6 @@ def cox_univariable(spark: SparkSession, d: str) -> DataFrame:
     return grouped.cox_model(survival(spark, d), ["fold"], ["score"])
 
 
-def cox_ridge_path(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficients along a path of ridge penalties."""
-    frames = survival(spark, d).withColumn("score2", F.col("score") * F.col("score") / 10.0)
-    out = None
-    for ridge in (0.0001, 0.01, 1.0, 100.0):
-        part = grouped.cox_model(frames, ["fold"], ["score", "score2"], ridge=ridge).withColumn("penalty", F.lit(ridge))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 QUERIES = {
     "meta_reml_hk": (meta_reml_hk, None),
     "cluster_ols": (cluster_ols, None),
@@ -139,5 +129,4 @@ QUERIES = {
     "random_forest": (random_forest, None),
     "folded_score": (folded_score, FOLDED),
     "cox_univariable": (cox_univariable, None),
-    "cox_ridge_path": (cox_ridge_path, None),
 }
