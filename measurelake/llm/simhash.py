@@ -8,11 +8,14 @@ if it is set in over half of the shingle hashes (XXH64, seed 42).
 Fingerprints link at ``max_distance`` or fewer differing bits.  Each distinct
 fingerprint is embedded as a vector of bit counts, one per two-bit segment;
 the Manhattan distance of two such vectors is a lower bound of the Hamming
-distance.  The segments form ``max_distance + 2`` blocks.  Differing bits
+distance.  The segments form ``max_distance + 2`` blocks at least.  Differing bits
 spoil at most ``max_distance`` blocks, so two linked fingerprints agree in the
 popcounts of at least two whole blocks: every pair of blocks is one grid, the
 popcounts in it the cell, and only fingerprints that share a cell are compared
-- first by the Manhattan bound, then exactly.  No pair list is emitted: each
+- first by the Manhattan bound, then exactly.  From some ten million
+fingerprints on there are more blocks, and grids of three or more of them
+(``agreeing_blocks``): cells stay small, and any number finds the same links.
+No pair list is emitted: each
 cell contributes a spanning forest of its links, so a dense group of n copies
 costs about n edges.  Cells over ``cell_rows`` fingerprints are cut into
 chunks which are compared chunk against chunk.
@@ -41,6 +44,7 @@ matter; empty tables give no rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +58,8 @@ SEED = 42
 SEGMENTS = 32
 CELL_ROWS = 20_000
 SMALL_CELL = 48
+ROW_COST = 100
+MOST_AGREEING = 6
 MAX_ROUNDS = 60
 #: Least Jaccard similarity of two shingle sets, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
@@ -110,9 +116,24 @@ def segment_popcounts(fps: np.ndarray) -> np.ndarray:
     return bits.reshape(-1, SEGMENTS, 64 // SEGMENTS).sum(2, dtype=np.uint8)
 
 
-def grid_cells(fps: np.ndarray, max_distance: int) -> np.ndarray:
-    """The cell of each fingerprint in every grid: an int64 array, fingerprints by grids."""
-    blocks = max_distance + 2
+def agreeing_blocks(n: int, max_distance: int) -> int:
+    """How many blocks a grid takes for ``n`` fingerprints: the least cost of rows sent and pairs compared.
+
+    A segment's popcount carries 1.5 bits; a row written, shuffled and sorted
+    costs about ``ROW_COST`` comparisons.
+    """
+
+    def cost(k: int) -> float:
+        grids = math.comb(max_distance + k, k)
+        bits = 1.5 * SEGMENTS * k / (max_distance + k)
+        return grids * n * (ROW_COST + n / 2 / 2**bits)
+
+    return min(range(2, MOST_AGREEING + 1), key=cost)
+
+
+def grid_cells(fps: np.ndarray, max_distance: int, agree: int = 2) -> np.ndarray:
+    """The cell of each fingerprint in every grid of ``agree`` blocks: an int64 array, fingerprints by grids."""
+    blocks = max_distance + agree
     counts = segment_popcounts(fps).astype(np.int64)
     edges = np.linspace(0, SEGMENTS, blocks + 1).astype(int)
     codes = []
@@ -122,10 +143,13 @@ def grid_cells(fps: np.ndarray, max_distance: int) -> np.ndarray:
             code = code * 3 + counts[:, s]
         codes.append(code)
     span = 3 ** int(np.diff(edges).max())
-    pairs = list(itertools.combinations(range(blocks), 2))
-    return np.stack(
-        [(g * span + codes[i]) * span + codes[j] for g, (i, j) in enumerate(pairs)], axis=1
-    )
+    cells = []
+    for g, chosen in enumerate(itertools.combinations(range(blocks), agree)):
+        cell = np.full(len(fps), g, np.int64)
+        for i in chosen:
+            cell = cell * span + codes[i]
+        cells.append(cell)
+    return np.stack(cells, axis=1)
 
 
 def _near(point: np.uint64, popcounts: np.ndarray, fps: np.ndarray, counts: np.ndarray, limit: int) -> np.ndarray:
@@ -193,17 +217,18 @@ def _cell_links(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, limit: int
     return np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
 
 
-def near_links(prints: DataFrame, max_distance: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, max_distance: int = 4, cell_rows: int = CELL_ROWS, agree: int | None = None) -> DataFrame:
     """Links (u < v) that connect exactly what all links within ``max_distance`` connect.
 
-    ``prints`` has distinct fingerprints in column fp.
+    ``prints`` has distinct fingerprints in column fp; their number sets ``agree``, the blocks of a grid.
     """
-    grids = (max_distance + 2) * (max_distance + 1) // 2
+    agree = agreeing_blocks(prints.count(), max_distance) if agree is None else agree
+    grids = math.comb(max_distance + agree, agree)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            cells = grid_cells(np.ascontiguousarray(fps).view(np.uint64), max_distance)
+            cells = grid_cells(np.ascontiguousarray(fps).view(np.uint64), max_distance, agree)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells.ravel()), pa.array(np.repeat(fps, grids))], ["cell", "fp"]
             )
@@ -264,15 +289,25 @@ def near_links(prints: DataFrame, max_distance: int = 4, cell_rows: int = CELL_R
     return sorted_parts.mapInArrow(link, "u long, v long").filter("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u < v) are stars: no v has two edges or is the u of another."""
+    sides = edges.select(F.col("v").alias("node"), F.lit(1).alias("below")).unionAll(edges.select("u", F.lit(0)).distinct())
+    roles = sides.groupBy("node").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("n"))
+    return roles.filter("below > 1 or (below = 1 and n > 1)").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
     """node and root (the smallest node reachable) for every node of ``edges`` (u, v).
 
-    Large-star then small-star until nothing changes; minima are taken by
-    aggregation and joined back, so that a node of many edges is never gathered.
+    Large-star then small-star until every edge runs from its component's
+    smallest node; minima are taken by aggregation and joined back, so that a
+    node of many edges is never gathered.
     """
-    edges = stage_table(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc")
-    before = None
+    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
+    edges = stage_table(edges, "cc")
     for _ in range(rounds):
+        if _settled(edges):
+            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("m").alias("u"), "v")
@@ -280,13 +315,7 @@ def components(edges: DataFrame, rounds: int = MAX_ROUNDS) -> DataFrame:
         low = edges.groupBy("v").agg(F.min("u").alias("m"))
         small = edges.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
         edges = stage_table(small.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "cc")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(

@@ -133,6 +133,32 @@ def test_links_of_dense_groups(spark, cell_rows):
     assert len(set(label)) == len(set(want)) == len(set(zip(label, want)))
 
 
+@pytest.mark.parametrize("agree", [2, 3, 4, 6])
+def test_links_with_any_number_of_blocks(spark, agree):
+    """Every number of agreeing blocks finds what comparing all pairs finds, at the limit of four bits too."""
+    rng = np.random.default_rng(agree)
+    base = rng.integers(0, 2**63, 40, np.uint64)
+    flipped = [int(b) ^ sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for b in base for k in (1, 4, 5)]
+    prints = sorted({*map(int, base), *flipped})
+    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    rooted = {r.node: r.root for r in simhash.components(simhash.near_links(df, 4, agree=agree)).collect()}
+    signed = [int(np.uint64(p).view(np.int64)) for p in prints]
+    want = brute_components(list(range(len(prints))), prints)
+    groups = collections.defaultdict(list)
+    for fp, c in zip(signed, want):
+        groups[c].append(fp)
+    assert [rooted.get(fp, fp) for fp in signed] == [min(groups[c]) for c in want]
+
+
+def test_blocks_grow_with_the_table():
+    sizes = [simhash.agreeing_blocks(n, 4) for n in (0, 1, 10**5, 10**6, 10**8, 10**10, 10**12)]
+    assert sizes[:4] == [2] * 4 and sizes == sorted(sizes) and sizes[4] > 2
+    fps = np.random.default_rng(0).integers(0, 2**63, 100, np.uint64)
+    for agree in range(2, simhash.MOST_AGREEING + 1):
+        cells = simhash.grid_cells(fps, 4, agree)
+        assert (cells >= 0).all() and len(np.unique(cells)) > 50 * cells.shape[1]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
