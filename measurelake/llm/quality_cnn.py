@@ -6,13 +6,15 @@ filters of ``WIDTH`` bytes, a rectifier and a max-pool per chunk; the pooled
 activations are averaged over the chunks and combined into one probability.
 
 Training is mini-batch Adam on the driver over a bounded sample of labelled
-rows: ``TRAIN_BYTES`` bytes in expectation, chosen by a hash of the id, whole
-texts.  Ids and labels choose and mark rows; they are never inputs of a score.
+rows: ``TRAIN_BYTES`` bytes at most, whole texts of at most ``TEXT_BYTES``, the
+first in order of a hash of the id.  Ids and labels choose and mark rows; they are never inputs of a score.
 
 Defined cases: null and empty texts are one chunk of zeros and get a score;
 rows with null labels are not learned from, several labels of one id all are;
 without both labels to learn from every score is the share of good ones (1
-without any label); repeated rows repeat; no text is cut short.
+without any label); repeated rows repeat; ties in a score are rows of equal
+features; no text is cut short, very long ones are scored in blocks of chunks;
+columns named score or predicted are replaced, others kept, dots included.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod
+from .common import crc_mod, slices
 
 CHUNK = 512
 HOP = 448
@@ -36,8 +38,10 @@ EPOCHS = 10
 BATCH = 32
 RATE = 0.01
 TRAIN_BYTES = 3_000_000
+TEXT_BYTES = 300_000
 THRESHOLD = 0.3
 _BLOCK_CHUNKS = 512
+_BLOCK_BYTES = 1_000_000
 
 
 def chunks_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +72,18 @@ class ByteCNN:
         """Byte windows of every filter position: chunks by positions by width."""
         return sliding_window_view(chunks, WIDTH, axis=1)[:, ::STRIDE]
 
-    def _pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        windows = self._windows(chunks)
-        inputs = self.embed[windows].reshape(-1, WIDTH * EMBED)
-        active = (inputs @ self.filters).reshape(len(chunks), windows.shape[1], FILTERS)
-        place = active.argmax(1)
-        top = np.take_along_axis(active, place[:, None], 1)[:, 0] + self.bias
-        return np.maximum(top, 0), place, windows
+    def _pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pooled activations, and the bytes of the window that won each filter (chunks by filters by width)."""
+        tops, won = [], []
+        for a in range(0, len(chunks), _BLOCK_CHUNKS):
+            windows = self._windows(chunks[a : a + _BLOCK_CHUNKS])
+            inputs = self.embed[windows].reshape(-1, WIDTH * EMBED)
+            active = (inputs @ self.filters).reshape(len(windows), windows.shape[1], FILTERS)
+            place = active.argmax(1)
+            top = np.take_along_axis(active, place[:, None], 1)[:, 0] + self.bias
+            tops.append(np.maximum(top, 0))
+            won.append(windows[np.arange(len(windows))[:, None], place])
+        return np.concatenate(tops), np.concatenate(won)
 
     def features(self, chunks: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Mean over each text's chunks of the pooled activations."""
@@ -129,19 +138,19 @@ class ByteCNN:
     def _gradients(self, texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
         chunks, counts = chunks_of(texts)
         owner = np.repeat(np.arange(len(texts)), counts)
-        pooled, place, windows = self._pooled(chunks)
+        pooled, won = self._pooled(chunks)
         feature = np.zeros((len(texts), FILTERS), np.float32)
         np.add.at(feature, owner, pooled / counts[owner][:, None])
         logit = feature @ self.weight + self.offset
         error = ((1 / (1 + np.exp(-np.clip(logit, -40, 40))) - labels) / len(texts)).astype(np.float32)
         back = (error[owner] / counts[owner])[:, None] * self.weight * (pooled > 0)
         # Only the window that won the max-pool gets a gradient.
-        won = windows[np.arange(len(chunks))[:, None], place]  # chunks by filters by width
-        inputs = self.embed[won].reshape(len(chunks), FILTERS, WIDTH * EMBED)
-        filters = np.einsum("cf,cfi->if", back, inputs)
-        into = (back[:, :, None] * self.filters.T[None]).reshape(-1, EMBED)
-        embed = np.zeros_like(self.embed)
-        np.add.at(embed, won.reshape(-1), into)
+        filters, embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
+        for a in range(0, len(chunks), _BLOCK_CHUNKS):
+            block, part = won[a : a + _BLOCK_CHUNKS], back[a : a + _BLOCK_CHUNKS]
+            inputs = self.embed[block].reshape(len(block), FILTERS, WIDTH * EMBED)
+            filters += np.einsum("cf,cfi->if", part, inputs)
+            np.add.at(embed, block.reshape(-1), (part[:, :, None] * self.filters.T[None]).reshape(-1, EMBED))
         return {
             "embed": embed + 1e-5 * self.embed,
             "filters": filters + 1e-5 * self.filters,
@@ -157,11 +166,21 @@ def train(
     """Learn from a bounded sample of the rows of ``docs`` that ``labels`` marks 0 or 1."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label in (0, 1)")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    fits = F.octet_length("text") <= TEXT_BYTES
+    rows = rows.filter(fits)
     sizes = rows.select("id", F.octet_length("text").alias("n")).join(marks, "id")
     total = sizes.agg(F.sum(F.col("n") + 1)).first()[0] or 1
-    parts = 1 << 20
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(parts))
-    chosen = draw < F.lit(min(1.0, TRAIN_BYTES / total) * parts)
+    # Draws below twice the wanted share, in 1,024 bins: as many whole bins as the bound allows.
+    draw = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 52))
+    width = max(1, int(min(1.0, 2 * TRAIN_BYTES / total) * (1 << 52)) // 1024)
+    bins = sizes.filter(draw < width * 1025).groupBy(F.floor(draw / F.lit(width)).alias("bin")).agg(F.sum(F.col("n") + 1).alias("n")).collect()
+    held, first_left_out = 0, 1025
+    for row in sorted(bins, key=lambda r: r["bin"]):
+        held += row["n"]
+        if held > TRAIN_BYTES:
+            first_left_out = row["bin"]
+            break
+    chosen = draw < first_left_out * width
     sample = rows.filter(chosen).join(marks.filter(chosen), "id").select("id", "text", "label").toArrow().to_pandas()
     sample = sample.sort_values(["id", "label", "text"], kind="stable")
     network = ByteCNN()
@@ -181,12 +200,11 @@ def quality_scores(
     names = [n for n in docs.columns if n not in (text_col, "score", "predicted")]
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     schema += ", score double, predicted int"
-    frame = docs.select(*names, text_col)
+    frame = docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, len(names), _BLOCK_BYTES):
                 scores = shared.value.score(part.column(len(names)).to_pylist())
                 marks = pa.array((scores >= threshold).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(

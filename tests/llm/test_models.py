@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from measurelake.llm import brown_lm, langid, quality_cnn, queries
 
@@ -281,6 +282,28 @@ def test_quality_cases(spark):
     assert quality_cnn.quality_of(docs.limit(0), labels).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """At most TRAIN_BYTES go to the driver, and most of that; none of a text beyond TEXT_BYTES."""
+    seen = []
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 20_000)
+    monkeypatch.setattr(quality_cnn, "TEXT_BYTES", 1_000)
+    monkeypatch.setattr(quality_cnn.ByteCNN, "fit", lambda self, texts, labels: seen.append(texts))
+    for copies in (100, 1_000):
+        docs = spark.createDataFrame([(i, "x" * (10 + i % 200)) for i in range(copies)] + [(-1, "y" * 5_000)], "doc_id long, text string")
+        quality_cnn.train(docs, docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality")))
+    small, large = (sum(map(len, t)) for t in seen)
+    assert len(seen[0]) == 100 and 10_000 < large <= 20_000 and small < 20_000
+    assert not any("y" in t for texts in seen for t in texts)
+
+
+def test_quality_of_a_text_alone():
+    """A text's score does not depend on the rows beside it."""
+    net = quality_cnn.ByteCNN(1)
+    net.weight[:] = np.random.default_rng(0).normal(size=quality_cnn.FILTERS)
+    texts = ["short", None, "long text " * 50_000, "", "mid " * 300]
+    assert net.score(texts) == pytest.approx([net.score([t])[0] for t in texts], abs=1e-6)
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         chunks, counts = quality_cnn.chunks_of(["a" * n])
