@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pii, quality_cnn, simhash, voronoi_knn
+from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pii, quality_cnn, sessions, simhash, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessionise(_table(spark, sf_dir, "clicks"))
+    digest = F.sha2(F.col("path").cast("binary"), 256).alias("path_sha256")
+    names = {"client": "client_id", "session": "session_id", "start": "start_us", "last": "end_us", "n_clicks": "n_clicks", "n_late": "n_late", "cents": "value_cents", "closed_by": "closed_by"}
+    return found.select(*[F.col(a).alias(b) for a, b in names.items()], digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -86,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
+        "op11_sessions": op11_sessions,
     }
 
 
@@ -112,4 +120,4 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_voronoi_knn": OP2, "op3_decontamination": OP3, "op7_license_scan": licenses.oracle_sql()}
+    return {"op2_voronoi_knn": OP2, "op3_decontamination": OP3, "op7_license_scan": licenses.oracle_sql(), "op11_sessions": sessions.ORACLE_SQL}
