@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pii, quality_cnn, sessions, simhash, voronoi_knn
+from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pii, quality_cnn, ranked, sessions, simhash, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op11_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.col(a).alias(b) for a, b in names.items()], digest)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(_table(spark, sf_dir, "documents"))
+    found = ranked.search(index, _table(spark, sf_dir, "benchmark"), k=10)
+    return found.withColumnRenamed("query_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
         "op11_sessions": op11_sessions,
+        "op12_ranked_search": op12_ranked_search,
     }
 
 
@@ -120,4 +127,4 @@ FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_voronoi_knn": OP2, "op3_decontamination": OP3, "op7_license_scan": licenses.oracle_sql(), "op11_sessions": sessions.ORACLE_SQL}
+    return {"op2_voronoi_knn": OP2, "op3_decontamination": OP3, "op7_license_scan": licenses.oracle_sql(), "op11_sessions": sessions.ORACLE_SQL, "op12_ranked_search": ranked.ORACLE_SQL}
