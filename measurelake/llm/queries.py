@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pii, quality_cnn, ranked, sessions, simhash, voronoi_knn
+from . import brown_lm, decontaminate, html_extract, langid, licenses, packing, pattern_packing, pii, quality_cnn, ranked, sessions, simhash, voronoi_knn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("query_id", "item_id")
 
 
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_patterns(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": op10_simhash,
         "op11_sessions": op11_sessions,
         "op12_ranked_search": op12_ranked_search,
+        "op13_pattern_packing": op13_pattern_packing,
     }
 
 
