@@ -5,21 +5,23 @@ into lines.  Every line has a text-to-tag ratio (characters outside links over
 the tags since the line before), the ratios are smoothed with a Gaussian kernel,
 and a two-cluster threshold on the smoothed values marks content lines.  The
 content lines choose the region: from the page down, the child that holds most of
-their text, as long as one holds ``REGION_SHARE`` of it.
+their text, as long as one holds ``REGION_SHARE`` of it; a single line beside others that are
+not a menu is no region, and where no share decides, the one child with a heading and
+several lines among single lines is.  The region is taken whole, short lines and all.
 
 Names are priors on that.  Elements that are never article text (menus, footers,
 forms, scripts ...) and those whose class, id or role is a boilerplate name as a
 whole cannot hold content.  A boilerplate word within a longer name removes a
 block only if the ratios agree: most of its text is in links, or its own ratio is
-below the threshold.  A region within an article or main element extends to all of it,
-and its short lines stay.  Without such an element the region's lines from the
-first to the last content line count, with the headings before, and without the
-blocks that are mostly links below the threshold.
+below the threshold.  So it is, inside an article or main element, with names that may
+well be a section's subject (`SUBJECTS`).  A region within an article or main element
+extends to all of it.  Without such an element the headings right before the region
+belong to it, and blocks that are mostly links below the threshold do not.
 
 Defined cases: null or empty html gives an empty text; so does a page with
 nothing but boilerplate; malformed markup is read as the parser reads it; of two
 children with equal content the first is taken; repeated rows give repeated
-results; texts are never cut, long pages are parsed whole, one at a time; other
+results; an empty table gives no rows; texts are never cut, long pages are parsed whole, one at a time; other
 columns of the input, whatever their names, do not matter.
 """
 
@@ -64,6 +66,11 @@ BOXES = frozenset(
     "holder icons inner item items js left level links list main menu outer page pages panel posts primary right row "
     "secondary section site slot stories text thread top topics unit user wrap wrapper".split()
 )
+#: Marks that inside an article may be what a section is about: the ratios have to agree.
+SUBJECTS = frozenset(
+    "complementary dialog form navigation notice notices promotion recommended related respond responses "
+    "search share sharing social subscription toolbar widget".split()
+)
 _UNSEEN = frozenset("head iframe script select style svg template textarea title".split())
 #: Elements that a mark never removes.
 KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
@@ -113,7 +120,9 @@ class _Page(HTMLParser):
         self.dropped: list[bool] = [False]
         self.doubtful: list[bool] = [False]  # a boilerplate word within a longer name
         self.unseen: list[bool] = [False]
+        self.in_link: list[bool] = [False]
         self.open: list[int] = [0]
+        self.depths: dict[str, list[int]] = {}  # where the open elements of a name are
         self.lines: list[tuple[str, int, int, int]] = []  # text, innermost element, tags, characters in links
         self.buffer: list[str] = []
         self.linked = 0
@@ -129,16 +138,17 @@ class _Page(HTMLParser):
         self.linked = 0
 
     def _pop_to(self, depth: int) -> None:
+        for at in self.open[depth:]:
+            self.depths[self.names[at]].pop()
         del self.open[depth:]
 
+    def _innermost(self, names) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
     def _find(self, names, stop=frozenset()) -> int:
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.names[self.open[depth]]
-            if name in names:
-                return depth
-            if name in stop:
-                break
-        return 0
+        """The depth of the innermost open element of the names, 0 if there is none or one of ``stop`` is further in."""
+        depth = self._innermost(names)
+        return depth if depth and depth >= self._innermost(stop) else 0
 
     def handle_starttag(self, tag, attrs) -> None:
         self.tags += 1
@@ -162,6 +172,8 @@ class _Page(HTMLParser):
         self.dropped.append(tag != "main" and (self.dropped[at] or drop))
         self.doubtful.append(doubt)
         self.unseen.append(self.unseen[at] or tag in _UNSEEN)
+        self.in_link.append(tag == "a" or self.in_link[at] and tag not in BLOCK)
+        self.depths.setdefault(tag, []).append(len(self.open))
         self.open.append(len(self.names) - 1)
 
     def _judged(self, tag, attrs) -> tuple[bool, bool]:
@@ -180,9 +192,10 @@ class _Page(HTMLParser):
                 return True, False
             if value and name in ("class", "id", "role"):
                 marks, whole = marks_of(value)
+                within = bool(marks) and bool(self._find({"article", "main"}))
                 # A header inside the article is its heading.
-                if marks and (marks != {"header"} or not self._find({"article", "main"})):
-                    if whole:
+                if marks and not (within and marks == {"header"}):
+                    if whole and not (within and marks <= SUBJECTS):
                         return True, False
                     doubt = True
             if value and name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -204,7 +217,7 @@ class _Page(HTMLParser):
     def handle_data(self, data) -> None:
         if not self.unseen[self.open[-1]]:
             self.buffer.append(data)
-            if self._find({"a"}, BLOCK):
+            if self.in_link[self.open[-1]]:
                 self.linked += len(data.strip())
 
 
@@ -275,13 +288,23 @@ def extract_main_text(html: str | None) -> str:
         return ""
     content = kept & chosen if (kept & chosen).any() else kept
     weight = under(sizes * content)
+    # A block of links below the threshold is a menu, whatever its name.
+    menus = ((under(in_links) > MOSTLY * size) & (under(sizes * chosen) == 0))[places]
+    number = under(kept & ~menus)
     children: dict[int, list[int]] = {}
     for at in range(1, len(weight)):
         children.setdefault(parents[at], []).append(at)
+    titles = under(kept & np.array([page.names[at] in _HEADINGS for at in places]))
     region = 0
-    while best := max(children.get(region, ()), key=lambda c: weight[c], default=0):
-        if weight[best] < REGION_SHARE * weight[region] or not weight[best] or page.names[best] in _LEAVES:
-            break
+    while own := children.get(region):
+        best = max(own, key=lambda c: weight[c])
+        held = weight[best] >= REGION_SHARE * weight[region] > 0 and page.names[best] not in _LEAVES
+        if not held or number[best] <= 1 < number[region]:
+            # Ratios do not decide: the only titled block of several lines, if all others are single lines.
+            titled = [c for c in own if titles[c]]
+            if len(titled) != 1 or number[titled[0]] <= 1 or any(number[c] > 1 for c in own if c != titled[0]):
+                break
+            best = titled[0]
         region = best
     # The element that names the article, if the region is in one: the outermost article, else the main element.
     above, at = [], region
@@ -295,13 +318,11 @@ def extract_main_text(html: str | None) -> str:
         inside[at] |= inside[parents[at]]
     rows = kept & inside[places]
     if not named:
-        first, last = np.flatnonzero(rows & content)[[0, -1]]
+        rows &= ~menus
+        first = int(np.flatnonzero(rows)[0])
         while first and page.names[places[first - 1]] in _HEADINGS and kept[first - 1]:
             first -= 1
             rows[first] = True
-        # A block of links below the threshold is a menu, whatever its name.
-        menus = (under(in_links) > MOSTLY * size) & (under(sizes * chosen) == 0)
-        rows &= (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last) & ~menus[places]
     return "\n\n".join(lines[n][0] for n in np.flatnonzero(rows))
 
 

@@ -93,6 +93,68 @@ def test_clustering_decides(monkeypatch):
     assert all(html_extract.extract_main_text(p) != r for p, r in zip(pages, right))
 
 
+def paragraphs(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+SHORT = ["Yes.", "No.", "Hm.", "Ok.", "End.", "Fin."]
+POEM = ["Roses are red", "Violets are blue", "Sugar is sweet", "And so are you"]
+AROUND = "<div><ul>" + "".join(f"<li><a href=/{i}>menu {i}</a></li>" for i in range(6)) + "</ul></div>", "<div>&copy; 2024 Site</div>"
+
+
+@pytest.mark.parametrize("before, behind", [("", ""), AROUND])
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div id=c><h1>T</h1>{paragraphs(LONG, LONG, LONG, *SHORT)}</div>", ["T", LONG, LONG, LONG, *SHORT]),
+        (f"<div id=c><h1>T</h1>{paragraphs('By A B', *SHORT[:4], LONG, LONG, LONG)}</div>", ["T", "By A B", *SHORT[:4], LONG, LONG, LONG]),
+        (f"<div id=c><h1>T</h1><p>{LONG}</p><ul>{''.join(f'<li>w{i}' for i in range(8))}</ul></div>", ["T", LONG, *[f"w{i}" for i in range(8)]]),
+        (f"<div id=c><h1>T</h1>{paragraphs(*POEM)}</div><div>{LONG * 4}</div>", ["T", *POEM]),
+        (f"<div id=c><h1>T</h1>{paragraphs(*POEM)}<div>{LONG * 4}</div></div>", ["T", *POEM, LONG * 4]),
+    ],
+)
+def test_region_is_kept_whole(page, want, before, behind):
+    assert html_extract.extract_main_text(before + page + behind) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("name", ["search", "share", "responses", "social", "promotion", "widget"])
+def test_subjects_are_no_boilerplate(name):
+    page = f"<article><h1>T</h1><p>{LONG}</p><section id={name}><h2>S</h2><p>{LONG}</p></section></article>"
+    assert html_extract.extract_main_text(page) == f"T\n\n{LONG}\n\nS\n\n{LONG}"
+    links = f"<article><h1>T</h1><p>{LONG}</p><div class={name}><a href=1>One thing</a> <a href=2>Other</a></div></article>"
+    assert html_extract.extract_main_text(links) == f"T\n\n{LONG}"
+
+
+def test_stray_tags_are_linear():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<b>" * 100_000 + "</i>" * 100_000 + "x", "<a href=x>" + "<b>y" * 50_000 + "</i>z" * 50_000, "<ul><li>" + "<b>" * 50_000 + "<i></u>" * 50_000):
+        html_extract.extract_main_text(page)
+    assert time.perf_counter() - start < 30
+
+
+def test_pages_without_names(spark, monkeypatch):
+    """The table's pages without semantic elements, classes and ids: the ratios alone find the article."""
+    import numpy as np
+
+    def bare(html):
+        html = re.sub(r"<(/?)(article|nav|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", html)
+        return re.sub(r'\s(class|id|role)="[^"]*"', "", html)
+
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+
+    def right():
+        return sum(html_extract.extract_main_text(bare(h)) == html_extract.extract_main_text(h) for h in pages)
+
+    assert right() >= 245 * len(pages) / 250
+    keep = html_extract.content_lines
+    monkeypatch.setattr(html_extract, "content_lines", lambda r: (np.ones(len(r), bool), 0.0))
+    assert right() <= 240 * len(pages) / 250
+    monkeypatch.setattr(html_extract, "content_lines", lambda r: (~keep(r)[0], keep(r)[1]))
+    assert right() <= 20
+
+
 def test_extraction_frames(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, None, None), (1, None, None), (None, "u", "<p>" + "word " * 100_000)]
