@@ -324,11 +324,6 @@ _STATE_ARROW = pa.schema([("client", pa.int64()), ("at", pa.int64()), ("start",
 _GIVEN = ("in_start", "in_session", "in_last", "in_final")
 
 
-def _taken(batch: pa.RecordBatch, i: int) -> State | None:
-    given = [batch.column(n)[i].as_py() for n in _GIVEN]
-    return None if given[0] is None else State(*given)
-
-
 def _carried(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gap: int) -> Iterator[pa.RecordBatch]:
     """The state before each element; the first of a key takes the state that is given with it."""
     key, state = None, None
@@ -355,32 +350,31 @@ def _carried(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], gap: int)
         at0 = offsets[:-1][told]
         for row, values in zip(out, flat):
             row[told] = values[at0]
-        incoming: dict[int, State | None] = {}
-        if not new[0]:
-            incoming[-1] = state
-        for i in np.flatnonzero(new):
-            incoming[int(i)] = _taken(batch, int(i))
-        for i in np.flatnonzero(has & ~told):
+        # What comes in with a key: given with its first element, or carried over from the batch before.
+        given = [batch.column(c) for c in _GIVEN]
+        known = given[0].is_valid().to_numpy(zero_copy_only=False)[np.maximum(begun, 0)]
+        comes = [pc.fill_null(c, False if pa.types.is_boolean(c.type) else 0).to_numpy(zero_copy_only=False)[np.maximum(begun, 0)] for c in given]
+        carried_on = begun < 0
+        known = np.where(carried_on, state is not None, known)
+        if state is not None:
+            comes = [np.where(carried_on, value, c) for c, value in zip(comes, state)]
+        # An outcome matters if an element of the key follows, here or in the next batch.
+        matters = np.append(~new[1:], True)
+        for i in np.flatnonzero(has & ~told & matters):
             j = int(before[i])
-            given = State(int(out[0, j]), int(out[1, j]), int(last[j]), bool(final[j])) if within[i] else incoming.get(int(begun[i]))
-            out[0, i], out[1, i] = after(given, _stretch(batch, int(i)), gap)[:2]
-        source = np.where(within, before, 0)
-        values = [out[0, source], out[1, source], last[source], final[source]]
-        valid = within.copy()
-        for i in np.flatnonzero(~within):
-            given = incoming.get(int(begun[i]))
-            valid[i] = given is not None
-            if given is not None:
-                for column, value in zip(values, given):
-                    column[i] = value
+            source = [out[0, j], out[1, j], last[j], final[j]] if within[i] else [c[i] for c in comes] if known[i] else None
+            taken = None if source is None else State(*map(int, source[:3]), bool(source[3]))
+            out[0, i], out[1, i] = after(taken, _stretch(batch, int(i)), gap)[:2]
+        values = [np.where(within, own[np.where(within, before, 0)], c) for own, c in zip((out[0], out[1], last, final), comes)]
+        valid = within | known
         arrays = [batch.column("client"), batch.column("at"), *[pa.array(v, mask=~valid) for v in values]]
         yield pa.RecordBatch.from_arrays(arrays, schema=_STATE_ARROW)
         key = tuple(int(c[-1]) for c in columns)
-        if has[begun[-1] if begun[-1] >= 0 else 0 :].any():
+        if has[-1] or within[-1]:
             j = n - 1 if has[-1] else int(before[-1])
             state = State(int(out[0, j]), int(out[1, j]), int(last[j]), bool(final[j]))
         else:
-            state = incoming.get(int(begun[-1]))
+            state = State(*(int(c[-1]) for c in comes[:3]), bool(comes[3][-1])) if known[-1] else None
 
 
 # --- replay
