@@ -46,6 +46,8 @@ BLOCK_BYTES = 8_000_000
 #: The queries of a panel, and the bytes of their terms (one query may have more).
 PANEL_QUERIES = 512
 PANEL_BYTES = 8_000_000
+#: If no more blocks than these hold candidates, the others are left out before the shuffle.
+KNOWN_BLOCKS = 200_000
 #: Impacts are parts of this.
 FULL = 1_000_000
 STEPS = 255
@@ -316,7 +318,10 @@ def _search_panel(index: Index, pairs: DataFrame, k: int) -> DataFrame | None:
 
     asked = kept.select("block", F.lit(-2).alias("t"), "query", "doc")
     second = ["block", "t", "docs", "tf", *about]
-    level = held.select(second).unionByName(own.select(second)).join(kept.select("block").distinct(), "block", "left_semi")
+    level = held.select(second).unionByName(own.select(second))
+    blocks = kept.select("block").distinct()
+    if blocks.count() <= KNOWN_BLOCKS:
+        level = level.join(F.broadcast(blocks), "block", "left_semi")
     dealt = level.unionByName(asked, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "t")
     n_docs, n_terms = index.n_docs, index.n_terms
     scored = dealt.mapInArrow(lambda batches: _rescored(batches, panel, n_docs, n_terms), _SCORED)

@@ -53,7 +53,7 @@ def run(spark, docs, items, k=10):
 WORDS = ["ab", "Ab", "the", "ñandú", "x1", "zz", "q", "été", "I", "i", "ı", "Ñ", "a_b", "日本", "9"]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BLOCK_DOCS": 7, "PANEL_QUERIES": 3}, {"BLOCK_BYTES": 60, "PANEL_BYTES": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_DOCS": 7, "PANEL_QUERIES": 3}, {"BLOCK_BYTES": 60, "PANEL_BYTES": 40, "KNOWN_BLOCKS": 0}])
 def test_against_all_documents(spark, sizes, monkeypatch):
     for name, value in sizes.items():
         monkeypatch.setattr(ranked, name, value)
