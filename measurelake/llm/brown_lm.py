@@ -421,10 +421,10 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[BrownModel, DataFram
     for row in told.groupBy("a", "class").agg(F.sum("n").alias("n")).collect():
         moves[row["a"], row["class"]] = row["n"]
     others = others.filter(~F.col("word").startswith(_MOVE))
-    # The resident words among them; a count threshold chose those.
-    for row in others.filter(F.col("n") >= int(counts.min() if len(counts) else 1)).select("word", "class").collect():
-        if (place := model.of.get(row["word"])) is not None:
-            model.classes[place] = row["class"]
+    # The resident words among them: no more rows than there are of those.
+    resident = docs.sparkSession.createDataFrame([(w,) for w in words[model.placed :]], "word string")
+    for row in others.join(F.broadcast(resident), "word").select("word", "class").collect():
+        model.classes[model.of[row["word"]]] = row["class"]
     mass = np.bincount(model.classes[: model.placed], counts[: model.placed], CLASSES)
     kinds = np.bincount(model.classes[: model.placed], minlength=CLASSES).astype(float)
     for row in others.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():

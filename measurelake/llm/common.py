@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -66,6 +66,54 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+#: What a text counts for in a sample besides its characters, so that the number of texts is bounded too.
+SAMPLE_TEXT = 16
+
+
+def bounded_sample(rows: DataFrame, seed: str, most: int, total: int | None = None) -> DataFrame:
+    """Distinct rows of ``rows`` (group, mark, text), for each group at most ``most`` characters, ``SAMPLE_TEXT`` more a text.
+
+    Texts are taken in order of a hash of mark and text if they fit into what is
+    left; ids, repeats and the order of rows do not matter.  ``total`` bounds all
+    groups together, in equal shares.  Where no text of a group fits, the first
+    one gives its first characters.  What reaches the driver is bounded like the
+    sample.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("h", F.xxhash64(F.lit(seed), "mark", "text"))
+    sizes = keyed.groupBy("group", "h").agg((F.max(F.length("text")) + SAMPLE_TEXT).alias("n"))
+    sizes = stage_table(sizes, f"sample-{seed}")
+    sums = {r["group"]: r["n"] for r in sizes.groupBy("group").agg(F.sum("n").alias("n")).collect()}
+    most = min(most, total // max(len(sums), 1)) if total is not None else most
+    parts = 1 << 52
+    share = F.lit(0)
+    for group, n in sums.items():  # three times what fits, so that there are enough to fill with
+        share = F.when(F.col("group").eqNullSafe(F.lit(group)), F.lit(int(min(1.0, 3 * most / max(n, 1)) * parts))).otherwise(share)
+    draw = F.pmod("h", F.lit(parts))
+    by_draw = Window.partitionBy("group").orderBy(draw, "h")
+    near = sizes.filter(draw < share).withColumn("k", F.row_number().over(by_draw)).filter(F.col("k") <= most // SAMPLE_TEXT + 1)
+    left: dict = {}
+    chosen, first = [], {}
+    for group, h, n, _ in sorted(near.collect(), key=lambda r: r["k"]):
+        room = left.setdefault(group, most)
+        first.setdefault(group, h)
+        if n <= room:
+            left[group] -= n
+            chosen.append((group, h, n))
+    filled = {group for group, *_ in chosen}
+    chosen += [(group, h, most) for group, h in first.items() if group not in filled]
+    # Groups of which the draw has no text at all: their shortest one.
+    missing = [group for group in sums if group not in first]
+    if missing:
+        rest = sizes.filter(F.col("group").isin(missing)).groupBy("group").agg(F.min(F.struct("n", "h")).alias("s"))
+        chosen += [(r["group"], r["s"]["h"], min(r["s"]["n"], most)) for r in rest.collect()]
+    kind = rows.schema["group"].dataType.simpleString()
+    wanted = spark.createDataFrame(chosen, f"group {kind}, h long, n long")
+    found = keyed.join(F.broadcast(wanted), ["group", "h"]).groupBy("group", "h").agg(F.min(F.struct("text", "mark", "n")).alias("s"))
+    cut = F.substring("s.text", F.lit(1), (F.col("s.n") - SAMPLE_TEXT).cast("int"))
+    return found.select("group", F.col("s.mark").alias("mark"), cut.alias("text"))
+
+
 def _scans_files(df: DataFrame) -> bool:
     """Whether ``df`` is a scan of files, filtered and projected at most."""
     kinds = []

@@ -41,11 +41,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod
+from .common import bounded_sample, crc_mod, stage_table
 
 ORDER = 4
 TRAIN_CHARS = 2_000_000
 TOTAL_CHARS = 8_000_000
+ASIDE_TEXTS = 16
 REJECT = 0.05
 UNKNOWN = "und"
 BLOCK_CHARS = 500_000
@@ -323,21 +324,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Learn from the rows of ``docs`` that have text and a language."""
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    labelled = labelled.filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not any(sizes.values()):
-        return Identifier(None)
-    parts = 1 << 20
-    share = F.lit(0.0)
-    most = min(TRAIN_CHARS, TOTAL_CHARS / len(sizes))
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most / max(n, 1)) * parts)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "id"), F.lit(parts))
-    sample = labelled.filter(draw < share)
-    aside = F.pmod(F.xxhash64(F.lit("aside"), "id"), F.lit(8)) == 0
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Identifier:
+    """Learn from distinct texts of ``docs`` that have a language, a bounded sample (`bounded_sample`)."""
+    labelled = docs.select(F.col(lang_col).alias("group"), F.lit("").alias("mark"), F.col(text_col).alias("text"))
+    labelled = labelled.filter("text is not null and group is not null")
+    # Written once: two passes read it, and what they see is the same.
+    sample = stage_table(bounded_sample(labelled, "langid", TRAIN_CHARS, TOTAL_CHARS).withColumnRenamed("group", "lang"), "langid-sample")
+    # An eighth calibrates; a language of a few texts needs them all to be known.
+    many = [r["lang"] for r in sample.groupBy("lang").count().collect() if r["count"] >= ASIDE_TEXTS]
+    aside = (F.pmod(F.xxhash64(F.lit("aside"), "text"), F.lit(8)) == 0) & F.col("lang").isin(many)
     counts = sample.filter(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     rows = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if not len(rows):

@@ -6,8 +6,8 @@ filters of ``WIDTH`` bytes, a rectifier and a max-pool per chunk; the pooled
 activations are averaged over the chunks and combined into one probability.
 
 Training is mini-batch Adam on the driver over a bounded sample of labelled
-rows: ``TRAIN_BYTES`` bytes at most, whole texts of at most ``TEXT_BYTES``, the
-first in order of a hash of the id.  Ids and labels choose and mark rows; they are never inputs of a score.
+rows: ``TRAIN_BYTES`` bytes at most, distinct texts of at most ``TEXT_BYTES``, in order
+of a hash of the text (`bounded_sample`).  Ids and labels choose and mark rows; they are never inputs of a score.
 
 Defined cases: null and empty texts are one chunk of zeros and get a score;
 rows with null labels are not learned from, several labels of one id all are;
@@ -26,7 +26,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, slices
+from .common import bounded_sample, crc_mod, slices
 
 CHUNK = 512
 HOP = 448
@@ -164,27 +164,20 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> ByteCNN:
     """Learn from a bounded sample of the rows of ``docs`` that ``labels`` marks 0 or 1."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label in (0, 1)")
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("mark")).filter("mark in (0, 1)")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fits = F.octet_length("text") <= TEXT_BYTES
-    rows = rows.filter(fits)
-    sizes = rows.select("id", F.octet_length("text").alias("n")).join(marks, "id")
-    total = sizes.agg(F.sum(F.col("n") + 1)).first()[0] or 1
-    # Draws below twice the wanted share, in 1,024 bins: as many whole bins as the bound allows.
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 52))
-    width = max(1, int(min(1.0, 2 * TRAIN_BYTES / total) * (1 << 52)) // 1024)
-    bins = sizes.filter(draw < width * 1025).groupBy(F.floor(draw / F.lit(width)).alias("bin")).agg(F.sum(F.col("n") + 1).alias("n")).collect()
-    held, first_left_out = 0, 1025
-    for row in sorted(bins, key=lambda r: r["bin"]):
-        held += row["n"]
-        if held > TRAIN_BYTES:
-            first_left_out = row["bin"]
+    whole = rows.filter(F.octet_length("text") <= TEXT_BYTES)
+    for usable in (whole, rows):  # longer texts only where there is nothing else
+        labelled = usable.join(marks, "id").select(F.lit(0).alias("group"), "mark", "text")
+        # A character has four bytes at most, and most have one: what is drawn by characters is cut by bytes.
+        sample = bounded_sample(labelled, "quality", TRAIN_BYTES).toArrow().to_pandas()
+        if len(sample):
             break
-    chosen = draw < first_left_out * width
-    sample = rows.filter(chosen).join(marks.filter(chosen), "id").select("id", "text", "label").toArrow().to_pandas()
-    sample = sample.sort_values(["id", "label", "text"], kind="stable")
+    sample = sample.sort_values(["text", "mark"], kind="stable").sample(frac=1, random_state=7)
+    held = sample["text"].map(lambda t: len(t.encode("utf-8", "surrogatepass"))).cumsum()
+    sample = sample[(held <= TRAIN_BYTES) | (np.arange(len(sample)) == 0)]
     network = ByteCNN()
-    truth = sample["label"].to_numpy(np.float32)
+    truth = sample["mark"].to_numpy(np.float32)
     if len(np.unique(truth)) < 2:
         network.offset[:] = 40.0 if not len(truth) or truth.mean() > 0.5 else -40.0
         return network

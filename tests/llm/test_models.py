@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from measurelake.llm import brown_lm, langid, quality_cnn, queries
+from measurelake.llm import brown_lm, common, langid, quality_cnn, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -337,3 +337,51 @@ def test_gradient():
 def test_endings():
     words = ["a", "ab", "abc.", "é!", "...", "x\x0b", "日本語", ""]
     assert brown_lm.endings(words).tolist() == [brown_lm.ending(w) for w in words] and len(brown_lm.endings([])) == 0
+
+
+# --- bounded samples
+
+
+def test_sample_is_bounded(spark):
+    """Strictly, whatever ids, repeats and long texts there are; nothing fits: the beginning of one text."""
+    rows = [("a", 0, f"text {i}") for i in range(4000)] + [("a", 0, "text 1")] * 4000
+    rows += [("b", m, "x" * 5000) for m in (0, 1)] * 50 + [("c", 0, "y" * 300 + str(i)) for i in range(3)] + [("d", 0, "")] * 9
+    df = spark.createDataFrame(rows, "group string, mark int, text string")
+    got = {}
+    for r in common.bounded_sample(df, "test", 1000).collect():
+        got.setdefault(r.group, []).append(r.text)
+    sizes = {g: sum(len(t) + common.SAMPLE_TEXT for t in texts) for g, texts in got.items()}
+    assert all(n <= 1000 for n in sizes.values()) and sizes["a"] > 900 and sizes["c"] > 900
+    assert len(set(got["a"])) == len(got["a"]) and got["d"] == [""]
+    assert len(got["b"]) == 1 and set(got["b"][0]) == {"x"}
+    again = {(r.group, r.text) for r in common.bounded_sample(df.repartition(7), "test", 1000).collect()}
+    assert again == {(g, t) for g, texts in got.items() for t in texts}
+    shared = common.bounded_sample(df, "test", 1000, total=2000).collect()
+    assert sum(len(r.text) + common.SAMPLE_TEXT for r in shared) <= 2000
+    assert common.bounded_sample(df.limit(0), "test", 10).count() == 0
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One id 4,000 times, null ids and one huge text learn no more than the bound."""
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 1000)
+    seen = []
+    real = langid.KneserNey.__init__
+    monkeypatch.setattr(langid.KneserNey, "__init__", lambda self, rows: seen.append(int(rows.n.sum())) or real(self, rows))
+    for ids in ([5] * 4000, [None] * 4000):
+        docs = spark.createDataFrame([(i, f"some words number {n % 977} here", "en") for n, i in enumerate(ids)], "doc_id long, text string, lang string")
+        assert langid.identify(docs, langid.train(docs)).filter("lang_pred = 'en'").count() == 4000
+    huge = spark.createDataFrame([(1, "the cat sat " * 20_000, "en"), (3, "der hund lag " * 20_000, "de")], "doc_id long, text string, lang string")
+    langid.train(huge)
+    assert len(seen) == 3 and all(0 < n <= 4 * 2 * 1100 for n in seen)
+
+
+def test_quality_learns_from_whole_bins(spark, monkeypatch):
+    """Forty ids of a hundred rows each: some are learned from, and the scores part the labels."""
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 50_000)
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "%$# @!% *&^ ") * 70 + str(n)) for i in range(40) for n in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    scores = quality_cnn.quality_scores(docs, quality_cnn.train(docs, labels)).groupBy(F.col("doc_id") % 2).agg(F.avg("score")).collect()
+    scores = dict(map(tuple, scores))
+    assert scores[1] > 0.5 > scores[0]
+    monkeypatch.setattr(quality_cnn, "TEXT_BYTES", 10)  # all texts are longer
+    assert quality_cnn.train(docs, labels).weight.any()
