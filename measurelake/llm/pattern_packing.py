@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage_table
-from .packing import BLOCK_CHARS, _blocks, _IdStore, _spread
+from .packing import _IdStore, _spread
 
 #: Steps of the non-negative least squares.
 FIT_STEPS = 250
+#: Characters that a worker codes together; longer texts are cut.
+BLOCK_CHARS = 2_000_000
+#: Chunks that a worker keeps; beyond them it starts anew.
+CACHE_CHUNKS = 1_200_000
 
 # --- tokens
 
@@ -48,10 +53,47 @@ FIT_STEPS = 250
 _UNSAFE = "[\\s] ([\\s]|$)|^ ([\\s]|$)|[\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|<\\|"
 
 
+class _Chunks(_IdStore):
+    """The store of a worker's chunks: most are known, so one look-up each has to do."""
+
+    def runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self._row) > CACHE_CHUNKS:
+            self._reset()
+        at = np.fromiter(map(self._row.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = len(self._row) + np.arange(len(missing))
+            self._learn([words[i] for i in missing])
+        return self._ids, self._starts[at], self._lengths[at]
+
+
+_LETTER, _MARK, _BLANK = 1, 2, 4
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KINDS[[ord(c) for c in ".,;:!?"]] = _MARK
+_KINDS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = _BLANK
+
+
+def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at texts and spaces, at a mark after a letter, at a line feed after other than
+    white space, and behind such a line feed if something other than white space follows.  The last entry is the end."""
+    kind = _KINDS[data]
+    cut = data == 0x20
+    cut[1:] |= (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+    feed = np.zeros(len(data) + 1, bool)
+    feed[1:-1] = (data[1:] == 0x0A) & (kind[:-1] != _BLANK)
+    cut |= feed[:-1]
+    cut[1:] |= feed[:-2] & (kind[1:] != _BLANK)
+    whole = np.append(cut, True)
+    whole[: at[0]] = False
+    whole[at] = True
+    return np.flatnonzero(whole)
+
+
 class ByteTokenizer:
     """Ids of whole texts under a byte-level vocabulary whose words take the space before them.
 
-    Texts are cut before every space, and each distinct chunk is coded once and kept.
+    Texts are cut where a token always begins (`_cuts`), and each distinct chunk is coded once and kept.
     """
 
     def __init__(self, path: str):
@@ -62,23 +104,24 @@ class ByteTokenizer:
         size = self._whole.get_vocab_size()
         #: The stand-in of every byte is one character.
         self._bytes = np.array([len(self._whole.id_to_token(i) or "") for i in range(size)])
-        self._chunks = _IdStore(self._code)
+        self._chunks = _Chunks(self._code)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         coded = [e.ids for e in self._whole.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, coded), np.int64, len(texts))
-        return np.fromiter((i for ids in coded for i in ids), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
 
     def _code(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks of a space and something else may stand side by side in one text; others are coded alone."""
-        joined = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() for c in chunks), bool, len(chunks))
+        given = pa.array(chunks, pa.string())
+        joined = pc.match_substring_regex(given, "^ [^\\s]").to_numpy(zero_copy_only=False)
         lengths = np.zeros(len(chunks), np.int64)
         parts = [np.zeros(0, np.uint32)] * 2
         for n, chosen in enumerate((joined, ~joined)):
             own = [c for c, is_own in zip(chunks, chosen) if is_own]
             if n == 0 and own:
-                ids = np.array(self._whole.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.cumsum(np.fromiter((len(c.encode()) for c in own), np.int64, len(own)))
+                ids = self._encoded(["".join(own)])[0]
+                ends = np.cumsum(pc.binary_length(given).to_numpy()[joined].astype(np.int64))
                 cut = np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1
                 parts[0], lengths[chosen] = ids, np.diff(cut, prepend=0)
             elif own:
@@ -98,11 +141,9 @@ class ByteTokenizer:
         if len(plain):
             part = given.take(pa.array(plain))
             at = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-            data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
-            spaces = np.flatnonzero(data[at[0] : at[-1]] == 0x20) + at[0]
-            cuts = np.union1d(at, spaces)
+            cuts = _cuts(np.frombuffer(part.buffers()[2] or b"", np.uint8)[: at[-1]], at)
             flat = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), part.buffers()[2]).dictionary_encode()
-            ids, starts, lengths = self._chunks.runs(flat.dictionary.to_pylist())
+            ids, starts, lengths = self._chunks.runs(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
             of = flat.indices.to_numpy()
             ids = ids[_spread(starts[of], lengths[of])]
             ends = np.concatenate([[0], np.cumsum(lengths[of])])[np.searchsorted(cuts, at)]
@@ -278,6 +319,23 @@ def plan(histogram: np.ndarray) -> Plan:
 # --- the operator
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts in groups of bounded size; a text over it comes last in its group."""
+    docs, texts, chars = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                docs.append(doc)
+                texts.append(text or "")
+                chars += len(texts[-1])
+                if chars >= BLOCK_CHARS:
+                    yield docs, texts
+                    docs, texts, chars = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, worker int, nth long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 _IDS = ", ids array<int>"

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from measurelake.llm import packing, pattern_packing as pp, queries
+from measurelake.llm import pattern_packing as pp, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.01"
@@ -81,7 +81,7 @@ def test_whole_table(spark, whole):
 
 
 def test_cases(spark, whole, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(pp, "BLOCK_CHARS", 300)
     texts = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, "one two three four " * i) for i in range(40)] + [(500, None)]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS worker", "2 AS length", "'x' AS ids", "7 AS n")
     rows = [tuple(r) for r in pp.pack_patterns(df.repartition(3), PATH, 32, 5, with_ids=True).collect()]
