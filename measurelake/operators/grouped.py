@@ -1,6 +1,6 @@
 """Operators whose leaf is linear algebra or iteration: one Arrow-backed group function each.
 
-A group is one family of patients or folds, a size that the study design
+A group is one family of patients or folds, a size that the study design of patient data
 bounds; the number of groups is what grows, and groups run in parallel.
 """
 
@@ -199,53 +199,6 @@ def nested_cv(rows: DataFrame, folds: DataFrame, unit: str, y: str, features: li
     return _apply(every, ["repeat", "held"], ["fold", unit, y, *features], f"{unit} {kind}, {y} int, c double, score double", solve)
 
 
-def subset_sweep(rows: DataFrame, subsets: DataFrame, unit: str, y: str, features: list[str], folds: int = 5, c: float = 1.0) -> DataFrame:
-    """Cross-validated AUC of every feature subset (id, members); subsets are dealt over the tasks.
-
-    The patient matrix is small by design and goes along as one Arrow table; its size is checked.
-    """
-    table = rows.select(unit, y, *features).orderBy(unit).limit(200_001).toPandas()
-    if len(table) > 200_000:
-        raise ValueError("subset_sweep is for patient-sized tables (at most 200,000 rows)")
-    x, labels = table[features].to_numpy(float), table[y].to_numpy(int)
-    fold = np.arange(len(table)) % folds
-    place = {f: i for i, f in enumerate(features)}
-
-    def run(batches):
-        for frame in batches:
-            out = []
-            for members in frame["members"]:
-                columns = [place[m] for m in members.split(";")]
-                score = np.empty(len(labels))
-                for f in range(folds):
-                    test = fold == f
-                    score[test] = _fit(x[~test][:, columns], labels[~test], c)(x[test][:, columns])
-                out.append(numeric.fast_auc(labels, score))
-            yield frame.assign(auc=out)
-
-    parallelism = rows.sparkSession.sparkContext.defaultParallelism
-    return subsets.repartition(4 * parallelism).mapInPandas(run, "id long, size int, members string, auc double")
-
-
-def optimism(rows: DataFrame, unit: str, y: str, features: list[str], draws: int, seed: int = 1, c: float = 1.0) -> DataFrame:
-    """Apparent AUC minus optimism over bootstrap samples of units; draws run in parallel.
-
-    Each draw's task gets the patient-sized table.
-    """
-    drawn = rows.select(unit, y, *features).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-
-    def solve(frame: pd.DataFrame) -> dict:
-        draw = int(frame["draw"].iloc[0])
-        frame = frame.sort_values(unit, kind="stable")
-        x, labels = frame[features].to_numpy(float), frame[y].to_numpy(int)
-        at = np.random.default_rng([seed, draw]).integers(0, len(x), len(x))
-        model = _fit(x[at], labels[at], c)
-        return {"apparent": numeric.fast_auc(labels[at], model(x[at])), "original": numeric.fast_auc(labels, model(x))}
-
-    drawn = drawn.withColumn("d", F.col("draw"))
-    return _apply(drawn, ["d"], ["draw", unit, y, *features], "apparent double, original double", solve).withColumnRenamed("d", "draw")
-
-
 def cox_model(counts: DataFrame, by: list[str], covariates: list[str], time: str = "t", event: str = "event", n: str = "n", ridge: float = 0.0) -> DataFrame:
     """Cox regression over counted levels: coefficient, hazard ratio and Wald p of each covariate."""
 

@@ -80,13 +80,14 @@ def wilcoxon(deltas: DataFrame, by: list[str], value: str = "delta") -> DataFram
     return s.join(ties, by).select(*by, "n", "w_pos", "w_neg", F.try_divide(low - n * (n + 1) / 4, spread).alias("z"))
 
 
-def auc(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Area under the curve by mid-ranks of counted score levels; ties count half.
+def auc(df: DataFrame, by: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
+    """Area under the curve by mid-ranks of counted score levels; ties count half, a row ``weight`` times.
 
     Rows are reduced to their distinct scores before anything is ordered.
     """
+    counted = lambda y: F.count_if(F.col(label) == y) if weight is None else F.sum(F.when(F.col(label) == y, F.col(weight)).otherwise(0))
     levels = df.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(*by, F.col(score).alias("__s")).agg(
-        F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__n")
+        counted(1).alias("__p"), counted(0).alias("__n")
     )
     below = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     counted = levels.withColumn("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)))

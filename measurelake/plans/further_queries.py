@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import grouped, inference, ranking, relational, resampling, structure, survival as sv
+from ..operators import fitting, grouped, inference, ranking, relational, resampling, structure, survival as sv
 from .frames import DELTA, SPEC, SURV, deltas, rounded, specimens, survival, table
 from .model_queries import GENES, _features, _wide
 
@@ -207,8 +207,9 @@ def promoter_against_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Of a score of two components, over all units at once."""
     rows = _features(spark, d, 2).withColumn("score", F.col("g0") * 2 - F.col("g1"))
-    return grouped.calibration(rows.withColumn("g", F.lit(0)), ["g"], "y", "score")
+    return fitting.calibration(rows.withColumn("g", F.lit(0)), ["g"], "y", "score")
 
 
 def elastic_net_and_svm(spark: SparkSession, d: str) -> DataFrame:

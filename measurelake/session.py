@@ -19,6 +19,7 @@ DEFAULTS = {
 
 def local_session(cores: int | str | None = None, **conf: str) -> SparkSession:
     """A local session with the defaults; keyword names use double underscores for dots."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # local workers take the driver's environment
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     given = {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(f"local[{cores}]").appName("measurelake")
