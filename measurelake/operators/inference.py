@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tails import t_two_sided
-from .ranking import midrank
+from . import ranking
+from .ranking import counted_ranks
 
 
 def paired_effects(deltas: DataFrame, by: list[str], value: str = "delta", scale: float = 100.0, min_n: int = 3) -> DataFrame:
@@ -38,46 +39,53 @@ def welch(df: DataFrame, by: list[str], arm: str, value: str, high: str, low: st
     return out.select(*by, "n_high", "n_low", "diff", "se", F.try_divide("diff", "se").alias("t"), dof.alias("df"))
 
 
+def _ties(n: str = "n") -> Column:
+    """Sum over levels of n^3 - n, in doubles: counts of huge groups have no whole cubes."""
+    c = F.col(n).cast("double")
+    return F.sum(c * c * c - c)
+
+
 def mann_whitney(df: DataFrame, by: list[str], arm: str, value: str, high: str, low: str) -> DataFrame:
-    """U of ``high``, rank-biserial correlation and the tie-corrected normal z."""
-    two = df.filter(F.col(arm).isin(high, low) & F.col(value).isNotNull()).withColumn("__r", midrank(F.col(value), by))
-    s = two.groupBy(*by).agg(
-        F.count_if(F.col(arm) == high).alias("n_high"), F.count_if(F.col(arm) == low).alias("n_low"), F.sum(F.when(F.col(arm) == high, F.col("__r"))).alias("__w")
-    )
-    ties = two.groupBy(*by, value).count().groupBy(*by).agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("__t"))
-    out = s.join(ties, by)
+    """U of ``high``, rank-biserial correlation and the tie-corrected normal z, from counted values."""
+    two = df.filter(F.col(arm).isin(high, low) & F.col(value).isNotNull())
+    levels = counted_ranks(two, by, value, {"__h": (F.col(arm) == high).cast("int")})
+    out = levels.groupBy(*by).agg(F.sum("__h").alias("n_high"), F.sum(F.col("n") - F.col("__h")).alias("n_low"), F.sum(F.col("__h") * F.col("rank")).alias("__w"), _ties().alias("__t"))
     n1, n0 = F.col("n_high").cast("double"), F.col("n_low").cast("double")
     n = n1 + n0
-    u = F.col("__w") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("__t") / (n * (n - 1))))
-    return out.select(*by, "n_high", "n_low", u.alias("u"), (2 * u / (n1 * n0) - 1).alias("rank_biserial"), F.try_divide(u - n1 * n0 / 2, spread).alias("z"))
+    # Without any of the high arm there is no rank sum.
+    u = F.when(n1 > 0, F.col("__w")) - n1 * (n1 + 1) / 2
+    spread = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(F.col("__t"), n * (n - 1))))
+    return out.select(*by, "n_high", "n_low", u.alias("u"), (F.try_divide(2 * u, n1 * n0) - 1).alias("rank_biserial"), F.try_divide(u - n1 * n0 / 2, spread).alias("z"))
 
 
 def kruskal(df: DataFrame, by: list[str], arm: str, value: str, min_n: int = 5) -> DataFrame:
-    """H with tie correction and epsilon squared; arms below ``min_n`` values are left out."""
-    sized = df.filter(F.col(value).isNotNull()).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by, arm)))
-    ranked = sized.filter(F.col("__n") >= min_n).withColumn("__r", midrank(F.col(value), by))
-    arms = ranked.groupBy(*by, arm).agg(F.sum("__r").alias("s"), F.count(F.lit(1)).alias("n"))
+    """H with tie correction and epsilon squared, from counted values; arms below ``min_n`` values are left out."""
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*by, arm, value).agg(F.count(F.lit(1)).alias("__c"))
+    large = cells.groupBy(*by, arm).agg(F.sum("__c").alias("__a")).filter(F.col("__a") >= min_n).drop("__a")
+    cells = ranking.matched(cells, large, [*by, arm])
+    levels = cells.groupBy(*by, value).agg(F.sum("__c").alias("n"))
+    levels = ranking.cumulated(levels, by, value, ["n"]).withColumn("rank", F.col("n__below") + (F.col("n") + 1) / 2.0)
+    ranked = ranking.matched(cells, levels.select(*by, value, "rank"), [*by, value])
+    arms = ranked.groupBy(*by, arm).agg(F.sum(F.col("__c") * F.col("rank")).alias("s"), F.sum("__c").alias("n"))
     h = arms.groupBy(*by).agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    ties = ranked.groupBy(*by, value).count().groupBy(*by).agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("__t"))
+    ties = levels.groupBy(*by).agg(_ties().alias("__t"))
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     stat = F.try_divide(raw, 1 - F.col("__t") / (n * n * n - n))
-    return h.join(ties, by).select(*by, "n", "k", stat.alias("h"), F.try_divide(stat - F.col("k") + 1, n - F.col("k")).alias("epsilon2"))
+    return ranking.matched(h, ties, by).select(*by, "n", "k", stat.alias("h"), F.try_divide(stat - F.col("k") + 1, n - F.col("k")).alias("epsilon2"))
 
 
 def wilcoxon(deltas: DataFrame, by: list[str], value: str = "delta") -> DataFrame:
-    """Signed-rank sums of the non-zero differences and the tie-corrected normal z."""
+    """Signed-rank sums of the non-zero differences and the tie-corrected normal z, from counted sizes."""
     used = deltas.filter(F.col(value) != 0).withColumn("__a", F.abs(F.col(value)))
-    ranked = used.withColumn("__r", midrank(F.col("__a"), by))
-    s = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(value) > 0, F.col("__r")).otherwise(0.0)).alias("w_pos"), F.sum(F.when(F.col(value) < 0, F.col("__r")).otherwise(0.0)).alias("w_neg")
+    levels = counted_ranks(used, by, "__a", {"__p": (F.col(value) > 0).cast("int")})
+    s = levels.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum(F.col("__p") * F.col("rank")).alias("w_pos"), F.sum((F.col("n") - F.col("__p")) * F.col("rank")).alias("w_neg"), _ties().alias("__t")
     )
-    ties = ranked.groupBy(*by, "__a").count().groupBy(*by).agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).alias("__t"))
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__t") / 48)
     low = F.least("w_pos", "w_neg")
-    return s.join(ties, by).select(*by, "n", "w_pos", "w_neg", F.try_divide(low - n * (n + 1) / 4, spread).alias("z"))
+    return s.select(*by, "n", "w_pos", "w_neg", F.try_divide(low - n * (n + 1) / 4, spread).alias("z"))
 
 
 def auc(df: DataFrame, by: list[str], label: str, score: str, weight: str | None = None) -> DataFrame:
@@ -85,12 +93,11 @@ def auc(df: DataFrame, by: list[str], label: str, score: str, weight: str | None
 
     Rows are reduced to their distinct scores before anything is ordered.
     """
-    counted = lambda y: F.count_if(F.col(label) == y) if weight is None else F.sum(F.when(F.col(label) == y, F.col(weight)).otherwise(0))
+    number = lambda y: F.count_if(F.col(label) == y) if weight is None else F.sum(F.when(F.col(label) == y, F.col(weight)).otherwise(0))
     levels = df.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(*by, F.col(score).alias("__s")).agg(
-        counted(1).alias("__p"), counted(0).alias("__n")
+        number(1).alias("__p"), number(0).alias("__n")
     )
-    below = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    counted = levels.withColumn("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)))
+    counted = ranking.cumulated(levels, by, "__s", ["__n"]).withColumn("__b", F.col("__n__below"))
     out = counted.groupBy(*by).agg(
         F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum(F.col("__p") * (F.col("__b") + F.col("__n") / 2.0)).alias("__u")
     )
@@ -114,23 +121,21 @@ def youden(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     levels = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("cut")).agg(
         F.count_if(F.col(label) == 1).alias("__p"), F.count_if(F.col(label) == 0).alias("__n")
     )
-    down = Window.partitionBy(*by).orderBy(F.col("cut").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    j = F.sum("__p").over(down) / F.sum("__p").over(whole) - F.sum("__n").over(down) / F.sum("__n").over(whole)
-    scored = levels.withColumn("j", F.round(j, 12))
+    run = ranking.cumulated(levels, by, "cut", ["__p", "__n"])
+    above = lambda c: (F.col(f"{c}__total") - F.col(f"{c}__below")) / F.col(f"{c}__total")
+    scored = run.withColumn("j", F.round(above("__p") - above("__n"), 12))
     return scored.groupBy(*by).agg(F.max_by("cut", F.struct("j", "cut")).alias("cut"), F.max("j").alias("j"))
 
 
 def cutoff_rules(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Normal-sample cut-offs: higher order statistics at .95 and .975, multiples of the mean, mean + 4 sd."""
-    own = Window.partitionBy(*by)
     kept = df.filter(F.col(value).isNotNull())
-    placed = kept.withColumn("__r", F.row_number().over(own.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(own))
-    at = lambda q: F.max(F.when(F.col("__r") == F.ceil((F.col("__n") - 1) * F.lit(q) - 1e-9) + 1, F.col(value)))
-    return placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), at(0.95).alias("q95"), at(0.975).alias("q975"), (2.5 * F.avg(value)).alias("mean25"),
-        (3.0 * F.avg(value)).alias("mean3"), (F.avg(value) + 4 * F.stddev_samp(value)).alias("mean4sd"),
+    place = lambda q: F.ceil((F.col("n__total") - 1) * F.lit(q) - 1e-9)
+    cuts = ranking.order_statistic(kept, by, value, {"q95": place(0.95), "q975": place(0.975)})
+    means = kept.groupBy(*by).agg(
+        (2.5 * F.avg(value)).alias("mean25"), (3.0 * F.avg(value)).alias("mean3"), (F.avg(value) + 4 * F.stddev_samp(value)).alias("mean4sd"),
     )
+    return ranking.matched(cuts, means, by)
 
 
 def cutoff_leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -140,25 +145,22 @@ def cutoff_leave_one_out(df: DataFrame, by: list[str], value: str) -> DataFrame:
     value, without a later one it is the r-th itself: two order statistics and
     the extremes tell all, and no row meets another.
     """
-    own = Window.partitionBy(*by)
-    placed = df.filter(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(own.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(own))
-    place = F.ceil((F.col("__n") - 2) * F.lit(0.95) - 1e-9) + 1
-    at = lambda r: F.max(F.when(F.col("__r") == r, F.col(value)))
-    s = placed.filter("__n > 1").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_left_out"), at(place).alias("q95_low"), at(place + 1).alias("q95_high"),
-        F.sum(value).alias("__s"), F.min(value).alias("__a"), F.max(value).alias("__b"),
-    )
+    kept = df.filter(F.col(value).isNotNull())
+    place = F.ceil((F.col("n__total") - 2) * F.lit(0.95) - 1e-9)
+    cuts = ranking.order_statistic(kept, by, value, {"q95_low": place, "q95_high": place + 1}).filter("n > 1").withColumnRenamed("n", "n_left_out")
+    sums = kept.groupBy(*by).agg(F.sum(value).alias("__s"), F.min(value).alias("__a"), F.max(value).alias("__b"))
+    s = ranking.matched(cuts, sums, by)
     rest = lambda c: 2.5 * (F.col("__s") - F.col(c)) / (F.col("n_left_out") - 1)
     return s.select(*by, "n_left_out", "q95_low", "q95_high", rest("__b").alias("mean25_low"), rest("__a").alias("mean25_high"))
 
 
 def weighted_cutoffs(drawn: DataFrame, by: list[str], value: str, weight: str = "weight") -> DataFrame:
     """The 95 % order statistic (higher) and 2.5 times the mean of rows that count ``weight`` times."""
-    own = Window.partitionBy(*by)
-    run = F.sum(weight).over(own.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    placed = drawn.filter(F.col(weight) > 0).withColumn("__c", run).withColumn("__n", F.sum(weight).over(own))
-    reached = F.col("__c") >= F.ceil((F.col("__n") - 1) * F.lit(0.95) - 1e-9) + 1
-    mean = F.sum(F.col(weight) * F.col(value)) / F.sum(weight)
+    kept = drawn.filter(F.col(weight) > 0)
+    levels = kept.groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    placed = ranking.cumulated(levels, by, value, ["__w"])
+    reached = F.col("__w__below") + F.col("__w") >= F.ceil((F.col("__w__total") - 1) * F.lit(0.95) - 1e-9) + 1
+    mean = F.sum(F.col("__w") * F.col(value)) / F.sum("__w")
     return placed.groupBy(*by).agg(F.min(F.when(reached, F.col(value))).alias("q95"), (2.5 * mean).alias("mean25"))
 
 

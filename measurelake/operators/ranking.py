@@ -18,6 +18,61 @@ def midrank(value: Column, by) -> Column:
     return F.when(value.isNotNull(), F.rank().over(own) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+#: Ranges of values that a group is cut into, so that its levels are cumulated by many tasks.
+RANGES = 64
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the right side's keys are dropped."""
+    named = right.withColumnsRenamed({k: f"__r{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return left.join(named, same, how).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def cumulated(levels: DataFrame, by, value: str, counts: list[str], ranges: int | None = None) -> DataFrame:
+    """``levels`` (one row per group and value) with ``c__below`` and ``c__total`` for each column of ``counts``.
+
+    Prefix counts without a window over a whole group: approximate quantiles cut a
+    group's values into ranges, sums per range are added up over the ranges (few
+    rows a group), and within a range over its levels.  The result does not
+    depend on where the cuts fall.
+    """
+    keys, ranges = _keys(by), ranges or RANGES
+    share = [i / ranges for i in range(1, ranges)]
+    edges = levels.groupBy(*keys).agg(F.percentile_approx(value, share, 20 * ranges).alias("__edges"))
+    placed = matched(levels, edges, keys) if keys else levels.crossJoin(F.broadcast(edges))  # one row
+    placed = placed.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    spot = [*keys, "__range"]
+    sums = placed.groupBy(*spot).agg(*[F.sum(c).alias(c) for c in counts])
+    over = Window.partitionBy(*keys)
+    before = over.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*spot, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}__before") for c in counts], *[F.sum(c).over(over).alias(f"{c}__total") for c in counts])
+    own = Window.partitionBy(*spot).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counted = placed.withColumns({f"{c}__own": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in counts})
+    joined = matched(counted, offsets, spot)
+    below = [(F.col(f"{c}__before") + F.col(f"{c}__own")).alias(f"{c}__below") for c in counts]
+    return joined.select(*levels.columns, *below, *[f"{c}__total" for c in counts])
+
+
+def counted_ranks(df: DataFrame, by, value: str, counts: dict[str, Column]) -> DataFrame:
+    """One row per group and value: counts (a Column each, summed), their ``n``, and the mid-rank ``rank`` of the value."""
+    keys = _keys(by)
+    levels = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in counts.items()])
+    ranked = cumulated(levels, keys, value, ["n"])
+    return ranked.withColumn("rank", F.col("n__below") + (F.col("n") + 1) / 2.0)
+
+
+def order_statistic(df: DataFrame, by, value: str, places: dict[str, Column]) -> DataFrame:
+    """One row per group: for each name the value at a place (from 0, a Column in ``n__total``) in ascending order."""
+    keys = _keys(by)
+    levels = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    ranked = cumulated(levels, keys, value, ["n"])
+    at = lambda place: F.max(F.when((F.col("n__below") <= place) & (place < F.col("n__below") + F.col("n")), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.max("n__total").alias("n"), *[at(place).alias(name) for name, place in places.items()])
+
+
 def bh_adjust(
     df: DataFrame, p: str, by, out: str = "q", denominator: int | str = "all", nulls: str = "keep", eligible: Column | None = None
 ) -> DataFrame:
@@ -67,21 +122,20 @@ def leave_one_out_mean(value: Column, by) -> Column:
     return F.when(n > 1, (F.sum(value).over(own) - value) / (n - 1))
 
 
-def quantile_linear(value: Column, q: float) -> Column:
-    """Exact quantile with linear interpolation, as an aggregate."""
-    return F.percentile(value, F.lit(q))
+def quantile_linear(df: DataFrame, by, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, from order statistics; one row per group."""
+    keys = _keys(by)
+    spot = lambda q: (F.col("n__total") - 1) * F.lit(q)
+    places = {f"__{s}_{n}": f(spot(q)) for n, q in shares.items() for s, f in (("low", F.floor), ("high", F.ceil))}
+    found = order_statistic(df, keys, value, places).withColumnRenamed("n", "n__total")
+    low, high = (lambda n: F.col(f"__low_{n}").cast("double")), (lambda n: F.col(f"__high_{n}").cast("double"))
+    return found.select(*keys, *[(low(n) + (high(n) - low(n)) * (spot(q) - F.floor(spot(q)))).alias(n) for n, q in shares.items()])
 
 
 def quantile_higher(df: DataFrame, value: str, by, q: float, out: str) -> DataFrame:
-    """Exact quantile as an order statistic, the next higher one; one row per group.
-
-    The wanted place is picked by row number, so that no group is gathered.
-    """
-    own = Window.partitionBy(*_keys(by))
-    kept = df.filter(F.col(value).isNotNull())
-    placed = kept.withColumn("__r", F.row_number().over(own.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(own))
-    wanted = F.ceil((F.col("__n") - 1) * F.lit(q) - 1e-9) + 1
-    return placed.filter(F.col("__r") == wanted).select(*_keys(by), F.col(value).alias(out))
+    """Exact quantile as an order statistic, the next higher one; one row per group."""
+    place = F.ceil((F.col("n__total") - 1) * F.lit(q) - 1e-9)
+    return order_statistic(df, by, value, {out: place}).select(*_keys(by), out)
 
 
 def top_k(df: DataFrame, by, order: list[Column], k: int, rank: str = "rank") -> DataFrame:

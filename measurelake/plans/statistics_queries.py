@@ -100,8 +100,8 @@ FROM delta WINDOW w AS (PARTITION BY cohort, probe)"""
 
 
 def quantile_linear(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
-    return rounded(x.agg(*[ranking.quantile_linear(F.col("l_extendedprice"), q).alias(n) for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))]), "q05", "q50", "q95")
+    shares = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    return rounded(ranking.quantile_linear(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", shares), *shares)
 
 
 QLINEAR = """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.05), 6) + 0.0 AS q05, round(quantile_cont(l_extendedprice, 0.5), 6) + 0.0 AS q50,
