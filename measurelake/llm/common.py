@@ -70,18 +70,25 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 SAMPLE_TEXT = 16
 
 
-def bounded_sample(rows: DataFrame, seed: str, most: int, total: int | None = None) -> DataFrame:
-    """Distinct rows of ``rows`` (group, mark, text), for each group at most ``most`` characters, ``SAMPLE_TEXT`` more a text.
-
-    Texts are taken in order of a hash of mark and text if they fit into what is
-    left; ids, repeats and the order of rows do not matter.  ``total`` bounds all
-    groups together, in equal shares.  Where no text of a group fits, the first
-    one gives its first characters.  What reaches the driver is bounded like the
-    sample.
+def text_keys(text: Column) -> list[Column]:
+    """What `bounded_sample` needs of a text: its hash ``t`` and its length ``n``."""
+    return [F.xxhash64(text).alias("t"), F.length(text).alias("n")]
+
+
+def bounded_sample(keys: DataFrame, texts: DataFrame, seed: str, most: int, total: int | None = None) -> DataFrame:
+    """Distinct (group, mark, text), for each group at most ``most`` characters, ``SAMPLE_TEXT`` more a text.
+
+    ``keys`` has group, mark and the `text_keys` of the texts to draw from,
+    ``texts`` the texts themselves (column text): only those that are drawn are
+    ever shuffled.  Texts are taken in order of a hash of mark and text if they
+    fit into what is left; ids, repeats and the order of rows do not matter.
+    ``total`` bounds all groups together, in equal shares.  Where no text of a
+    group fits, the first one gives its first characters.  What reaches the driver
+    is bounded like the sample.
     """
-    spark = rows.sparkSession
-    keyed = rows.withColumn("h", F.xxhash64(F.lit(seed), "mark", "text"))
-    sizes = keyed.groupBy("group", "h").agg((F.max(F.length("text")) + SAMPLE_TEXT).alias("n"))
+    spark = keys.sparkSession
+    keyed = keys.withColumn("h", F.xxhash64(F.lit(seed), "mark", "t"))
+    sizes = keyed.groupBy("group", "h").agg((F.max("n") + SAMPLE_TEXT).alias("n"), F.min("mark").alias("mark"), F.min("t").alias("t"))
     sizes = stage_table(sizes, f"sample-{seed}")
     sums = {r["group"]: r["n"] for r in sizes.groupBy("group").agg(F.sum("n").alias("n")).collect()}
     most = min(most, total // max(len(sums), 1)) if total is not None else most
@@ -94,24 +101,24 @@ def bounded_sample(rows: DataFrame, seed: str, most: int, total: int | None = No
     near = sizes.filter(draw < share).withColumn("k", F.row_number().over(by_draw)).filter(F.col("k") <= most // SAMPLE_TEXT + 1)
     left: dict = {}
     chosen, first = [], {}
-    for group, h, n, _ in sorted(near.collect(), key=lambda r: r["k"]):
-        room = left.setdefault(group, most)
-        first.setdefault(group, h)
-        if n <= room:
-            left[group] -= n
-            chosen.append((group, h, n))
+    for r in sorted(near.collect(), key=lambda r: r["k"]):
+        room = left.setdefault(r["group"], most)
+        first.setdefault(r["group"], r)
+        if r["n"] <= room:
+            left[r["group"]] -= r["n"]
+            chosen.append((r["group"], r["mark"], r["t"], r["n"]))
     filled = {group for group, *_ in chosen}
-    chosen += [(group, h, most) for group, h in first.items() if group not in filled]
+    chosen += [(group, r["mark"], r["t"], most) for group, r in first.items() if group not in filled]
     # Groups of which the draw has no text at all: their shortest one.
     missing = [group for group in sums if group not in first]
     if missing:
-        rest = sizes.filter(F.col("group").isin(missing)).groupBy("group").agg(F.min(F.struct("n", "h")).alias("s"))
-        chosen += [(r["group"], r["s"]["h"], min(r["s"]["n"], most)) for r in rest.collect()]
-    kind = rows.schema["group"].dataType.simpleString()
-    wanted = spark.createDataFrame(chosen, f"group {kind}, h long, n long")
-    found = keyed.join(F.broadcast(wanted), ["group", "h"]).groupBy("group", "h").agg(F.min(F.struct("text", "mark", "n")).alias("s"))
-    cut = F.substring("s.text", F.lit(1), (F.col("s.n") - SAMPLE_TEXT).cast("int"))
-    return found.select("group", F.col("s.mark").alias("mark"), cut.alias("text"))
+        rest = sizes.filter(F.col("group").isin(missing)).groupBy("group").agg(F.min(F.struct("n", "h", "mark", "t")).alias("s"))
+        chosen += [(r["group"], r["s"]["mark"], r["s"]["t"], min(r["s"]["n"], most)) for r in rest.collect()]
+    kinds = {c: keys.schema[c].dataType.simpleString() for c in ("group", "mark")}
+    wanted = spark.createDataFrame(chosen, f"group {kinds['group']}, mark {kinds['mark']}, t long, n long")
+    drawn = texts.select("text", F.xxhash64("text").alias("t")).join(F.broadcast(wanted.select("t").distinct()), "t", "left_semi")
+    found = drawn.groupBy("t").agg(F.min("text").alias("text")).join(F.broadcast(wanted), "t")
+    return found.select("group", "mark", F.substring("text", F.lit(1), (F.col("n") - SAMPLE_TEXT).cast("int")).alias("text"))
 
 
 def _scans_files(df: DataFrame) -> bool:

@@ -41,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, crc_mod, stage_table
+from .common import bounded_sample, crc_mod, stage_table, text_keys
 
 ORDER = 4
 TRAIN_CHARS = 2_000_000
@@ -326,10 +326,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Learn from distinct texts of ``docs`` that have a language, a bounded sample (`bounded_sample`)."""
-    labelled = docs.select(F.col(lang_col).alias("group"), F.lit("").alias("mark"), F.col(text_col).alias("text"))
-    labelled = labelled.filter("text is not null and group is not null")
+    labelled = docs.select(F.col(lang_col).alias("group"), F.col(text_col).alias("text")).filter("text is not null and group is not null")
+    keys = labelled.select("group", F.lit("").alias("mark"), *text_keys(F.col("text")))
     # Written once: two passes read it, and what they see is the same.
-    sample = stage_table(bounded_sample(labelled, "langid", TRAIN_CHARS, TOTAL_CHARS).withColumnRenamed("group", "lang"), "langid-sample")
+    sample = stage_table(bounded_sample(keys, labelled, "langid", TRAIN_CHARS, TOTAL_CHARS).withColumnRenamed("group", "lang"), "langid-sample")
     # An eighth calibrates; a language of a few texts needs them all to be known.
     many = [r["lang"] for r in sample.groupBy("lang").count().collect() if r["count"] >= ASIDE_TEXTS]
     aside = (F.pmod(F.xxhash64(F.lit("aside"), "text"), F.lit(8)) == 0) & F.col("lang").isin(many)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, crc_mod, slices
+from .common import bounded_sample, crc_mod, slices, text_keys
 
 CHUNK = 512
 HOP = 448
@@ -168,9 +168,9 @@ def train(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = rows.filter(F.octet_length("text") <= TEXT_BYTES)
     for usable in (whole, rows):  # longer texts only where there is nothing else
-        labelled = usable.join(marks, "id").select(F.lit(0).alias("group"), "mark", "text")
+        keys = usable.select("id", *text_keys(F.col("text"))).join(marks, "id").select(F.lit(0).alias("group"), "mark", "t", "n")
         # A character has four bytes at most, and most have one: what is drawn by characters is cut by bytes.
-        sample = bounded_sample(labelled, "quality", TRAIN_BYTES).toArrow().to_pandas()
+        sample = bounded_sample(keys, usable, "quality", TRAIN_BYTES).toArrow().to_pandas()
         if len(sample):
             break
     sample = sample.sort_values(["text", "mark"], kind="stable").sample(frac=1, random_state=7)

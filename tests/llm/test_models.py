@@ -347,18 +347,19 @@ def test_sample_is_bounded(spark):
     rows = [("a", 0, f"text {i}") for i in range(4000)] + [("a", 0, "text 1")] * 4000
     rows += [("b", m, "x" * 5000) for m in (0, 1)] * 50 + [("c", 0, "y" * 300 + str(i)) for i in range(3)] + [("d", 0, "")] * 9
     df = spark.createDataFrame(rows, "group string, mark int, text string")
+    drawn = lambda df, *bounds, **more: common.bounded_sample(df.select("group", "mark", *common.text_keys(F.col("text"))), df, "test", *bounds, **more)
     got = {}
-    for r in common.bounded_sample(df, "test", 1000).collect():
+    for r in drawn(df, 1000).collect():
         got.setdefault(r.group, []).append(r.text)
     sizes = {g: sum(len(t) + common.SAMPLE_TEXT for t in texts) for g, texts in got.items()}
     assert all(n <= 1000 for n in sizes.values()) and sizes["a"] > 900 and sizes["c"] > 900
     assert len(set(got["a"])) == len(got["a"]) and got["d"] == [""]
     assert len(got["b"]) == 1 and set(got["b"][0]) == {"x"}
-    again = {(r.group, r.text) for r in common.bounded_sample(df.repartition(7), "test", 1000).collect()}
+    again = {(r.group, r.text) for r in drawn(df.repartition(7), 1000).collect()}
     assert again == {(g, t) for g, texts in got.items() for t in texts}
-    shared = common.bounded_sample(df, "test", 1000, total=2000).collect()
+    shared = drawn(df, 1000, total=2000).collect()
     assert sum(len(r.text) + common.SAMPLE_TEXT for r in shared) <= 2000
-    assert common.bounded_sample(df.limit(0), "test", 10).count() == 0
+    assert drawn(df.limit(0), 10).count() == 0
 
 
 def test_language_sample_is_bounded(spark, monkeypatch):
