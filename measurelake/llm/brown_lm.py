@@ -59,8 +59,9 @@ ENDINGS = 128
 CLASSES = 48
 SWEEPS = 6
 PRIOR = 5.0
-PLACED = 10_000
 RESIDENT = 150_000
+#: Words that are conditions by their own class: all that the workers hold.
+PLACED = RESIDENT
 MAX_WORD_BYTES = 64
 BLOCK_CHARS = 2_000_000
 #: No word holds a line feed: names of digests and of transition counts begin with one.
@@ -279,7 +280,7 @@ def place_frequent(docs: DataFrame, text_col: str, model: BrownModel, table: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        total = np.zeros(own.placed * width, np.int64)
+        total = np.zeros(own.placed * width, np.int32)
         for part, texts in _texts(batches, 0):
             owner, at, words = _tokens(texts)
             place, condition, _ = own.look_up(words)
@@ -291,7 +292,7 @@ def place_frequent(docs: DataFrame, text_col: str, model: BrownModel, table: np.
             unique, n = np.unique(codes, return_counts=True)
             total[unique] += n
         used = np.flatnonzero(total)
-        yield from _chunks({"pair": used, "n": total[used]})
+        yield from _chunks({"pair": used, "n": total[used].astype(np.int64)})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
