@@ -144,19 +144,26 @@ def top_k(df: DataFrame, by, order: list[Column], k: int, rank: str = "rank") ->
     return df.withColumn(rank, F.row_number().over(own)).filter(F.col(rank) <= k)
 
 
-def window_features(df: DataFrame, by, position: str, value: str, n: int) -> DataFrame:
-    """For each run of ``n`` neighbours in order of position: mean value, span, largest and median gap."""
+def window_features(df: DataFrame, by, position: str, value: str, n: int, apart: float | None = None) -> DataFrame:
+    """For each run of ``n`` neighbours in order of position: mean value, span, largest and median gap, and clusters.
+
+    A gap over ``apart`` parts clusters: islands are numbered by a running count of such
+    gaps, and a run has as many clusters as islands from its first place to its last.
+    """
     ordered = Window.partitionBy(*_keys(by)).orderBy(position)
     run, inner = ordered.rowsBetween(1 - n, 0), ordered.rowsBetween(2 - n, 0)
     gaps = df.withColumn("__gap", F.col(position) - F.lag(position).over(ordered)).withColumn("__i", F.row_number().over(ordered))
+    island = F.count_if(F.col("__gap") > F.lit(apart)).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    gaps = gaps.withColumn("__island", island)
     featured = gaps.select(
         "*",
+        (F.col("__island") - F.first("__island").over(run) + 1).alias("clusters"),
         F.avg(value).over(run).alias("window_mean"),
         (F.col(position) - F.first(position).over(run)).alias("span"),
         F.max("__gap").over(inner).alias("max_gap"),
         median_of(F.collect_list("__gap").over(inner)).alias("median_gap"),
     )
-    return featured.filter(F.col("__i") >= n).drop("__gap", "__i")
+    return featured.filter(F.col("__i") >= n).drop("__gap", "__i", "__island")
 
 
 def trapezoid(df: DataFrame, by, x: str, y: str, out: str) -> DataFrame:

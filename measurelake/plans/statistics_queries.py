@@ -118,14 +118,14 @@ WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice)) WHERE r = CAST(ce
 
 def genomic_window_features(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("v"))
-    out = ranking.window_features(parts, "p_brand", "p_partkey", "v", 5)
-    return rounded(out.select("p_brand", "p_partkey", "window_mean", "span", "max_gap", F.col("median_gap").cast("double").alias("median_gap")), "window_mean", "median_gap")
+    out = ranking.window_features(parts, "p_brand", "p_partkey", "v", 5, apart=40)
+    return rounded(out.select("p_brand", "p_partkey", "window_mean", "span", "max_gap", "clusters", F.col("median_gap").cast("double").alias("median_gap")), "window_mean", "median_gap")
 
 
 WINDOWS = """WITH g AS (SELECT p_brand, p_partkey, p_size, p_partkey - lag(p_partkey) OVER w AS gap, row_number() OVER w AS i FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
-f AS (SELECT *, avg(p_size) OVER r AS window_mean, p_partkey - first_value(p_partkey) OVER r AS span, max(gap) OVER q AS max_gap, median(gap) OVER q AS median_gap FROM g
+f AS (SELECT *, avg(p_size) OVER r AS window_mean, p_partkey - first_value(p_partkey) OVER r AS span, max(gap) OVER q AS max_gap, median(gap) OVER q AS median_gap, 1 + count(*) FILTER (gap > 40) OVER q AS clusters FROM g
 WINDOW r AS (PARTITION BY p_brand ORDER BY p_partkey ROWS 4 PRECEDING), q AS (PARTITION BY p_brand ORDER BY p_partkey ROWS 3 PRECEDING))
-SELECT p_brand, p_partkey, round(window_mean, 6) + 0.0 AS window_mean, span, max_gap, round(median_gap, 6) + 0.0 AS median_gap FROM f WHERE i >= 5"""
+SELECT p_brand, p_partkey, round(window_mean, 6) + 0.0 AS window_mean, span, max_gap, clusters, round(median_gap, 6) + 0.0 AS median_gap FROM f WHERE i >= 5"""
 
 
 def topk_controls(spark: SparkSession, d: str) -> DataFrame:

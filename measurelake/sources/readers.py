@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..contracts import ContractError
 from ..functions.scalar import out_of_range, token_to_double
@@ -68,6 +70,61 @@ def scan_targets(spark: SparkSession, path: str, targets: list[str], sep: str =
     return kept.withColumn("n_cells", F.size("cells")).withColumn("n_lines", F.count(F.lit(1)).over(Window.partitionBy("key")))
 
 
+@dataclass(frozen=True)
+class Audit:
+    """What one pass over a text matrix has seen: lines under the header, their characters, defects, and an order-free digest."""
+
+    lines: int
+    characters: int
+    ragged: int
+    bad_tokens: int
+    digest: str
+
+    def problems(self, expected: dict[str, object]) -> list[str]:
+        """Every difference from what is expected, and every defect."""
+        found = [f"{k}: {getattr(self, k)}, expected {v}" for k, v in expected.items() if getattr(self, k) != v]
+        return found + [f"{n} {what}" for what, n in (("ragged lines", self.ragged), ("bad tokens", self.bad_tokens)) if n]
+
+
+def audited_scan(spark: SparkSession, path: str, targets: DataFrame, into: str, sep: str = "\t") -> tuple[DataFrame, Audit]:
+    """Lines of a wide text matrix whose key is in ``targets`` (column key), kept in one pass that also audits every line.
+
+    The pass writes key, cells and the key's number of lines to ``into``; counts
+    of lines, characters, ragged lines and bad tokens and a digest (the sum of
+    the lines' hashes, whatever their order and file) are observed on the way,
+    before the filter.  The header's line may stand in every file.
+    """
+    header = matrix_header(spark, path, sep)
+    width = len(header)
+    lines = spark.read.text(path).filter(F.col("value") != sep.join(header))
+    cells = F.split("value", sep, -1)
+    bad = F.size(F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: token_to_double(c)["error"]))
+    metrics = [
+        F.count(F.lit(1)).alias("lines"),
+        F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("characters"),
+        F.count_if(F.size(cells) != width).alias("ragged"),
+        F.coalesce(F.sum(bad), F.lit(0)).alias("bad_tokens"),
+        F.coalesce(F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"),
+    ]
+    seen = Observation("audit")
+    observed = lines.observe(seen, *metrics)
+    keyed = observed.select(F.substring_index("value", sep, 1).alias("key"), cells.alias("cells"))
+    keyed.join(targets.select("key").distinct(), "key", "left_semi").write.parquet(into)
+    kept = spark.read.parquet(into)
+    twice = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"))
+    try:
+        found = seen.get
+    except Py4JJavaError:  # a scan that no target can match is left out by the planner: the audit is then a pass of its own
+        found = lines.agg(*metrics).first().asDict()
+    return kept.join(twice, "key"), Audit(**found)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a given schema; anything else in them, NaN included, raises when it is read."""
+    options = {"mode": "FAILFAST", "allowNonNumericNumbers": "false"}
+    return spark.read.schema(schema).options(**options).json(path)
+
+
 def class_means(long: DataFrame, classes: DataFrame, value: str = "beta") -> DataFrame:
     """Mean and count of each sample's probes by class (probe, class), in one pass over the matrix."""
     return long.join(F.broadcast(classes), "probe").groupBy("sample", "class").agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
@@ -144,9 +201,10 @@ def read_zip_members(spark: SparkSession, path: str, wanted: list[str], sep: str
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes and sha256 of every file at ``path``."""
+    """name (the path below ``path``), bytes and sha256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    below = "/" + path.rstrip("/").rsplit("/", 1)[-1] + "/"
+    return files.select(F.substring_index("path", below, -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest_differences(found: DataFrame, expected: DataFrame) -> DataFrame:
@@ -154,3 +212,20 @@ def manifest_differences(found: DataFrame, expected: DataFrame) -> DataFrame:
     both = found.join(expected.select("name", F.col("sha256").alias("wanted")), "name", "full_outer")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("wanted").isNull(), "unlisted").when(F.col("sha256") != F.col("wanted"), "changed")
     return both.select("name", problem.alias("problem")).filter("problem is not null")
+
+
+class SourceGuard:
+    """Holds what files were before a run; ``verify`` raises if any has changed, gone or come since."""
+
+    def __init__(self, spark: SparkSession, path: str, into: str):
+        self._spark, self._path = spark, path
+        # Written out: a lazy manifest would be taken after the run.
+        file_manifest(spark, path).write.parquet(into)
+        self._before = spark.read.parquet(into)
+
+    def differences(self) -> DataFrame:
+        return manifest_differences(file_manifest(self._spark, self._path), self._before)
+
+    def verify(self) -> None:
+        if found := self.differences().orderBy("name").head(5):
+            raise ContractError(f"sources changed: {[(r.name, r.problem) for r in found]}")

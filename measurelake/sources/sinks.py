@@ -7,9 +7,11 @@ import hashlib
 import json
 import os
 import shutil
+import tempfile
+import uuid
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..contracts import ContractError
 
@@ -41,6 +43,26 @@ def to_markdown(df: DataFrame, order: list[str], limit: int = 1000) -> str:
     return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows)]) + "\n"
 
 
+def markdown_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """``order`` and line: the rows of a markdown table of any size, built where the rows are; the header is `markdown_header`."""
+    cell = lambda c: F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    return df.select(*order, F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |")).alias("line"))
+
+
+def markdown_header(df: DataFrame) -> str:
+    return "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the one that driver and executors share; a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="measurelake-")
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def write_json(value: dict, path: str) -> None:
     """JSON without NaN or infinities, written whole or not at all."""
     temporary = f"{path}.tmp"

@@ -64,6 +64,53 @@ def test_zip_annotation_manifest(spark, tmp_path):
     assert {tuple(r) for r in readers.manifest_differences(found, expected).collect()} == {("x", "changed"), ("y", "missing")}
 
 
+def test_audited_scan(spark, tmp_path):
+    """Every defect is counted over all lines, kept or not; the digest does not depend on order or files."""
+    lines = ["p\ta\tb", "k1\t0.1\tNA", "k2\t0.2", "k1\t0.3\tx", "k3\tInf\t1"]
+    (tmp_path / "m").mkdir()
+    write(tmp_path / "m" / "1.tsv", "\n".join(lines) + "\n")
+    targets = spark.createDataFrame([("k1",), ("k9",), ("k1",)], "key string")
+    kept, audit = readers.audited_scan(spark, str(tmp_path / "m"), targets, str(tmp_path / "kept"))
+    assert sorted((r.key, tuple(r.cells), r.n_lines) for r in kept.collect()) == [("k1", ("k1", "0.1", "NA"), 2), ("k1", ("k1", "0.3", "x"), 2)]
+    assert (audit.lines, audit.characters, audit.ragged, audit.bad_tokens) == (4, sum(map(len, lines[1:])), 1, 2)
+    assert len(audit.problems({"lines": 5, "digest": audit.digest})) == 3
+    (tmp_path / "n").mkdir()
+    write(tmp_path / "n" / "1.tsv", "\n".join([lines[0], lines[4], lines[2]]) + "\n")
+    write(tmp_path / "n" / "2.tsv", "\n".join([lines[0], lines[3], lines[1]]) + "\n")
+    again = readers.audited_scan(spark, str(tmp_path / "n"), targets, str(tmp_path / "kept2"))[1]
+    assert again == audit
+    write(tmp_path / "n" / "2.tsv", "\n".join([lines[0], lines[3], lines[3]]) + "\n")
+    assert readers.audited_scan(spark, str(tmp_path / "n"), targets, str(tmp_path / "kept3"))[1].digest != audit.digest
+    write(tmp_path / "e.tsv", "p\ta\n")
+    empty, seen = readers.audited_scan(spark, str(tmp_path / "e.tsv"), targets, str(tmp_path / "kept4"))
+    assert empty.count() == 0 and seen == readers.Audit(0, 0, 0, 0, "0")
+    none, seen = readers.audited_scan(spark, str(tmp_path / "m"), targets.limit(0), str(tmp_path / "kept5"))
+    assert none.count() == 0 and seen == audit
+
+
+def test_source_guard(spark, tmp_path):
+    """Files of one name in two folders are two files."""
+    for folder in ("a", "b"):
+        (tmp_path / "src" / folder).mkdir(parents=True)
+        write(tmp_path / "src" / folder / "x.txt", folder)
+    guard = readers.SourceGuard(spark, str(tmp_path / "src"), str(tmp_path / "manifest"))
+    guard.verify()
+    write(tmp_path / "src" / "b" / "x.txt", "changed")
+    write(tmp_path / "src" / "b" / "y.txt", "new")
+    assert {tuple(r) for r in guard.differences().collect()} == {("b/x.txt", "changed"), ("b/y.txt", "unlisted")}
+    with pytest.raises(contracts.ContractError):
+        guard.verify()
+
+
+def test_json_is_strict(spark, tmp_path):
+    write(tmp_path / "a.json", '{"x": 1.5}\n{"x": null}\n')
+    assert [r.x for r in readers.read_json(spark, str(tmp_path / "a.json"), "x double").collect()] == [1.5, None]
+    for bad in ("NaN", '"one"', "["):
+        write(tmp_path / "b.json", f'{{"x": {bad}}}\n')
+        with pytest.raises(Exception):
+            readers.read_json(spark, str(tmp_path / "b.json"), "x double").collect()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, 0.5), (1, None)], "a int, b double")
     assert sinks.write_small_gzip(df, str(tmp_path / "t.gz"), ["a"]) == sinks.write_small_gzip(df, str(tmp_path / "u.gz"), ["a"])
