@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalar import counter_random
-from ..operators import grouped, ranking, structure, survival as sv
+from ..operators import grouped, matching, ranking, structure, survival as sv
 from .frames import SURV, rounded, survival, table
 from .survival_queries import _UNIT, _km_sql, _ranks
 
@@ -145,7 +145,66 @@ def ipcw_calibration(spark: SparkSession, d: str) -> DataFrame:
     return grouped.calibration(levels.withColumn("score", F.col("score").cast("double")), ["fold"], "y", "score", "w")
 
 
+RUN, APART, CALIPERS_SD = 5, 40, [1.5, 2.5]
+FIXED = [f"Brand#{i}" for i in range(1, 6)]
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
+_SIZE, _PRICE = "p_size / 50.0", "p_retailprice / 1000.0"
+#: Fifteen features with the geometry that every run has: means of these, deviations of the first two.
+MEANS = {"size": _SIZE, "price": _PRICE} | {t.lower(): f"CAST(p_type = '{t}' AS INTEGER)" for t in _TYPES}
+MEANS |= {"product": f"{_SIZE} * {_PRICE}", "small": "CAST(p_name LIKE 'small%' AS INTEGER)", "red": "CAST(p_name LIKE 'red%' AS INTEGER)"}
+SPREADS = {"size": _SIZE, "price": _PRICE}
+WIDTH = len(MEANS) + len(SPREADS) + 3
+
+
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Slots (the first run of each fixed brand), the runs of all other brands, and the features' scales over all runs."""
+    cast = lambda given: {k: F.expr(e) for k, e in given.items()}
+    runs = matching.run_features(table(spark, d, "part"), "p_brand", "p_partkey", RUN, cast(MEANS), cast(SPREADS), APART)
+    fixed = F.col("p_brand").isin(FIXED)
+    slots = ranking.top_k(runs.filter(fixed), "p_brand", [F.col("start")], 1).select(F.col("p_brand").alias("slot"), "features", "clusters")
+    return slots, runs.filter(~fixed), matching.scales(runs, WIDTH)
+
+
+def _controls(slots: DataFrame, runs: DataFrame, scale: list[float]) -> DataFrame:
+    return matching.caliper_matches(slots, runs, "p_brand", scale, CALIPERS_SD, lambda f: F.get(f, 0) >= 0.10)
+
+
+def matched_controls(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty nearest control runs of each slot over fifteen features; tier 3 is without a caliper."""
+    tier = F.when(F.col("tier") == CALIPERS_SD[0], 1).when(F.col("tier") == CALIPERS_SD[1], 2).otherwise(3)
+    return _controls(*_runs(spark, d)).select("slot", tier.alias("tier"), "n_groups", "rank", "p_brand", "start", "distance")
+
+
+def matched_balance(spark: SparkSession, d: str) -> DataFrame:
+    slots, runs, scale = _runs(spark, d)
+    return rounded(matching.feature_balance(_controls(slots, runs, scale), slots, runs, "p_brand", scale), "slot_value", "control_mean", "difference")
+
+
+_F = [f"f{i}" for i in range(WIDTH)]
+_AVG = [f"avg({e}) OVER r" for e in MEANS.values()] + [f"stddev_pop({e}) OVER r" for e in SPREADS.values()]
+_GEO = ["p_partkey - first_value(p_partkey) OVER r", "median(gap) OVER q", "max(gap) OVER q"]
+_DIFF = [f"(u.{f} - s.{f}) / c.s{i}" for i, f in enumerate(_F)]
+_RUNS = f"""p AS (SELECT *, p_partkey - lag(p_partkey) OVER w AS gap, row_number() OVER w AS i FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+a AS (SELECT p_brand, i, first_value(p_partkey) OVER r AS start, {", ".join(f"{e} AS {f}" for e, f in zip(_AVG + [f"ln(greatest({g}, 1))" for g in _GEO], _F))}, 1 + count(*) FILTER (gap > {APART}) OVER q AS clusters FROM p
+WINDOW r AS (PARTITION BY p_brand ORDER BY p_partkey ROWS {RUN - 1} PRECEDING), q AS (PARTITION BY p_brand ORDER BY p_partkey ROWS {RUN - 2} PRECEDING)),
+u AS (SELECT * FROM a WHERE i >= {RUN}), c AS (SELECT {", ".join(f"coalesce(nullif(stddev_pop({f}), 0), 1) AS s{i}" for i, f in enumerate(_F))} FROM u),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY start) AS k FROM u WHERE p_brand IN ({", ".join(repr(b) for b in FIXED)})) WHERE k = 1),
+m AS (SELECT s.p_brand AS slot, u.p_brand, u.start, round(sqrt(({" + ".join(f"pow({x}, 2)" for x in _DIFF)}) / {WIDTH}), 9) AS distance, greatest({", ".join(f"abs({x})" for x in _DIFF)}) AS far
+FROM s, u, c WHERE u.p_brand NOT IN ({", ".join(repr(b) for b in FIXED)}) AND u.clusters = s.clusters AND u.f0 >= 0.10),
+w AS (SELECT slot, tier, p_brand, min({{'distance': distance, 'start': start}}) AS b FROM m, (VALUES (1, {CALIPERS_SD[0]}), (2, {CALIPERS_SD[1]}), (3, 1e300)) t(tier, width) WHERE far <= width + 1e-12 GROUP BY ALL),
+n AS (SELECT slot, tier, count(*) AS n_groups FROM w GROUP BY ALL HAVING count(*) >= 10 OR tier = 3),
+v AS (SELECT w.slot, w.tier, n_groups, p_brand, b.start AS start, b.distance AS distance FROM w JOIN (SELECT slot, min(tier) AS tier FROM n GROUP BY 1) USING (slot, tier) JOIN n USING (slot, tier)),
+k AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY distance, p_brand, start) AS rank FROM v)"""
+CONTROLS = f"WITH {_RUNS} SELECT slot, tier, n_groups, CAST(rank AS INTEGER) AS rank, p_brand, start, distance FROM k WHERE rank <= 20"
+_EACH = "unnest(range({n})) AS feature, unnest([{x}]) AS {name}"
+BALANCE_15 = f"""WITH {_RUNS}, e AS (SELECT slot, {_EACH.format(n=WIDTH, x=", ".join("u." + f for f in _F), name="v")} FROM k JOIN u USING (p_brand, start) WHERE rank <= 20),
+o AS (SELECT p_brand AS slot, {_EACH.format(n=WIDTH, x=", ".join(_F), name="slot_value")} FROM s), z AS (SELECT {_EACH.format(n=WIDTH, x=", ".join(f"s{i}" for i in range(WIDTH)), name="sd")} FROM c),
+g AS (SELECT slot, feature, slot_value, avg(v) AS control_mean, any_value(sd) AS sd FROM e JOIN o USING (slot, feature) JOIN z USING (feature) GROUP BY ALL)
+SELECT slot, CAST(feature AS INTEGER) AS feature, round(slot_value, 6) + 0.0 AS slot_value, round(control_mean, 6) + 0.0 AS control_mean, round((slot_value - control_mean) / sd, 6) + 0.0 AS difference FROM g"""
+
 QUERIES = {
+    "matched_controls": (matched_controls, CONTROLS),
+    "matched_balance": (matched_balance, BALANCE_15),
     "caliper_tiers": (caliper_tiers, CALIPERS),
     "frozen_sets": (frozen_sets, FROZEN),
     "set_balance": (set_balance, BALANCE),
