@@ -71,15 +71,6 @@ def poisson_mean(values: DataFrame, by: list[str], unit: str, value: str, draws:
     )
 
 
-def weighted_ratio(weights: DataFrame, kernel: DataFrame, by: list[str]) -> DataFrame:
-    """w'Nw / w'Dw per draw from pair kernels (i, j, num, den) and unit weights (draw, unit, weight)."""
-    a = weights.select(*by, "draw", F.col("unit").alias("i"), F.col("weight").alias("wi"))
-    b = weights.select(*by, "draw", F.col("unit").alias("j"), F.col("weight").alias("wj"))
-    joined = kernel.join(a, [*by, "i"]).join(b, [*by, "draw", "j"])
-    w = F.col("wi") * F.col("wj")
-    return joined.groupBy(*by, "draw").agg((F.sum(w * F.col("num")) / F.sum(w * F.col("den"))).alias("ratio"))
-
-
 def sign_flip(deltas: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int) -> DataFrame:
     """Add-one permutation p of the absolute mean under within-unit label flips."""
     flips = deltas.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .concordance import dominated
+from .ranking import cumulated, matched
+
 FLOOR = 0.1
 
 
@@ -49,7 +52,7 @@ def concordance(df: DataFrame, by: list[str], ipcw: bool, horizon: float | None
     """Harrell's C, or Uno's with ``ipcw``: per ``by`` numerator, denominator and their ratio.
 
     A pair counts if the earlier one is an event and the times differ; the
-    higher score should fail first, ties count half.  With ``ipcw`` an event
+    higher score should fail first, ties count half (`concordance.dominated`).  With ``ipcw`` an event
     whose censoring weight is at or below ``floor`` makes the result null.
     """
     levels = df.groupBy(*by, "t", "event", "score").agg(F.sum("n").alias("n"))
@@ -58,15 +61,19 @@ def concordance(df: DataFrame, by: list[str], ipcw: bool, horizon: float | None
         early = early.filter(F.col("t") < horizon)
     weight = 1 / (F.col("g_before") * F.col("g_before")) if ipcw else F.lit(1.0)
     bad = (F.col("g_before") <= floor) if ipcw else F.lit(False)
-    early = early.select(*by, F.col("t").alias("t1"), F.col("score").alias("s1"), (F.col("n") * weight).alias("w"), bad.alias("bad"))
-    late = levels.groupBy(*by, F.col("t").alias("t2"), F.col("score").alias("s2")).agg(F.sum("n").alias("m"))
-    pairs = early.join(late, by).filter("t1 < t2")
-    won = F.when(F.col("s1") > F.col("s2"), 1.0).when(F.col("s1") == F.col("s2"), 0.5).otherwise(0.0)
-    out = pairs.groupBy(*by).agg(
-        F.sum(F.col("w") * F.col("m") * won).alias("numerator"),
-        F.sum(F.col("w") * F.col("m")).alias("denominator"),
-        F.max("bad").alias("bad"),
-    )
+    # Early rows fail, late ones are outlived; no pair is formed, so continuous scores cost no more than their digits.
+    early = early.select(*by, "t", "score", (F.col("n") * weight).cast("double").alias("w"), F.lit(0).cast("long").alias("m"), bad.alias("bad"))
+    late = levels.select(*by, "t", "score", F.lit(0.0).alias("w"), F.col("n").alias("m"), F.lit(None).cast("boolean").alias("bad"))
+    both = early.unionByName(late).groupBy(*by, "t", "score").agg(F.sum("w").alias("w"), F.sum("m").alias("m"), F.max("bad").alias("bad"))
+    won = dominated(both.withColumn("lower", -F.col("score")), by, "t", "lower", "w", "m")
+    outlived = lambda keys: cumulated(both.groupBy(*keys, "t").agg(F.sum("w").alias("w"), F.sum("m").alias("m")), keys, "t", ["w"])
+    tied = outlived([*by, "score"]).groupBy(*by).agg(F.sum(F.col("m") * F.col("w__below")).alias("tied"))
+    whole = outlived(by).groupBy(*by).agg(F.sum(F.col("m") * F.col("w__below")).alias("denominator"))
+    # An event without anyone who outlives it is in no pair, whatever its weight.
+    last = both.filter("m > 0").groupBy(*by).agg(F.max("t").alias("last"))
+    worst = matched(both, last, by).filter("t < last").groupBy(*by).agg(F.coalesce(F.max("bad"), F.lit(False)).alias("bad"))
+    out = matched(matched(matched(whole, won, by), tied, by), worst, by).filter("denominator > 0")
+    out = out.withColumn("numerator", F.col("pairs") + F.col("tied") / 2)
     c = F.when(~F.col("bad"), F.col("numerator") / F.col("denominator"))
     return out.select(*by, F.when(~F.col("bad"), F.col("numerator")).alias("numerator"), F.when(~F.col("bad"), F.col("denominator")).alias("denominator"), c.alias("c_index"))
 

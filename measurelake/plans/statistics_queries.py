@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
-from ..operators import inference, ranking, relational, resampling
+from ..operators import concordance, inference, ranking, relational, resampling
 from .frames import DELTA, PROBES, SPEC, deltas, rounded, specimens, table
 
 T_TAIL = """CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (atan(abs(t) / sqrt(df)) + sin(atan(abs(t) / sqrt(df))) * coalesce(list_sum(list_transform(range(1, (df - 1) // 2 + 1),
@@ -262,13 +262,9 @@ def cluster_weights_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Concordance of the first two probes' differences, bootstrapped over patients of each cohort."""
     wide = deltas(spark, d).groupBy("cohort", "patient").agg(F.max(F.when(F.col("probe") == 0, F.col("delta"))).alias("x"), F.max(F.when(F.col("probe") == 1, F.col("delta"))).alias("y")).na.drop()
     weights = resampling.bootstrap_weights(wide.select("cohort", "patient"), ["cohort"], "patient", 20, 5)
-    a = wide.select("cohort", F.col("patient").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-    b = wide.select("cohort", F.col("patient").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    pairs = a.join(b, "cohort").filter("i < j")
-    same = (F.col("xi") - F.col("xj")) * (F.col("yi") - F.col("yj")) > 0
-    kernel = pairs.select("cohort", "i", "j", same.cast("double").alias("num"), F.lit(1.0).alias("den"))
-    out = resampling.weighted_ratio(weights.withColumnRenamed("patient", "unit"), kernel, ["cohort"])
-    return rounded(out, "ratio")
+    drawn = weights.join(wide, ["cohort", "patient"])
+    out = concordance.weighted_concordance(drawn, ["cohort", "draw"], "x", "y", "weight")
+    return rounded(out.filter(F.col("ratio").isNotNull()).select("cohort", "draw", "ratio"), "ratio")
 
 
 RATIO = f"""WITH {SPEC}, {DELTA}, w AS (SELECT cohort, patient, max(CASE WHEN probe = 0 THEN delta END) AS x, max(CASE WHEN probe = 1 THEN delta END) AS y FROM delta GROUP BY 1, 2),
