@@ -82,7 +82,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     real = pc.not_equal(flat, "")
     coded = flat.filter(real).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
     for i in np.flatnonzero(pc.binary_length(coded.dictionary).to_numpy() > MAX_WORD_BYTES):
         words[i] = _DIGEST + xxhash.xxh3_128_hexdigest(words[i].encode())
     return owner[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), words
