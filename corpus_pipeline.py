@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; between stages the documents are written as Parquet and read again.  All
 stages but the last return the columns of ``documents``.
+
+Defined cases of every stage: empty tables give empty tables with the same
+columns; texts of any length are judged whole; further columns, whatever their
+names, stay as they are (the last stage does not read them).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str, list[Column]]:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is recognised with some confidence.
 
-    Null texts and texts without a letter go, whatever their other columns hold.
+    Null texts and texts without a letter go, whatever their other columns hold; repeated rows are judged alike.
     """
     names = []
     for wanted in ("lang_found", "lang_score"):
@@ -48,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a window of a benchmark item; null texts hold none."""
+    """Drop the documents that hold a window of a benchmark item; null texts hold none, repeated rows go or stay together."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, key, columns = _numbered(docs)
     found = decontaminate.contamination(rows, benchmark, id_col=key).filter("contaminated")
@@ -58,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and the terms that disclose it by their kinds; texts without any stay as they are.
 
-    A column n_chars follows the text; it may be missing.
+    A column n_chars follows the text; it may be missing.  Null texts stay null; repeated rows are changed alike.
     """
     rows, key, _ = _numbered(docs)
     found = pii.find_spans(rows, id_col=key).filter("size(spans) > 0")
@@ -76,7 +80,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents into training sequences; null texts are empty ones."""
+    """Pack the documents into training sequences; null texts are empty ones, repeated rows are packed once each."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
