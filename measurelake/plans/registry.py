@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import battery_queries, contrast_queries, further_queries, matching_queries, model_queries, recurrence_queries, relational_queries, source_queries, statistics_queries, survival_queries
+from . import battery_queries, contrast_queries, further_queries, gate_queries, matching_queries, model_queries, recurrence_queries, relational_queries, source_queries, statistics_queries, survival_queries
 
-_MODULES = (relational_queries, statistics_queries, survival_queries, model_queries, further_queries, matching_queries, contrast_queries, recurrence_queries, battery_queries, source_queries)
+_MODULES = (relational_queries, statistics_queries, survival_queries, model_queries, further_queries, matching_queries, contrast_queries, recurrence_queries, battery_queries, source_queries, gate_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
