@@ -10,6 +10,7 @@ from .frames import DELTA, PROBES, SPEC, deltas, rounded, specimens, table
 from .further_queries import CONTRASTS
 from .statistics_queries import FOLDS, KRUSKAL, MWU, _effects, _paired, patient_kfolds
 
+#: Columns of the transposed table.
 COHORTS = 5
 #: Mean normal value over which a patient is left out of the second scenario.
 DISCORDANT = 0.15
@@ -35,18 +36,23 @@ def _r(*columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
 
 
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    """Every cohort of the table with every planned probe."""
+    probes = spark.range(PROBES).select(F.col("id").cast("int").alias("probe"))
+    return specimens(spark, d).select("cohort").distinct().crossJoin(F.broadcast(probes))  # a row a planned probe
+
+
 def contrast_engine(spark: SparkSession, d: str) -> DataFrame:
     """Every planned cohort, contrast and probe: method, estimate, p, and q over the contrast's planned rows."""
     plan = F.explode(F.array(*[F.struct(F.lit(h).alias("high"), F.lit(low).alias("low")) for h, low in CONTRASTS])).alias("c")
-    planned = spark.range(COHORTS * PROBES).select((F.col("id") % COHORTS).alias("cohort"), F.floor(F.col("id") / COHORTS).cast("int").alias("probe"), plan)
-    planned = planned.select("cohort", "probe", "c.*")
+    planned = _registry(spark, d).select("cohort", "probe", plan).select("cohort", "probe", "c.*")
     out = contrasts.contrast_rows(specimens(spark, d), planned, CONTRASTS, "cohort", "patient", "tissue", "probe", "beta")
     return rounded(out, "estimate", "se", "statistic", "df", "p", "p_for_bh", "q")
 
 
 #: The clustered errors from residuals summed by patient, not from the sums the query uses.
 ENGINE = f"""WITH {SPEC}, s AS (SELECT cohort, patient, tissue, probe, beta FROM spec WHERE beta IS NOT NULL), c(high, low) AS (VALUES {', '.join(map(str, CONTRASTS))}),
-pl AS (SELECT CAST(x AS BIGINT) AS cohort, CAST(p AS INTEGER) AS probe, high, low FROM range({COHORTS}) a(x), range({PROBES}) b(p), c),
+pl AS (SELECT cohort, CAST(p AS INTEGER) AS probe, high, low FROM (SELECT DISTINCT cohort FROM spec), range({PROBES}) b(p), c),
 u AS (SELECT cohort, probe, high, low, patient, max(beta) FILTER (tissue = high) AS a, max(beta) FILTER (tissue = low) AS b FROM s JOIN c ON tissue IN (high, low) GROUP BY ALL),
 sh AS (SELECT cohort, high, low, count(*) AS n_both FROM (SELECT cohort, high, low, patient FROM s JOIN c ON tissue IN (high, low) GROUP BY ALL HAVING count(DISTINCT tissue) = 2) GROUP BY ALL),
 m AS (SELECT cohort, probe, high, low, count(a) AS na, count(b) AS nb, count(a - b) AS k, count(*) AS g, avg(a) AS ma, avg(b) AS mb, var_samp(a) / count(a) AS xa, var_samp(b) / count(b) AS xb, avg(a - b) AS md, stddev_samp(a - b) AS sd FROM u GROUP BY ALL),
@@ -174,7 +180,8 @@ def frozen_transfer(spark: SparkSession, d: str) -> DataFrame:
     """
     s = specimens(spark, d).filter("tissue in ('T', 'N') and beta is not null").select("cohort", "patient", "tissue", "probe", "beta")
     single = F.array(F.col("cohort").cast("string"))
-    left_out = F.transform(F.filter(F.sequence(F.lit(0), F.lit(COHORTS - 1)), lambda c: c != F.col("cohort")), lambda c: F.concat(F.lit("all but "), c.cast("string")))
+    cohorts = F.array(*[F.lit(r["cohort"]) for r in s.select("cohort").distinct().collect()]).cast("array<long>")  # cohorts are studies: few
+    left_out = F.transform(F.filter(cohorts, lambda c: c != F.col("cohort")), lambda c: F.concat(F.lit("all but "), c.cast("string")))
     arm = lambda t: F.avg(F.when(F.col("tissue") == t, F.col("beta")))
     model = s.withColumn("train", F.explode(F.concat(single, left_out))).groupBy("train", "probe").agg(
         ((arm("T") - arm("N")) / F.var_samp("beta")).alias("w"), F.avg("beta").alias("m")
@@ -188,7 +195,7 @@ def frozen_transfer(spark: SparkSession, d: str) -> DataFrame:
 
 
 TRANSFER = f"""WITH {SPEC}, s AS (SELECT cohort, patient, tissue, probe, beta FROM spec WHERE tissue IN ('T', 'N') AND beta IS NOT NULL),
-t AS (SELECT CAST(cohort AS VARCHAR) AS train, * FROM s UNION ALL SELECT 'all but ' || x, s.* FROM s, range({COHORTS}) r(x) WHERE x <> cohort),
+t AS (SELECT CAST(cohort AS VARCHAR) AS train, * FROM s UNION ALL SELECT 'all but ' || x, s.* FROM s, (SELECT DISTINCT cohort AS x FROM s) WHERE x <> cohort),
 m AS (SELECT train, probe, (avg(beta) FILTER (tissue = 'T') - avg(beta) FILTER (tissue = 'N')) / var_samp(beta) AS w, avg(beta) AS m FROM t GROUP BY 1, 2),
 c AS (SELECT train, cohort, patient, tissue, round(sum(w * (beta - m)), 9) AS score FROM s JOIN m USING (probe)
 WHERE train = 'all but ' || cohort OR (train NOT LIKE 'all%' AND train <> CAST(cohort AS VARCHAR)) GROUP BY ALL),
@@ -241,13 +248,12 @@ TRANSPOSED = f"""WITH {SPEC} SELECT CAST(probe AS VARCHAR) AS probe, {', '.join(
 
 def registry_right_join(spark: SparkSession, d: str) -> DataFrame:
     """Effects joined onto the registry from the right: every planned probe in every cohort stays."""
-    registry = spark.range(COHORTS * PROBES).select((F.col("id") % COHORTS).alias("cohort"), F.floor(F.col("id") / COHORTS).cast("int").alias("probe"))
     found = _effects(spark, d, ["cohort", "probe"]).select("cohort", "probe", "n", "mean")
-    return rounded(found.join(registry, ["cohort", "probe"], "right"), "mean")
+    return rounded(found.join(_registry(spark, d), ["cohort", "probe"], "right"), "mean")
 
 
 RIGHT_JOIN = f"""WITH {SPEC}, {DELTA}, e AS (SELECT cohort, probe, count(*) AS n, avg(delta * 100.0) AS mean FROM delta GROUP BY 1, 2)
-SELECT r.cohort, r.probe, n, round(mean, 6) + 0.0 AS mean FROM e RIGHT JOIN (SELECT x AS cohort, CAST(y AS INTEGER) AS probe FROM range({COHORTS}) a(x), range({PROBES}) b(y)) r ON e.cohort = r.cohort AND e.probe = r.probe"""
+SELECT r.cohort, r.probe, n, round(mean, 6) + 0.0 AS mean FROM e RIGHT JOIN (SELECT cohort, CAST(y AS INTEGER) AS probe FROM (SELECT DISTINCT cohort FROM spec), range({PROBES}) b(y)) r ON e.cohort = r.cohort AND e.probe = r.probe"""
 
 
 def poisson_bootstrap(spark: SparkSession, d: str) -> DataFrame:

@@ -73,7 +73,7 @@ def _sets(spark: SparkSession, d: str, n: int = SETS) -> DataFrame:
         found = ids.agg(F.count("set_id").alias("n"), F.max("set_id").alias("last")).first()
         if found["n"] >= n or most >= 256 * n:
             break
-    if 0 < found["n"] < n:
+    if found["n"] < n:
         raise ValueError(f"{found['n']} of {most} candidate sets were accepted, {n} are wanted")
     kept = accepted.filter(F.col("set_id") <= F.lit(found["last"]))
     return kept.select("set_id", "slot", "p_partkey", "p_brand", "a", "b", "distance")
