@@ -14,10 +14,16 @@ def collapse_replicates(df: DataFrame, keys: list[str], value: str, guard: list[
 
 
 def paired_differences(df: DataFrame, keys: list[str], arm: str, value: str, high: str, low: str) -> DataFrame:
-    """high - low of every key that has both arms, by one aggregation and no self-join."""
+    """high - low of every verified pair, by one aggregation and no self-join.
+
+    A key is verified if it has exactly one row of each arm (`verify_pairs`); with a
+    second one there is no telling which of them is meant, so it is no pair.
+    """
     pick = lambda level: F.max(F.when(F.col(arm) == level, F.col(value)))
-    both = df.filter(F.col(arm).isin(high, low)).groupBy(*keys).agg(pick(high).alias("high"), pick(low).alias("low"))
-    return both.filter("high is not null and low is not null").withColumn("delta", F.col("high") - F.col("low"))
+    n = lambda level: F.count_if(F.col(arm) == level)
+    both = df.filter(F.col(arm).isin(high, low)).groupBy(*keys).agg(pick(high).alias("high"), pick(low).alias("low"), n(high).alias("__h"), n(low).alias("__l"))
+    verified = both.filter("__h = 1 AND __l = 1 AND high IS NOT NULL AND low IS NOT NULL").drop("__h", "__l")
+    return verified.withColumn("delta", F.col("high") - F.col("low"))
 
 
 def verify_pairs(samples: DataFrame, keys: list[str], arm: str, high: str, low: str) -> DataFrame:
@@ -81,10 +87,14 @@ def coverage(measured: DataFrame, registry: DataFrame, keys: list[str], value: s
     )
 
 
-def one_hot(df: DataFrame, column: str, prefix: str, levels: list[str]) -> DataFrame:
-    """Indicator columns of sorted levels, the first dropped."""
+def one_hot(df: DataFrame, column: str, prefix: str, levels: list[str], drop_constants: bool = False) -> DataFrame:
+    """Indicator columns of sorted levels, the first dropped; without those that are the same in all rows if wanted."""
     flags = {f"{prefix}_{v}": F.when(F.col(column) == v, 1).otherwise(0) for v in sorted(levels)[1:]}
-    return df.withColumns(flags)
+    out = df.withColumns(flags)
+    if drop_constants and flags:
+        ends = out.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in flags]).first()  # two numbers a level
+        out = out.drop(*[c for c in flags if ends[c][0] == ends[c][1]])
+    return out
 
 
 def all_subsets(spark, names: list[str]) -> DataFrame:

@@ -186,7 +186,7 @@ def one_hot_design(spark: SparkSession, d: str) -> DataFrame:
     levels = [r[0] for r in parts.select("p_type").distinct().orderBy("p_type").limit(1001).collect()]
     if len(levels) > 1000:
         raise ValueError("over 1,000 levels: a column each is no design matrix")
-    return relational.one_hot(parts, "p_type", "type", levels).drop("p_type")
+    return relational.one_hot(parts, "p_type", "type", levels, drop_constants=True).drop("p_type")
 
 
 ONE_HOT = """SELECT p_partkey, """ + ", ".join(

@@ -146,6 +146,20 @@ def test_empty_tables(spark):
     assert contracts.key_difference(empty, empty, ["patient"]).count() == 0
 
 
+def test_pairs_are_verified(spark):
+    """A second specimen of an arm is no pair, whichever value is larger."""
+    df = spark.createDataFrame([(1, "T", 0.5), (1, "N", 0.2), (2, "T", 0.5), (2, "T", 0.4), (2, "N", 0.1), (3, "T", 0.5), (3, "N", None), (4, "T", 0.1)], "p int, t string, v double")
+    got = relational.paired_differences(df, ["p"], "t", "v", "T", "N")
+    assert got.columns == ["p", "high", "low", "delta"] and [r.p for r in got.collect()] == [1]
+    assert {r.p for r in relational.verify_pairs(df, ["p"], "t", "T", "N").filter("pair_verified").collect()} == {1, 3}
+
+
+def test_one_hot_without_constants(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",)], "x string")
+    assert relational.one_hot(df, "x", "x", ["a", "b", "c"]).columns == ["x", "x_b", "x_c"]
+    assert relational.one_hot(df, "x", "x", ["a", "b", "c"], drop_constants=True).columns == ["x", "x_b"]
+
+
 def test_pair_repair(spark):
     df = spark.createDataFrame([("CC01",), ("NCC01",), ("CC02",)], "title string")
     got = {r.title: r.paired for r in relational.repair_pairs(df, "title", r"^CC(\d+)$", r"^NCC(\d+)$").collect()}
