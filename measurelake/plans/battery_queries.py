@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import battery, resampling
+from ..functions.tails import t_two_sided
+from ..operators import battery, ranking, resampling
 from ..operators.battery import GROUPS, RANKS, REGRESSION, REST, TWO_GROUPS, Planned
 from .contrast_queries import _r, _t_sql, _z_sql
-from .frames import SPEC, rounded, specimens, table
+from .frames import DELTA, SPEC, deltas, rounded, specimens, table
 
 PLAN = [
     Planned("building against machinery", "segment", TWO_GROUPS, "BUILDING", "MACHINERY"),
@@ -113,7 +114,43 @@ c AS (SELECT {_OWN}, dr, count(*) AS n, CASE WHEN var_pop(a) > 0 AND var_pop(b)
 i AS (SELECT {_OWN}, quantile_cont(rho, 0.025) AS low, quantile_cont(rho, 0.975) AS high FROM c WHERE dr >= 0 AND rho IS NOT NULL GROUP BY ALL)
 SELECT {_OWN}, n, {_r('rho', 'low', 'high')} FROM (SELECT * FROM c WHERE dr = -1 AND n >= {MIN_N}) LEFT JOIN i USING ({_OWN})"""
 
+def _probe_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of the first two probes of every patient who has both."""
+    pick = lambda p: F.max(F.when(F.col("probe") == p, F.col("delta")))
+    return deltas(spark, d).groupBy("cohort", "patient").agg(pick(0).alias("x"), pick(1).alias("y")).dropna()
+
+
+def spearman_p(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of two probes by cohort with its t p."""
+    rho = battery.rank_correlation(_probe_pair(spark, d), ["cohort"], "x", "y").filter("n >= 3")
+    t = F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
+    return rounded(rho.withColumn("df", (F.col("n") - 2).cast("double")).withColumn("p", t_two_sided(t, F.col("df"))), "rho", "p")
+
+
+def spearman_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Percentile interval of the rank correlation; every draw is ranked anew."""
+    pairs = _probe_pair(spark, d)
+    drawn = resampling.poisson_draws(pairs, ["cohort", "x", "y"], "patient", DRAWS, SEED)
+    each = battery.rank_correlation(drawn, ["cohort", "draw"], "x", "y", F.col("weight")).filter(F.col("rho").isNotNull())
+    valid = each.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_valid"))
+    interval = ranking.quantile_linear(each, ["cohort"], "rho", {"low": 0.025, "high": 0.975}).join(valid, "cohort")
+    return rounded(battery.rank_correlation(pairs, ["cohort"], "x", "y").join(interval, "cohort"), "rho", "low", "high")
+
+
+_PAIR = f"""{SPEC}, {DELTA}, p AS (SELECT a.cohort, a.patient, a.delta AS x, b.delta AS y FROM delta a JOIN delta b ON a.cohort = b.cohort AND a.patient = b.patient WHERE a.probe = 0 AND b.probe = 1)"""
+SPEARMAN_P = f"""WITH {_PAIR}, r AS (SELECT cohort, {_LEVELS.format(k='cohort', v='x')} AS a, {_LEVELS.format(k='cohort', v='y')} AS b FROM p),
+c AS (SELECT cohort, count(*) AS n, corr(a, b) AS rho, CAST(count(*) - 2 AS DOUBLE) AS df FROM r GROUP BY 1 HAVING count(*) >= 3), t AS (SELECT *, CASE WHEN abs(rho) < 1 THEN rho * sqrt((n - 2) / (1 - rho * rho)) END AS t FROM c)
+SELECT cohort, n, df, {_r('rho')}, round({_t_sql('t', 'df')}, 6) + 0.0 AS p FROM t"""
+SPEARMAN_BOOTSTRAP = f"""WITH {_PAIR}, h AS (SELECT p.*, dr, CAST('0x' || substr(md5('{SEED}|' || (dr // 4) || '|' || patient), 1 + 8 * (dr % 4), 8) AS BIGINT) AS h FROM p CROSS JOIN range({DRAWS}) r(dr)),
+w AS (SELECT cohort, x, y, dr, unnest(range({_weights()})) AS copy FROM h UNION ALL SELECT cohort, x, y, -1, 0 FROM p),
+r AS (SELECT cohort, dr, {_LEVELS.format(k='cohort, dr', v='x')} AS a, {_LEVELS.format(k='cohort, dr', v='y')} AS b FROM w),
+c AS (SELECT cohort, dr, count(*) AS n, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS rho FROM r GROUP BY ALL),
+i AS (SELECT cohort, count(*) AS n_valid, quantile_cont(rho, 0.025) AS low, quantile_cont(rho, 0.975) AS high FROM c WHERE dr >= 0 AND rho IS NOT NULL GROUP BY 1)
+SELECT cohort, n, n_valid, {_r('rho', 'low', 'high')} FROM (SELECT * FROM c WHERE dr = -1) JOIN i USING (cohort)"""
+
 QUERIES = {
     "axis_battery": (axis_battery, BATTERY),
     "axis_agreement": (axis_agreement, AGREEMENT),
+    "spearman_p": (spearman_p, SPEARMAN_P),
+    "spearman_bootstrap": (spearman_bootstrap, SPEARMAN_BOOTSTRAP),
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.tails import chi2_upper, normal_two_sided, t_two_sided
-from ..operators import compare, contrasts, inference, ranking, relational, resampling
+from ..operators import battery, compare, contrasts, inference, ranking, relational, resampling
 from .frames import DELTA, PROBES, SPEC, deltas, rounded, specimens, table
 from .further_queries import CONTRASTS
 from .statistics_queries import FOLDS, KRUSKAL, MWU, _effects, _paired, patient_kfolds
@@ -117,8 +117,7 @@ def spearman_family(spark: SparkSession, d: str) -> DataFrame:
     b = values.select("cohort", "patient", F.col("probe").alias("j"), F.col("delta").alias("y"))
     pairs = a.join(b, ["cohort", "patient"]).filter("i < j")
     own = ["cohort", "i", "j"]
-    ranked = pairs.withColumn("rx", ranking.midrank(F.col("x"), own)).withColumn("ry", ranking.midrank(F.col("y"), own))
-    rho = ranked.groupBy(*own).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rho = battery.rank_correlation(pairs, own, "x", "y")
     usable = (F.col("n") >= 5) & (F.abs("rho") < 1)
     t = F.when(usable, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
     family = F.when(F.floor(F.col("i") / 2) == F.floor(F.col("j") / 2), "within").otherwise("between")

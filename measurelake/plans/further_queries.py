@@ -194,10 +194,6 @@ q AS (SELECT fold, high, t, CAST(n_risk AS BIGINT) AS n_risk, CASE WHEN max(CAST
 SELECT fold, high, t, n_risk, round(surv, 6) + 0.0 AS surv FROM q WHERE t IN (12, 36, 60)"""
 
 
-def spearman_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return grouped.spearman_bootstrap(_wide(spark, d), ["cohort"], "patient", "f0", "f1", draws=200)
-
-
 def promoter_against_full(spark: SparkSession, d: str) -> DataFrame:
     """Two exposures against one outcome on the same complete cases."""
     wide = _wide(spark, d).dropna()
@@ -230,7 +226,6 @@ QUERIES = {
     "leave_own_group_score": (leave_own_group_score, LEAVE_OWN),
     "cutoff_stability": (cutoff_stability, STABILITY),
     "survival_strata": (survival_strata, STRATA),
-    "spearman_bootstrap": (spearman_bootstrap, None),
     "promoter_against_full": (promoter_against_full, None),
     "calibration": (calibration, None),
     "elastic_net_and_svm": (elastic_net_and_svm, None),

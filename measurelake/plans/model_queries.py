@@ -33,10 +33,6 @@ def partial_spearman(spark: SparkSession, d: str) -> DataFrame:
     return grouped.rank_correlation(_wide(spark, d), ["cohort"], "f0", "f1", ["f2", "f3"])
 
 
-def spearman_p(spark: SparkSession, d: str) -> DataFrame:
-    return grouped.rank_correlation(_wide(spark, d), ["cohort"], "f0", "f1")
-
-
 def bca_ci(spark: SparkSession, d: str) -> DataFrame:
     return grouped.paired_summary(deltas(spark, d), ["cohort", "probe"], "patient", "delta", draws=500)
 
@@ -139,7 +135,6 @@ QUERIES = {
     "cluster_ols": (cluster_ols, None),
     "ols_hc3": (ols_hc3, None),
     "partial_spearman": (partial_spearman, None),
-    "spearman_p": (spearman_p, None),
     "bca_ci": (bca_ci, None),
     "pc1_axis": (pc1_axis, None),
     "block_permutation": (block_permutation, None),
