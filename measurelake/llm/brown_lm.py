@@ -291,8 +291,11 @@ def place_frequent(docs: DataFrame, text_col: str, model: BrownModel, table: np.
             codes = np.concatenate([base + line[spot[asked] - 1], base + classes + line[spot[asked] + 1]])
             unique, n = np.unique(codes, return_counts=True)
             total[unique] += n
-        used = np.flatnonzero(total)
-        yield from _chunks({"pair": used, "n": total[used].astype(np.int64)})
+        step = 1 << 20  # piece by piece: the places of all counts would be larger than the counts
+        for a in range(0, len(total), step):
+            used = np.flatnonzero(total[a : a + step])
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array(used + a), pa.array(total[used + a].astype(np.int64))], ["pair", "n"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
