@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from .ranking import cumulated, matched
 
 
-def dominated(df: DataFrame, by: list[str], x: str, y: str, left: str, right: str) -> DataFrame:
-    """Per group the sum of left(a) * right(b) over all pairs of rows with x(a) < x(b) and y(a) < y(b).
+def dominated_sums(df: DataFrame, by: list[str], x: str, y: str, products: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per group, for each name, the sum of left(a) * right(b) over all pairs of rows with x(a) < x(b) and y(a) < y(b).
 
     The values of y are ranked; two ranks differ first at one binary digit, where
     the smaller has 0 and the larger 1, below equal leading digits.  So for every
@@ -21,12 +21,21 @@ def dominated(df: DataFrame, by: list[str], x: str, y: str, left: str, right: st
     ranks = cumulated(used.groupBy(*by, y).agg(F.lit(1).alias("n")), by, y, ["n"])
     ranks = ranks.select(*by, y, F.col("n__below").cast("long").alias("__y"), F.col("n__total").alias("__k"))
     digits = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2("__k")).cast("int") - 1, F.lit(0)))
-    sliced = matched(used, ranks, [*by, y]).select(*by, x, left, right, "__y", F.explode(digits).alias("__d"))
+    lefts, rights = (list(dict.fromkeys(p[i] for p in products.values())) for i in (0, 1))
+    sliced = matched(used, ranks, [*by, y]).select(*by, x, *dict.fromkeys([*lefts, *rights]), "__y", F.explode(digits).alias("__d"))
     one = F.expr("shiftright(__y, __d) & 1") == 1
     block = [*by, "__d", "__p"]
     blocks = sliced.withColumn("__p", F.expr("shiftright(shiftright(__y, __d), 1)"))
-    levels = blocks.groupBy(*block, x).agg(F.sum(F.when(one, 0).otherwise(F.col(left))).alias("__l"), F.sum(F.when(one, F.col(right)).otherwise(0)).alias("__r"))
-    return cumulated(levels, block, x, ["__l"]).groupBy(*by).agg(F.sum(F.col("__r") * F.col("__l__below")).alias("pairs"))
+    sums = [F.sum(F.when(one, 0).otherwise(F.col(c))).alias(f"__left{i}") for i, c in enumerate(lefts)]
+    sums += [F.sum(F.when(one, F.col(c)).otherwise(0)).alias(f"__right{i}") for i, c in enumerate(rights)]
+    levels = cumulated(blocks.groupBy(*block, x).agg(*sums), block, x, [f"__left{i}" for i in range(len(lefts))])
+    total = lambda left, right: F.sum(F.col(f"__right{rights.index(right)}") * F.col(f"__left{lefts.index(left)}__below"))
+    return levels.groupBy(*by).agg(*[total(*p).alias(name) for name, p in products.items()])
+
+
+def dominated(df: DataFrame, by: list[str], x: str, y: str, left: str, right: str) -> DataFrame:
+    """Per group ``pairs``: the one sum of `dominated_sums`."""
+    return dominated_sums(df, by, x, y, {"pairs": (left, right)})
 
 
 def weighted_concordance(df: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:
