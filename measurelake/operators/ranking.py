@@ -20,6 +20,8 @@ def midrank(value: Column, by) -> Column:
 
 #: Ranges of values that a group is cut into, so that its levels are cumulated by many tasks.
 RANGES = 64
+#: Rows of a group up to which it is one range.
+WHOLE = 100_000
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -34,26 +36,31 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 def cumulated(levels: DataFrame, by, value: str, counts: list[str], ranges: int | None = None) -> DataFrame:
     """``levels`` (one row per group and value) with ``c__below`` and ``c__total`` for each column of ``counts``.
 
-    Prefix counts without a window over a whole group: approximate quantiles cut a
-    group's values into ranges, sums per range are added up over the ranges (few
-    rows a group), and within a range over its levels.  The result does not
-    depend on where the cuts fall.
+    Prefix counts without a window over a whole large group: approximate quantiles cut the
+    values of a group of more than ``WHOLE`` rows into ranges, sums per range are added up
+    over the ranges (few rows a group), and within a range over its levels.  Smaller groups,
+    of which there may be any number, are one range and need no quantiles.  The result
+    does not depend on where the cuts fall.
     """
-    keys, ranges = _keys(by), ranges or RANGES
+    keys, whole, ranges = _keys(by), WHOLE if ranges is None else 0, ranges or RANGES
     share = [i / ranges for i in range(1, ranges)]
-    edges = levels.groupBy(*keys).agg(F.percentile_approx(value, share, 20 * ranges).alias("__edges"))
-    placed = matched(levels, edges, keys) if keys else levels.crossJoin(F.broadcast(edges))  # one row
-    placed = placed.withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    # Large groups are fewer than rows / WHOLE, so what is known of them is broadcast.
+    large = levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).filter(F.col("__size") > whole)
+    edges = matched(levels, F.broadcast(large), keys).groupBy(*keys).agg(F.percentile_approx(value, share, 20 * ranges).alias("__edges"))
+    placed = matched(levels, F.broadcast(edges), keys, "left")
+    cut = F.size(F.filter("__edges", lambda e: e < F.col(value)))
+    placed = placed.withColumn("__range", F.when(F.col("__edges").isNotNull(), cut).otherwise(-1)).drop("__edges")
     spot = [*keys, "__range"]
-    sums = placed.groupBy(*spot).agg(*[F.sum(c).alias(c) for c in counts])
+    sums = placed.filter("__range >= 0").groupBy(*spot).agg(*[F.sum(c).alias(c) for c in counts])
     over = Window.partitionBy(*keys)
     before = over.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*spot, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}__before") for c in counts], *[F.sum(c).over(over).alias(f"{c}__total") for c in counts])
-    own = Window.partitionBy(*spot).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counted = placed.withColumns({f"{c}__own": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in counts})
-    joined = matched(counted, offsets, spot)
-    below = [(F.col(f"{c}__before") + F.col(f"{c}__own")).alias(f"{c}__below") for c in counts]
-    return joined.select(*levels.columns, *below, *[f"{c}__total" for c in counts])
+    offsets = sums.select(*spot, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}__before") for c in counts], *[F.sum(c).over(over).alias(f"{c}__all") for c in counts])
+    own = Window.partitionBy(*spot).orderBy(value)
+    first, every = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = placed.withColumns({f"{c}__own": F.coalesce(F.sum(c).over(first), F.lit(0)) for c in counts} | {f"{c}__sum": F.sum(c).over(every) for c in counts})
+    joined = matched(counted, F.broadcast(offsets), spot, "left")
+    below = [(F.coalesce(f"{c}__before", F.lit(0)) + F.col(f"{c}__own")).alias(f"{c}__below") for c in counts]
+    return joined.select(*levels.columns, *below, *[F.coalesce(f"{c}__all", f"{c}__sum").alias(f"{c}__total") for c in counts])
 
 
 def counted_ranks(df: DataFrame, by, value: str, counts: dict[str, Column]) -> DataFrame:
