@@ -11,26 +11,39 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import counter_random
+from .ranking import cumulated
+
+
+#: Rows of drawn units that one task counts.
+DRAWN_ROWS = 2_000_000
 
 
 def bootstrap_weights(units: DataFrame, by: list[str], unit: str, draws: int, seed: int) -> DataFrame:
     """by, draw, unit and weight: how often each unit is drawn, in ``draws`` samples of the units' number.
 
-    ``units`` has one row per by and unit; units are numbered in their order.
+    ``units`` has one row per by and unit, whose further columns come along; units are numbered in their order,
+    by prefix counts.  Draws are shuffled once, to as many tasks as their number asks for, and counted
+    and given their units where they arrive.
     """
-    own = Window.partitionBy(*by)
-    numbered = units.withColumn("__i", F.row_number().over(own.orderBy(unit)) - 1).withColumn("__n", F.count(F.lit(1)).over(own))
-    drawn = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    numbered = cumulated(units.withColumn("__one", F.lit(1)), by, unit, ["__one"])
+    numbered = numbered.withColumn("__i", F.col("__one__below").cast("long")).withColumn("__n", F.col("__one__total"))
+    spark = units.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(units.count() * draws / DRAWN_ROWS))
+    # Numbering may leave a group in one task; draws are made in all.
+    dealt = numbered.select(*by, "__i", "__n").repartition(parts, *by, "__i")
+    drawn = dealt.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     drawn = drawn.withColumn("__j", F.pmod(counter_random(seed, "draw", *by, "__i"), F.col("__n")))
-    picked = drawn.groupBy(*by, "draw", F.col("__j").alias("__i")).agg(F.count(F.lit(1)).alias("weight"))
-    return picked.join(numbered.select(*by, "__i", unit), [*by, "__i"]).select(*by, "draw", unit, "weight")
+    at = drawn.select(*by, "draw", F.col("__j").alias("__i")).repartition(parts, *by, "__i")
+    picked = at.groupBy(*by, "draw", "__i").agg(F.count(F.lit(1)).alias("weight"))
+    rest = [c for c in units.columns if c not in (*by, unit)]
+    return picked.join(numbered.select(*by, "__i", unit, *rest), [*by, "__i"]).select(*by, "draw", unit, "weight", *rest)
 
 
 def bootstrap_mean(values: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over whole units."""
-    weights = bootstrap_weights(values.select(*by, unit).distinct(), by, unit, draws, seed)
-    joined = weights.join(values, [*by, unit])
-    means = joined.groupBy(*by, "draw").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("m"))
+    units = values.groupBy(*by, unit).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"))
+    weights = bootstrap_weights(units, by, unit, draws, seed)
+    means = weights.groupBy(*by, "draw").agg((F.sum(F.col("weight") * F.col("__s")) / F.sum(F.col("weight") * F.col("__c"))).alias("m"))
     tail = (1 - level) / 2
     return means.groupBy(*by).agg(
         F.count("m").alias("n_draws"), F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")

@@ -31,8 +31,10 @@ SELECT *, CASE WHEN high = 'T' AND low = 'N' AND n_shared >= 3 THEN 'paired_t' W
 def vector_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Whole patients drawn once for all probes: intervals that keep the dependence between probes."""
     values = deltas(spark, d).select("cohort", "patient", "probe", "delta")
-    weights = resampling.bootstrap_weights(values.select("cohort", "patient").distinct(), ["cohort"], "patient", 100, 13)
-    drawn = weights.join(values, ["cohort", "patient"]).groupBy("cohort", "probe", "draw").agg(
+    # A patient's probes travel with the patient.
+    patients = values.groupBy("cohort", "patient").agg(F.collect_list(F.struct("probe", "delta")).alias("own"))
+    weights = resampling.bootstrap_weights(patients, ["cohort"], "patient", 100, 13)
+    drawn = weights.select("cohort", "draw", "weight", F.inline("own")).groupBy("cohort", "probe", "draw").agg(
         (F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("m"), F.sum("weight").alias("n")
     )
     valid = F.when(F.col("n") >= 3, F.col("m"))
@@ -72,8 +74,9 @@ SELECT cohort, CAST(draw AS INTEGER) AS draw, round((sum(r) FILTER (tissue = 'T'
 def draw_aligned_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Paired differences of two probes' bootstrap means, draw by draw."""
     values = deltas(spark, d).filter("probe in (0, 1)").select("probe", "patient", "delta")
-    weights = resampling.bootstrap_weights(values.select("patient").distinct().withColumn("g", F.lit(0)), ["g"], "patient", 100, 37).drop("g")
-    means = weights.join(values, "patient").groupBy("draw", "probe").agg((F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("m"))
+    patients = values.groupBy("patient").agg(F.collect_list(F.struct("probe", "delta")).alias("own")).withColumn("g", F.lit(0))
+    weights = resampling.bootstrap_weights(patients, ["g"], "patient", 100, 37)
+    means = weights.select("draw", "weight", F.inline("own")).groupBy("draw", "probe").agg((F.sum(F.col("weight") * F.col("delta")) / F.sum("weight")).alias("m"))
     a, b = means.filter("probe = 0").select("draw", F.col("m").alias("a")), means.filter("probe = 1").select("draw", F.col("m").alias("b"))
     return rounded(a.join(b, "draw").select("draw", (F.col("a") - F.col("b")).alias("difference")), "difference")
 

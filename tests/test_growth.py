@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from measurelake.operators import ranking, relational
+from measurelake.operators import ranking, relational, resampling, survival as sv
+from measurelake.plans import matching_queries, relational_queries
 
 
 def test_overlaps_are_counted_without_pairs(spark):
@@ -29,3 +30,31 @@ def test_small_groups_have_no_quantiles(spark):
     out = ranking.cumulated(rows, ["g"], "v", ["n"])
     assert {(r.v, r.n__below, r.n__total) for r in out.collect()} == {(v, v // 1000, 3) for v in range(3000)}
     assert "__size" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_of_levels_scan_the_subjects_once(spark):
+    levels = spark.createDataFrame([("a", i % 7 + 1, i % 2, i % 5, 2) for i in range(60)], "fold string, t int, event int, score int, n int")
+    plan = sv.concordance(levels, ["fold"], True)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 0
+
+
+def test_runs_are_never_broadcast(spark):
+    plan = matching_queries.matched_controls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("Hint=(strategy=broadcast)" in line.replace("rightHint", "Hint").replace("leftHint", "Hint") for line in joins)
+
+
+def test_units_bring_their_columns_and_weights_add_up(spark):
+    units = spark.range(300).selectExpr("id % 3 g", "id u", "array(id, -id) own")
+    rows = resampling.bootstrap_weights(units, ["g"], "u", 7, 5).collect()
+    assert all(r.own == [r.u, -r.u] and r.g == r.u % 3 for r in rows)
+    total = {}
+    for r in rows:
+        total[r.g, r.draw] = total.get((r.g, r.draw), 0) + r.weight
+    assert set(total.values()) == {100} and len(total) == 21
+
+
+def test_cube_counts_lines_by_part_first(spark):
+    plan = relational_queries.grouping_sets_location(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(i for i, line in enumerate(plan.splitlines()) if "Join Inner" in line)
+    assert any("Aggregate [l_partkey" in line for line in plan.splitlines()[join:])
