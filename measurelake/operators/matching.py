@@ -70,21 +70,22 @@ def caliper_matches(
     )
     nearest = lambda df, keys: df.groupBy(*keys, by).agg(F.min(F.struct("distance", "start")).alias("__b")).select(*keys, by, "__b.start", "__b.distance")
 
-    joined = measured(around.join(placed, cells))
+    # Slots are a registry; runs grow with the table and are never sent to the driver, whatever their size is taken for.
+    joined = measured(placed.join(F.broadcast(around), cells))
     tier = F.explode(F.array(*map(F.lit, tiers))).alias("tier")
     within = nearest(joined.select("*", tier).filter(F.col("__far") <= F.col("tier") + 1e-12), ["slot", "tier"])
     enough = within.groupBy("slot", "tier").agg(F.count(F.lit(1)).alias("n_groups")).filter(F.col("n_groups") >= least)
     chosen = enough.groupBy("slot").agg(F.min(F.struct("tier", "n_groups")).alias("__t")).select("slot", "__t.*")
     rest = near.join(chosen, "slot", "left_anti")
-    every = nearest(measured(rest.join(able, F.col("clusters") == F.col("__k"))), ["slot"]).withColumn("tier", F.lit(float("inf")))
+    every = nearest(measured(able.join(F.broadcast(rest), F.col("clusters") == F.col("__k"))), ["slot"]).withColumn("tier", F.lit(float("inf")))
     sized = every.groupBy("slot").agg(F.count(F.lit(1)).alias("n_groups"))
-    pool = within.join(chosen, ["slot", "tier"]).unionByName(every.join(sized, "slot"))
+    pool = within.join(F.broadcast(chosen), ["slot", "tier"]).unionByName(every.join(F.broadcast(sized), "slot"))
     return ranking.top_k(pool, "slot", [F.col("distance"), F.col(by), F.col("start")], most)
 
 
 def feature_balance(matches: DataFrame, slots: DataFrame, runs: DataFrame, by: str, scale: list[float]) -> DataFrame:
     """slot, feature, slot_value, control_mean and the scaled difference of every feature over the matched controls."""
-    controls = matches.join(runs.select(by, "start", "features"), [by, "start"])
+    controls = runs.select(by, "start", "features").join(F.broadcast(matches), [by, "start"])  # a few matches a slot
     each = controls.select("slot", F.posexplode("features").alias("feature", "value")).groupBy("slot", "feature").agg(F.avg("value").alias("control_mean"))
     own = slots.select("slot", F.posexplode("features").alias("feature", "slot_value"))
     size = F.get(F.array(*map(F.lit, scale)), F.col("feature"))
