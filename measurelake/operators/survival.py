@@ -55,7 +55,8 @@ def concordance(df: DataFrame, by: list[str], ipcw: bool, horizon: float | None
     higher score should fail first, ties count half (`concordance.dominated`).  With ``ipcw`` an event
     whose censoring weight is at or below ``floor`` makes the result null.
     """
-    levels = df.groupBy(*by, "t", "event", "score").agg(F.sum("n").alias("n"))
+    # Read by every sum below; the subjects behind the levels are scanned once.
+    levels = df.groupBy(*by, "t", "event", "score").agg(F.sum("n").alias("n")).persist()
     early = _with_censoring(levels, by).filter("event = 1")
     if horizon is not None:
         early = early.filter(F.col("t") < horizon)
