@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import fitting, grouped, inference, ranking, relational, resampling, structure, survival as sv
+from ..operators import comparison, fitting, grouped, inference, ranking, relational, resampling, structure, survival as sv
 from .frames import DELTA, SPEC, SURV, deltas, rounded, specimens, survival, table
-from .model_queries import GENES, _features, _wide
+from .model_queries import GENES, _features, _vectors, _wide
 
 CONTRASTS = (("T", "N"), ("T", "H"), ("N", "H"), ("H", "A"))
 
@@ -212,9 +212,10 @@ def calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elastic_net_and_svm(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d)
+    """Out-of-fold AUC of four kinds of model on the same folds."""
+    rows = _vectors(spark, d).withColumn("x", F.slice("x", 1, len(GENES)))
     folds = resampling.kfolds(rows.select("vec_id"), "vec_id", 4, 1, 41)
-    return grouped.model_comparison(rows, folds, "vec_id", "y", GENES)
+    return comparison.compare(rows.join(folds, "vec_id"), 4, len(GENES)).withColumn("repeat", F.lit(0)).select("repeat", "held", "model", "n", "auc")
 
 
 QUERIES = {
