@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import counter_random
 from .ranking import cumulated
@@ -69,6 +70,18 @@ def poisson_draws(rows: DataFrame, keep: list[str], unit: str, draws: int, seed:
     return parts.select(*keep, "draw", weight.alias("weight"))
 
 
+def poisson_digests(unit: Column, draws: int, seed: int) -> Column:
+    """The hashes behind ``poisson_draws`` of one unit, four bytes a draw, as one binary value."""
+    hashes = F.transform(F.sequence(F.lit(0), F.lit((draws - 1) // 4)), lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), unit.cast("string")).cast("binary")))
+    return F.unhex(F.array_join(hashes, ""))
+
+
+def poisson_weights(digests: list[bytes], draws: int) -> np.ndarray:
+    """Weights (units by draws) from ``poisson_digests``."""
+    h = np.frombuffer(b"".join(digests), ">u4").reshape(len(digests), -1)[:, :draws]
+    return np.searchsorted(np.array(POISSON_CUTS), h.astype(np.int64), "right").astype(np.uint8)
+
+
 def poisson_mean(values: DataFrame, by: list[str], unit: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over whole units, each with a Poisson(1) weight per draw.
 
