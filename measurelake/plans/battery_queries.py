@@ -130,11 +130,11 @@ def spearman_p(spark: SparkSession, d: str) -> DataFrame:
 def spearman_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of the rank correlation; every draw is ranked anew."""
     pairs = _probe_pair(spark, d)
-    drawn = resampling.poisson_draws(pairs, ["cohort", "x", "y"], "patient", DRAWS, SEED)
-    each = battery.rank_correlation(drawn, ["cohort", "draw"], "x", "y", F.col("weight")).filter(F.col("rho").isNotNull())
+    drawn = battery.drawn_rank_correlation(pairs, ["cohort"], "patient", "x", "y", DRAWS, SEED).persist()
+    each = drawn.filter((F.col("draw") >= 0) & F.col("rho").isNotNull())
     valid = each.groupBy("cohort").agg(F.count(F.lit(1)).alias("n_valid"))
     interval = ranking.quantile_linear(each, ["cohort"], "rho", {"low": 0.025, "high": 0.975}).join(valid, "cohort")
-    return rounded(battery.rank_correlation(pairs, ["cohort"], "x", "y").join(interval, "cohort"), "rho", "low", "high")
+    return rounded(drawn.filter("draw < 0").drop("draw").join(interval, "cohort"), "rho", "low", "high")
 
 
 _PAIR = f"""{SPEC}, {DELTA}, p AS (SELECT a.cohort, a.patient, a.delta AS x, b.delta AS y FROM delta a JOIN delta b ON a.cohort = b.cohort AND a.patient = b.patient WHERE a.probe = 0 AND b.probe = 1)"""
