@@ -24,14 +24,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import inference
 
 #: Rows that a task multiplies at once, and floats of a chunk of sums.
 BLOCK_ROWS = 256
 CHUNK_FLOATS = 1 << 17
-TOLERANCE = 1e-8
+#: Rows read at once by a Newton pass, and floats of one array in its inner loop (small enough for a core's cache).
+PASS_ROWS, PASS_FLOATS = 2048, 1 << 16
+#: Relative size of a Newton step after which a model is done: what is left is of the size of its square.
+TOLERANCE = 1e-6
 MOST_PASSES = 60
 
 
@@ -44,11 +47,12 @@ def _spread(df: DataFrame) -> DataFrame:
 Kernel = Callable[[dict[str, np.ndarray]], np.ndarray]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[dict[str, np.ndarray]]:
     """Columns as arrays, array columns as matrices, in blocks of rows."""
+    rows = rows or BLOCK_ROWS
     for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(a, BLOCK_ROWS)
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
             out = {}
             for name, column in zip(part.schema.names, part.columns):
                 if pa.types.is_list(column.type):
@@ -137,12 +141,13 @@ def _descend(h: np.ndarray, g: np.ndarray, b: np.ndarray, l1: np.ndarray, sweeps
     return u
 
 
-def fit(rows: DataFrame, weights: Kernel, sets: int, designs: list[Models], d: int, scales: np.ndarray | None = None) -> None:
+def fit(rows: DataFrame, weights: Kernel, sets: int, designs: list[Models], d: int, scales: np.ndarray | None = None, near: bool = False) -> None:
     """Fit all models of all designs; ``weights`` gives the rows' weights in each training set (rows by sets).
 
     ``rows`` has y (0 or 1) and x (array of ``d`` doubles) and whatever
     ``weights`` needs.  Features are standardised by the population moments of
-    each training set; a constant feature keeps its unit.
+    each training set; a constant feature keeps its unit.  Models start from zero, or (``near``) from
+    the model of the same design and penalty that all rows give.
     """
     about = moments(rows, lambda block: np.ones((len(block["y"]), 1)), 1, d)[:, 0]
     n = max(about[0], 1)
@@ -162,6 +167,19 @@ def fit(rows: DataFrame, weights: Kernel, sets: int, designs: list[Models], d: i
 
     # State by design: coefficients on the model's own scale now and before, the objective before, and what is not done.
     now = [np.zeros((len(m.columns) + 1, len(m))) for m in designs]
+    if near:
+        starts, of = [], []
+        for m in designs:
+            kinds, at = np.unique(np.stack([m.c, m.mix]), axis=1, return_inverse=True)
+            starts.append(Models(m.columns, np.zeros(kinds.shape[1], int), kinds[0], kinds[1], m.whole))
+            of.append(at.ravel())
+        fit(rows, lambda block: np.ones((len(block["y"]), 1)), 1, starts, d)
+        for k, m in enumerate(designs):
+            b = starts[k].coefficients[:, of[k]]
+            # From raw columns to the model's own scale.
+            c, s = centre[m.columns][:, None], spread[m.columns][:, None]
+            mu, own_sd = mean[m.columns][:, m.training] * s + c, sd[m.columns][:, m.training] * s
+            now[k] = np.concatenate([b[:-1] * own_sd, b[-1:] + (b[:-1] * mu).sum(0)[None]])
     before = [x.copy() for x in now]
     value = [np.full(len(m), np.inf) for m in designs]
     active = [np.arange(len(m)) for m in designs]
@@ -186,22 +204,41 @@ def fit(rows: DataFrame, weights: Kernel, sets: int, designs: list[Models], d: i
 
         def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: list[np.ndarray | None] = [None] * len(jobs)
-            for block in _blocks(batches):
+            for block in _blocks(batches, PASS_ROWS):
                 block = shifted(block)
                 w = weights(block)
-                y = block["y"].astype(float)
+                y = block["y"].astype(float)[:, None]
+                last = None
                 for job, (k, which) in enumerate(jobs):
                     m = designs[k]
-                    x = np.concatenate([block["x"][:, m.columns], np.ones((len(y), 1))], axis=1)
-                    i, j = _halves(x.shape[1])
-                    score = x @ raw[job]
-                    p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
-                    used = w[:, m.training[which]]
-                    loss = (used * (np.logaddexp(0, score) - y[:, None] * score)).sum(0)
-                    slope = x.T @ (used * (p - y[:, None]))
-                    curve = (x[:, i] * x[:, j]).T @ (used * p * (1 - p))
-                    found = np.concatenate([loss[None], slope, curve])
-                    total[job] = found if total[job] is None else total[job] + found
+                    if last is None or not np.array_equal(last, m.columns):  # designs of the same columns follow each other
+                        last = m.columns
+                        x = np.concatenate([block["x"][:, last], np.ones((len(y), 1))], axis=1)
+                        i, j = _halves(x.shape[1])
+                        pairs = x[:, i] * x[:, j]
+                    if total[job] is None:
+                        total[job] = np.zeros((1 + x.shape[1] + len(i), len(which)))
+                    tall = max(BLOCK_ROWS, PASS_FLOATS // len(which))
+                    wide = max(1, PASS_FLOATS // min(tall, len(y)))
+                    for a in range(0, len(y), tall):
+                        for c in range(0, len(which), wide):
+                            r, models = slice(a, a + tall), slice(c, c + wide)
+                            score = x[r] @ raw[job][:, models]
+                            e = np.abs(score)
+                            np.exp(np.negative(e, out=e), out=e)
+                            p = np.where(score >= 0, 1.0, e)
+                            p /= 1 + e
+                            used = w[r][:, m.training[which[models]]]
+                            loss = np.maximum(score, 0)
+                            loss += np.log1p(e, out=e)
+                            loss -= y[r] * score
+                            off = used * (p - y[r])
+                            found = total[job][:, models]
+                            found[0] += np.einsum("ij,ij->j", used, loss)
+                            found[1 : 1 + x.shape[1]] += x[r].T @ off
+                            used *= p
+                            used *= 1 - p
+                            found[1 + x.shape[1] :] += pairs[r].T @ used
             if total[0] is not None:
                 parts = [t.tobytes() for t in total]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(jobs)), pa.int32()), pa.array(parts, pa.binary())], ["job", "part"])
@@ -414,7 +451,7 @@ def nested_cv(rows: DataFrame, unit: str, d: int, folds: Folds = Folds(), famili
             columns = [np.array([j]) for j in range(d)] if family.single else [np.arange(d)]
             of[family.name] = range(len(designs), len(designs) + len(columns))
             designs += [Models(x, training, c, np.full(len(c), family.mix), family.whole) for x in columns]
-        fit(data, folds.weights, folds.sets, designs, d)
+        fit(data, folds.weights, folds.sets, designs, d, near=True)
 
         # Losses on the inner folds left out: candidates (design, penalty) by repeat, held fold and inner fold.
         cells, j = folds.repeats * folds.outer, folds.inner
@@ -423,16 +460,25 @@ def nested_cv(rows: DataFrame, unit: str, d: int, folds: Folds = Folds(), famili
         starts = np.cumsum([0, *sizes]) * len(inner_sets)
 
         def judge(block):
+            """Each row in the one inner fold of a cell that leaves it out."""
             held, inside = folds.parts(block)
-            valid = ((inside[:, :, None] == np.arange(j)) & ~held[:, :, None]).reshape(len(held), -1)
-            out = [valid.sum(0).astype(float)]
-            y = block["y"].astype(float)[:, None]
+            at = np.arange(cells) * j + inside
+            row, cell = np.nonzero(~held)
+            at = at[row, cell]
+            count = lambda w=None: np.bincount(at, w, len(inner_sets)).astype(float)
+            out = [count()]
+            turn = np.where(block["y"] == 1, -1.0, 1.0)[row]
             for m, size in zip(designs, sizes):
+                x = block["x"][:, m.columns]
                 for p in range(size):
                     b = m.coefficients[:, p * folds.sets + inner_sets]
-                    score = block["x"][:, m.columns] @ b[:-1] + b[-1]
-                    prob = np.clip(1 / (1 + np.exp(-np.clip(score, -500, 500))), 1e-8, 1 - 1e-8)
-                    out.append((valid * -(y * np.log(prob) + (1 - y) * np.log(1 - prob))).sum(0))
+                    if len(m.columns) == 1:
+                        score = x[row, 0] * b[0, at] + b[1, at]
+                    else:
+                        score = (x @ b[:-1] + b[-1])[row, at]
+                    score = score * turn
+                    loss = np.maximum(score, 0) + np.log1p(np.exp(-np.abs(score)))
+                    out.append(count(np.clip(loss, -np.log1p(-1e-8), -np.log(1e-8))))
             return np.concatenate(out)
 
         judged = sums(data, judge, (1 + sum(sizes)) * len(inner_sets))
@@ -576,7 +622,7 @@ def optimism(rows: DataFrame, unit: str, d: int, draws: int, inner: int = 4, see
     try:
         c = np.repeat(np.array(penalties), sets)
         model = Models(np.arange(d), np.tile(np.arange(sets), len(penalties)), c, np.zeros(len(c)), whole=True)
-        fit(data, weights, sets, [model], d)
+        fit(data, weights, sets, [model], d, near=True)
         b = model.coefficients.reshape(d + 1, len(penalties), draws, inner + 1)
 
         def judge(block):
@@ -616,7 +662,7 @@ def subset_sweep(rows: DataFrame, unit: str, subsets: list[tuple[int, tuple[int,
     kept = _spread(data).persist()
     try:
         designs = [Models(np.array(columns), np.arange(folds), np.full(folds, c), np.zeros(folds), whole=True) for _, columns in subsets]
-        fit(kept, lambda b: (b["fold"][:, None] != np.arange(folds)).astype(float), folds, designs, d)
+        fit(kept, lambda b: (b["fold"][:, None] != np.arange(folds)).astype(float), folds, designs, d, near=True)
     finally:
         kept.unpersist()
     ids = np.array([i for i, _ in subsets], np.int64)
