@@ -335,6 +335,62 @@ def order_statistics(rows: DataFrame, values: Callable[[dict], tuple[np.ndarray,
     return np.where(count > 0, back, np.nan)
 
 
+#: Rows of a model's scores that are ordered together.
+AUC_ROWS = 1 << 16
+
+
+def auc_of(rows: DataFrame, values: Callable[[dict], tuple[np.ndarray, np.ndarray]], models: int, auc_rows: int | None = None) -> DataFrame:
+    """model (from 0) and auc of many models' scores; null with one class only.
+
+    ``values`` gives a block's scores and weights (rows by models), a weight of class 0 being negative.
+    Scores travel packed, not as rows: a piece for each block, model and range of scores.  A
+    range is ordered in one task, so the ranges are as many as the rows ask for; where they are cut
+    (by counts of equal steps between the least and the greatest score) does not change the result.
+    """
+    ranges = -(-rows.count() // (auc_rows or AUC_ROWS))
+    edges = np.zeros((0, models))
+    if ranges > 1:
+        ends = sums(rows, lambda b: np.concatenate([-values(b)[0].min(0), values(b)[0].max(0)]), 2 * models, largest=True)
+        low, step, steps = -ends[:models], (ends[models:] + ends[:models]) / (16 * ranges), 16 * ranges
+        step = np.where(step > 0, step, 1.0)
+
+        def kernel(block):
+            at = np.clip(((values(block)[0] - low) / step).astype(np.int64), 0, steps - 1) + np.arange(models) * steps
+            return np.bincount(at.ravel(), minlength=models * steps).astype(float)
+
+        run = sums(rows, kernel, models * steps).reshape(models, steps).cumsum(1)
+        share = run[:, -1:] * np.arange(1, ranges) / ranges
+        cut = (run[:, None, :] < share[:, :, None]).sum(2).T  # ranges - 1 by models
+        edges = low + (cut + 1) * step
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, PASS_ROWS):
+            score, weight = values(block)
+            score, weight = score.T + 0.0, np.broadcast_to(weight, score.shape).T.astype(np.int32)
+            found = []
+            for m in range(models):
+                part = np.searchsorted(edges[:, m], score[m]) if ranges > 1 else np.zeros(score.shape[1], int)
+                for r in np.unique(part):
+                    own = (part == r) & (weight[m] != 0)
+                    found.append((m, int(r), score[m][own].tobytes(), weight[m][own].tobytes()))
+            names, kinds = ["model", "range", "s", "w"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+    def order(table: pa.Table) -> pa.Table:
+        s, w = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("s", np.float64), ("w", np.int32)))
+        at = np.argsort(s)
+        s, w = s[at], w[at]
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, int)
+        p, n = (np.add.reduceat(x, starts) if len(s) else np.zeros(0) for x in (np.maximum(w, 0).astype(float), np.maximum(-w, 0).astype(float)))
+        row = {"p": p.sum(), "n": n.sum(), "u": p @ (n.cumsum() - n / 2)}
+        return pa.table({c: table.column(c).slice(0, 1) for c in ("model", "range")} | {c: pa.array([float(v)]) for c, v in row.items()})
+
+    found = rows.mapInArrow(pack, "model int, range int, s binary, w binary").groupBy("model", "range").applyInArrow(order, "model int, range int, p double, n double, u double")
+    before = Window.partitionBy("model").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.withColumn("b", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    return each.groupBy("model").agg(F.try_divide(F.sum(F.col("u") + F.col("p") * F.col("b")), F.sum("p") * F.sum("n")).alias("auc"))
+
+
 # --- nested cross-validation
 
 
@@ -670,15 +726,12 @@ def subset_sweep(rows: DataFrame, unit: str, subsets: list[tuple[int, tuple[int,
     for s, m in enumerate(designs):
         all_of[:, np.append(m.columns, d), s] = m.coefficients.T
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _blocks(iter([batch])):
-                n = len(block["y"])
-                found = np.empty((n, len(ids)))
-                for f in np.unique(block["fold"]):
-                    own = block["fold"] == f
-                    found[own] = block["x"][own] @ all_of[f, :-1] + all_of[f, -1]
-                columns = [np.tile(ids, n), np.repeat(block["y"], len(ids)).astype(np.int32), found.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "y", "score"])
-
-    return inference.auc(data.mapInArrow(score, "id long, y int, score double"), ["id"], "y", "score").select("id", "auc")
+    def values(block):
+        found = np.empty((len(block["y"]), len(ids)))
+        for f in np.unique(block["fold"]):
+            own = block["fold"] == f
+            found[own] = block["x"][own] @ all_of[f, :-1] + all_of[f, -1]
+        return found, np.where(block["y"] == 1, 1, -1)[:, None]
+
+    names = rows.sparkSession.createDataFrame(list(enumerate(ids.tolist())), "model int, id long")
+    return auc_of(_spread(data), values, len(ids)).join(F.broadcast(names), "model").select("id", "auc")
