@@ -697,17 +697,15 @@ def optimism(rows: DataFrame, unit: str, d: int, draws: int, inner: int = 4, see
     finally:
         data.unpersist()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in _blocks(iter([batch])):
-                n = len(block["y"])
-                found = block["x"] @ chosen[:-1] + chosen[-1]
-                columns = [np.tile(np.arange(draws, dtype=np.int32), n), np.repeat(block["y"], draws).astype(np.int32), found.ravel(), block["times"].ravel().astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["draw", "y", "score", "times"])
-
-    drawn = rows.select("y", "x", times.alias("times")).mapInArrow(score, "draw int, y int, score double, times long")
-    apparent = inference.auc(drawn, ["draw"], "y", "score", "times").select("draw", F.col("auc").alias("apparent"))
-    original = inference.auc(drawn, ["draw"], "y", "score").select("draw", F.col("auc").alias("original"))
+    def both(block):
+        """Each draw's scores with its own weights, and with each row once."""
+        sign = np.where(block["y"] == 1, 1, -1)[:, None]
+        found = block["x"] @ chosen[:-1] + chosen[-1]
+        return np.tile(found, 2), sign * np.concatenate([block["times"], np.ones_like(block["times"])], axis=1)
+
+    judged = auc_of(_spread(rows.select("y", "x", times.alias("times"))), both, 2 * draws)
+    of = lambda first, name: judged.filter((F.col("model") >= first) & (F.col("model") < first + draws)).select((F.col("model") - first).alias("draw"), F.col("auc").alias(name))
+    apparent, original = of(0, "apparent"), of(draws, "original")
     used = rows.sparkSession.createDataFrame([(i, float(penalties[k])) for i, k in enumerate(pick)], "draw int, c double")
     return F.broadcast(used).join(apparent, "draw").join(original, "draw")
 

@@ -52,3 +52,9 @@ def test_sweep_makes_no_row_of_a_score(spark, monkeypatch):
     monkeypatch.setattr(inference, "auc", None)
     x, y = table(n=60, d=2)
     assert len(fitting.subset_sweep(frame(spark, x, y), "unit", [(3, (0,)), (4, (0, 1))], 2).collect()) == 2
+
+
+def test_optimism_makes_no_row_of_a_score(spark, monkeypatch):
+    monkeypatch.setattr(inference, "auc", None)
+    x, y = table(n=60, d=2)
+    assert len(fitting.optimism(frame(spark, x, y), "unit", 2, 3, 2).collect()) == 3
