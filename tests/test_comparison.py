@@ -59,3 +59,33 @@ def test_compare(spark):
         single = np.array([numeric.fast_auc(y[train], c) for c in z[train].T])
         best = np.abs(single - 0.5).argmax()
         assert got["best_single", f].auc == pytest.approx(numeric.fast_auc(y[~train], z[~train][:, best] * (1 if single[best] >= 0.5 else -1)))
+
+
+@pytest.mark.parametrize("steps", [0, 20])
+def test_box_ascent(monkeypatch, steps):
+    """From any start, by coordinates or by what follows them."""
+    monkeypatch.setattr(numeric, "ASCENT_STEPS", steps)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 4))
+    m = np.exp(-((x[:, None] - x) ** 2).sum(2)) + 1
+    upper = rng.uniform(0.1, 2, 80)
+    start = rng.uniform(0, 1, 80) * upper
+    a = numeric.box_ascent(m.astype(np.float32), 1 - m @ start, start, upper, 1e-4)
+    slope = 1 - m @ a
+    assert (a >= 0).all() and (a <= upper).all()
+    assert slope[a < upper].max() < 2e-4 and slope[a > 0].min() > -2e-4
+
+
+def test_machine_of_noise_takes_few_rounds(spark, monkeypatch):
+    """Labels without a pattern leave most rows at their bound; sets of the worst rows alone undid each other's steps without end."""
+    monkeypatch.setattr(comparison, "MOST_ROUNDS", 30)
+    rng = np.random.default_rng(5)
+    x, y, fold = rng.normal(size=(600, 5)), rng.integers(0, 2, 600), np.arange(600) % 2
+    got = comparison.kernel_values(frame(spark, x, y, fold), 2, 5, working_set=100).collect()
+    for f in range(2):
+        train = fold != f
+        z = (x - x[train].mean(0)) / x[train].std(0)
+        decide = numeric.rbf_svm(z[train], y[train], sweeps=20000)
+        for label in (0, 1):
+            own = np.sort([r.value for r in got if r.fold == f and r.y == label])
+            assert own == pytest.approx(np.sort(decide(z[~train][y[~train] == label])), abs=0.02)
