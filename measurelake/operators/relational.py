@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .concordance import dominated_sums
-from .ranking import cumulated
 
 
 def collapse_replicates(df: DataFrame, keys: list[str], value: str, guard: list[str] = ()) -> DataFrame:
@@ -142,33 +141,33 @@ def overlaps(a: DataFrame, b: DataFrame, chromosome: str = "chr", start: str = "
     hit = (F.col(f"a_{start}") <= F.col(f"b_{end}")) & (F.col(f"b_{start}") <= F.col(f"a_{end}"))
     # A pair is reported in the first bin that both lie in.
     first = F.floor(F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}")) / bin_size)
-    return left.join(right, ["__c", "__b"]).filter(hit & (F.col("__b") == first)).drop("__c", "__b")
+    # Spark does not count the rows that bins make, so it would broadcast a side through the driver by the size of its file.
+    return left.join(right.hint("merge"), ["__c", "__b"]).filter(hit & (F.col("__b") == first)).drop("__c", "__b")
 
 
 def overlap_sums(df: DataFrame, by: str, key: str, start: str = "start", end: str = "end") -> DataFrame:
     """by, n_pairs, sum_a and sum_b: overlapping pairs of one table, and the sums of their smaller and larger keys.
 
-    No pair is formed.  Of all pairs with a smaller and a larger key (prefix counts of the keys)
+    No pair is formed.  Of all pairs with a smaller and a larger key
     those are taken off in which one interval ends before the other starts; these are pairs
-    in one order of end and start, with the smaller key on the left side and then on the right
-    (`dominated_sums`).  An interval that ends before it starts overlaps what contains it whole,
-    as in `overlaps`, which joins those.
+    in one order of end and start, with the smaller key on the left side and then on the right.
+    All three are sums over pairs in the same order of two values (`dominated_sums`).  An interval
+    that ends before it starts overlaps what contains it whole, as in `overlaps`, which joins those.
     """
     names = ["n_pairs", "sum_a", "sum_b"]
     k = F.col(key)
     known = df.filter(F.col(by).isNotNull() & k.isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).select(by, key, start, end)
     proper, reverse = known.filter(F.col(start) <= F.col(end)), known.filter(F.col(start) > F.col(end))
-    keys = cumulated(proper.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("s")), by, key, ["n", "s"])
-    every = keys.groupBy(by).agg(F.sum(F.col("n") * F.col("n__below")).alias("n_pairs"), F.sum(F.col("n") * F.col("s__below")).alias("sum_a"), F.sum(F.col("s") * F.col("n__below")).alias("sum_b"))
-    side = lambda at, one, own: F.struct(F.col(at).alias("__at"), F.lit(1 - one).cast("long").alias("__m"), F.lit(one).cast("long").alias("__n"), (k * (1 - one)).alias("__mk"), (k * one).alias("__nk"), (k * own).alias("__x"), F.lit(own).alias("__side"))
-    # The one that ends is left, the one that starts is right; on side -1 the left one has the larger key.
-    ends = proper.select(by, F.explode(F.array(*[side(at, one, own) for own in (1, -1) for one, at in ((0, end), (1, start))])).alias("e")).select(by, "e.*")
+    side = lambda at, left, right, own: F.struct(F.col(at).alias("__at"), F.lit(left).cast("long").alias("__m"), F.lit(right).cast("long").alias("__n"), (k * left).alias("__mk"), (k * right).alias("__nk"), (k * (own or 1)).alias("__x"), F.lit(own).alias("__side"))
+    # Side 0 orders keys by themselves.  Else the one that ends is left, the one that starts is right; on side -1 the left one has the larger key.
+    sides = [side(key, 1, 1, 0)] + [side(at, 1 - one, one, own) for own in (1, -1) for one, at in ((0, end), (1, start))]
+    ends = proper.select(by, F.explode(F.array(*sides)).alias("e")).select(by, "e.*")
     found = dominated_sums(ends, [by, "__side"], "__x", "__at", {"n_pairs": ("__m", "__n"), "left": ("__mk", "__n"), "right": ("__m", "__nk")})
-    smaller = F.col("__side") == 1
-    apart = found.select(by, (-F.col("n_pairs")).alias("n_pairs"), (-F.when(smaller, F.col("left")).otherwise(F.col("right"))).alias("sum_a"), (-F.when(smaller, F.col("right")).otherwise(F.col("left"))).alias("sum_b"))
+    sign, smaller = F.when(F.col("__side") == 0, 1).otherwise(-1), F.col("__side") >= 0
+    counted = found.select(by, (sign * F.col("n_pairs")).alias("n_pairs"), (sign * F.when(smaller, F.col("left")).otherwise(F.col("right"))).alias("sum_a"), (sign * F.when(smaller, F.col("right")).otherwise(F.col("left"))).alias("sum_b"))
     odd = overlaps(reverse, proper, by, start, end).select(F.col(f"a_{by}").alias(by), F.least(f"a_{key}", f"b_{key}").alias("__a"), F.greatest(f"a_{key}", f"b_{key}").alias("__b"))
     more = odd.filter("__a < __b").groupBy(by).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("__a").alias("sum_a"), F.sum("__b").alias("sum_b"))
-    out = every.unionByName(apart).unionByName(more).groupBy(by).agg(*[F.sum(c).alias(c) for c in names])
+    out = counted.unionByName(more).groupBy(by).agg(*[F.sum(c).alias(c) for c in names])
     return out.filter("n_pairs > 0")
 
 

@@ -58,3 +58,11 @@ def test_cube_counts_lines_by_part_first(spark):
     plan = relational_queries.grouping_sets_location(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     join = next(i for i, line in enumerate(plan.splitlines()) if "Join Inner" in line)
     assert any("Aggregate [l_partkey" in line for line in plan.splitlines()[join:])
+
+
+def test_overlaps_broadcast_only_cuts(spark):
+    """Joins choose their side themselves: sizes of files do not tell how many rows are made of them.  The table is read a few times only."""
+    plan = relational_queries.interval_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    joins = [line for line in plan.optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and all("strategy=" in line for line in joins)
+    assert plan.executedPlan().toString().count("FileScan") <= 10
