@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import numeric
-from . import fitting, inference
+from . import fitting
 
 #: Rows of a fold that are solved together: their kernel is that many squared, in single precision.
 WORKING_SET = 4096
@@ -63,8 +63,13 @@ def _weighted(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.nda
     return out
 
 
-def kernel_values(rows: DataFrame, folds: int, d: int, c: float = 1.0, working_set: int | None = None) -> DataFrame:
-    """y, fold, n and value: decision values of the distinct rows held out in each fold, under the machine of the other folds.
+def _kept(df: DataFrame) -> DataFrame:
+    """Computed once, in the folder that driver and executors share if there is one (a lost executor then loses nothing)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _machine(rows: DataFrame, folds: int, d: int, c: float = 1.0, working_set: int | None = None) -> DataFrame:
+    """The distinct rows with, for each fold, the size in its training rows and the decision value under its machine.
 
     ``rows`` has y (0 or 1), x and fold.  Equal rows of one label share a multiplier of as many
     times the bound, which has the same optimum.
@@ -77,7 +82,7 @@ def kernel_values(rows: DataFrame, folds: int, d: int, c: float = 1.0, working_s
     state = distinct.select(F.monotonically_increasing_id().alias("row"), "y", "x", size.alias("size"), zero.alias("multiplier"), zero.alias("value"))
     # Dealt out evenly, so that a task's share of a working set is that of any other.
     tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, state.rdd.getNumPartitions())
-    state = state.repartition(tasks).localCheckpoint()
+    state = _kept(state.repartition(tasks))
     most = working_set or WORKING_SET
     share = -(-2 * most // tasks) + 64
 
@@ -169,42 +174,67 @@ def kernel_values(rows: DataFrame, folds: int, d: int, c: float = 1.0, working_s
         if not changes:
             break
         before, state = state, state.mapInArrow(moved(changes), _STATE)
-        state = state.localCheckpoint() if done % CUT == CUT - 1 else state.persist()
+        state = _kept(state) if done % CUT == CUT - 1 else state.persist()
     else:
         raise RuntimeError(f"kernel machine: rows still violate the optimum after {MOST_ROUNDS} rounds")
-    counts = distinct.select("y", "x", F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"n{f}").cast("long").alias("n")) for f in range(folds)])).alias("h"))
-    counts = counts.select("y", "x", "h.*").filter("n > 0")
-    values = state.select("y", "x", F.posexplode("value").alias("fold", "value"))
-    return counts.join(values, ["y", "x", "fold"]).select("y", "fold", "n", "value")
+    return state
 
 
-def _single(rows: DataFrame, folds: int, d: int) -> DataFrame:
-    """held, n_pos, n_neg and auc of the feature that parts the training labels best, turned the way it does there."""
-    each = rows.select("y", "fold", F.posexplode("x").alias("feature", "v")).groupBy("feature", "v", "y", "fold").agg(F.count(F.lit(1)).alias("n")).persist()
-    held = F.explode(F.array(*map(F.lit, range(folds)))).alias("held")
-    training = inference.auc(each.select("*", held).filter("fold <> held"), ["held", "feature"], "y", "v", "n")
-    best = training.groupBy("held").agg(F.max_by(F.struct("feature", "auc"), F.struct(F.abs(F.col("auc") - 0.5), -F.col("feature"))).alias("b"))
-    test = inference.auc(each.withColumnRenamed("fold", "held"), ["held", "feature"], "y", "v", "n")
-    both = test.join(F.broadcast(best.select("held", F.col("b.feature").alias("feature"), (F.col("b.auc") >= 0.5).alias("rising"))), ["held", "feature"])
-    return both.select("held", "n_pos", "n_neg", F.when(F.col("rising"), F.col("auc")).otherwise(1 - F.col("auc")).alias("auc"))
+def kernel_values(rows: DataFrame, folds: int, d: int, c: float = 1.0, working_set: int | None = None) -> DataFrame:
+    """y, fold, n and value: decision values of the distinct rows held out in each fold, under the machine of the other folds.
+
+    ``rows`` has y (0 or 1), x and fold.
+    """
+    state = _machine(rows, folds, d, c, working_set)
+    # A row is in the training rows of every fold but its own.
+    total = (F.aggregate("size", F.lit(0.0), lambda s, n: s + n) / (folds - 1)).alias("total")
+    each = state.select("y", total, F.posexplode(F.arrays_zip("value", "size")).alias("fold", "p"))
+    return each.select("y", "fold", (F.col("total") - F.col("p.size")).cast("long").alias("n"), "p.value").filter("n > 0")
+
+
+def _aucs(rows: DataFrame, values, models: int) -> list[float | None]:
+    found = {r["model"]: r["auc"] for r in fitting.auc_of(rows, values, models).collect()}
+    return [found.get(m) for m in range(models)]
 
 
 def compare(rows: DataFrame, folds: int, d: int) -> DataFrame:
     """held, model, n and out-of-fold auc of ridge, elastic net, Gaussian-kernel machine and the best single feature.
 
-    ``rows`` has y (0 or 1), x (``d`` doubles) and fold.
+    ``rows`` has y (0 or 1), x (``d`` doubles) and fold.  The best feature is the one that parts
+    the training labels best, turned the way it does there.  What is returned is as small as the
+    folds, so it is computed here and no plan is left.
     """
     kept = fitting._spread(rows.select("y", "x", "fold")).persist()
     kinds = {"ridge": fitting.Models(np.arange(d), np.arange(folds), np.ones(folds), np.zeros(folds))}
     kinds["elastic_net"] = fitting.Models(np.arange(d), np.arange(folds), np.full(folds, 0.1), np.full(folds, 0.5))
     fitting.fit(kept, lambda b: (b["fold"][:, None] != np.arange(folds)).astype(float), folds, list(kinds.values()), d)
-
-    found = _single(kept, folds, d).withColumn("model", F.lit("best_single"))
-    for name, m in kinds.items():
-        b = F.array(*[F.array(*map(F.lit, map(float, column))) for column in m.coefficients.T])[F.col("fold")]
-        terms = F.zip_with(F.col("x"), F.slice(b, 1, d), lambda x, w: x * w)
-        score = F.aggregate(terms, F.element_at(b, -1), lambda s, t: s + t)
-        found = found.unionByName(inference.auc(kept.select(F.col("fold").alias("held"), "y", score.alias("s")), ["held"], "y", "s").withColumn("model", F.lit(name)))
-    machine = inference.auc(kernel_values(kept, folds, d).withColumnRenamed("fold", "held"), ["held"], "y", "value", "n")
-    found = found.unionByName(machine.withColumn("model", F.lit("rbf_svm")))
-    return found.select("held", "model", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
+    b = np.concatenate([m.coefficients for m in kinds.values()], axis=1)
+    held = np.tile(np.arange(folds), len(kinds))
+
+    def values(block):
+        """Of every linear model on its held fold, then of every feature on the held and on the training rows of every fold."""
+        sign, own = np.where(block["y"] == 1, 1, -1)[:, None], block["fold"][:, None]
+        each = np.repeat(own == np.arange(folds), d, axis=1)
+        score = np.concatenate([block["x"] @ b[:-1] + b[-1], *[np.tile(block["x"], folds)] * 2], axis=1)
+        return score, sign * np.concatenate([own == held, each, ~each], axis=1)
+
+    def decided(block):
+        total = block["size"].sum(1, keepdims=True) / (folds - 1)
+        return block["value"], np.where(block["y"] == 1, 1, -1)[:, None] * np.rint(total - block["size"])
+
+    count = {r["fold"]: r["count"] for r in kept.groupBy("fold").count().collect()}
+    aucs = _aucs(kept, values, len(held) + 2 * folds * d)
+    linear, test, training = aucs[: len(held)], *(np.reshape(np.array(aucs[len(held) :], object), (2, folds, d)))
+    state = _machine(kept, folds, d)
+    machine = _aucs(state, decided, folds)
+    state.unpersist()
+    kept.unpersist()
+    found = []
+    for f in sorted(count):
+        apart = [-1.0 if a is None else abs(a - 0.5) for a in training[f]]
+        best = apart.index(max(apart))
+        auc, rising = test[f][best], training[f][best] is not None and training[f][best] >= 0.5
+        found.append((f, "best_single", count[f], auc if rising or auc is None else 1 - auc))
+        found += [(f, name, count[f], linear[i * folds + f]) for i, name in enumerate(kinds)]
+        found.append((f, "rbf_svm", count[f], machine[f]))
+    return rows.sparkSession.createDataFrame(found, "held int, model string, n long, auc double")

@@ -89,3 +89,11 @@ def test_machine_of_noise_takes_few_rounds(spark, monkeypatch):
         for label in (0, 1):
             own = np.sort([r.value for r in got if r.fold == f and r.y == label])
             assert own == pytest.approx(np.sort(decide(z[~train][y[~train] == label])), abs=0.02)
+
+
+def test_comparison_leaves_no_plan(spark):
+    """Its few rows are computed; a plan of all its curves in one job cost the driver more memory than it has."""
+    x, y, fold = table(n=60)
+    got = comparison.compare(frame(spark, x, y, fold), 3, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Exchange", "Join", "Window", "InMemory", "Arrow"))
