@@ -85,8 +85,14 @@ def dominated_sums(df: DataFrame, by: list[str], x: str, y: str, products: dict[
     edges = matched(used, F.broadcast(large), by).groupBy(*by).agg(cuts("__x").alias("__ex"), cuts("__y").alias("__ey"))
     placed = matched(used, F.broadcast(edges), by, "left")
     split = F.col("__ex").isNotNull()
-    # Twice the cuts below a value, and one more at a cut: ranges of a single value are odd.
-    place = lambda e, v: F.size(F.filter(e, lambda t: t < F.col(v))) + F.size(F.filter(e, lambda t: t <= F.col(v)))
+    # Twice the cuts below a value (by halving steps), and one more at a cut: ranges of a single value are odd.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(CUTS.bit_length()))])
+
+    def place(e: str, v: str):
+        below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(e, at + step - 1) < F.col(v), step).otherwise(0))
+        at_cut = lambda n: 2 * n + F.when(F.get(e, n) == F.col(v), 1).otherwise(0)
+        return F.transform(F.array(below), at_cut)[0]
+
     placed = placed.withColumn("__px", F.when(split, place("__ex", "__x"))).withColumn("__py", F.when(split, place("__ey", "__y"))).drop("__ex", "__ey")
 
     schema = StructType([df.schema[c] for c in by] + [StructField(n, LongType() if whole[a] and whole[b] else DoubleType()) for n, (a, b) in products.items()])
